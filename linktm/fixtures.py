@@ -91,3 +91,31 @@ def malformed_packets_from_events(events: DataFrame) -> DataFrame:
                  ELSE value END"""
         ),
     )
+
+
+def write_capture_files(packets: DataFrame, folder: str, order: str = "offset") -> None:
+    """Packets as capture files: each partition becomes one file, its packets in
+    `order` after a global header. `folder` must be reachable by every executor."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        # Fixed value: a global header; readers skip its 24 bytes.
+        header = bytes.fromhex("d4c3b2a1020004000000000000000000ffff000001000000")
+        store, inner = fs.FileSystem.from_uri(folder)
+        store.create_dir(inner, recursive=True)
+        name = f"capture-{TaskContext.get().partitionId():05d}.pcap"
+        rows = 0
+        with store.open_output_stream(f"{inner}/{name}") as out:
+            out.write(header)
+            for batch in batches:
+                for value in batch.column(0):
+                    out.write(value.as_buffer())
+                rows += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows])], ["file", "packets"])
+
+    ordered = packets.sortWithinPartitions(order).select("value")
+    written = ordered.mapInArrow(write, "file string, packets bigint")
+    written.write.format("noop").mode("overwrite").save()

@@ -58,15 +58,14 @@ def consecutive_difference(
         same = same & F.col(f"_carried.{column}").eqNullSafe(F.col(column))
     # The slice's first series alone can continue one of the previous slice, since
     # any later series sorts after the carried row.
-    before = F.coalesce(
-        F.lag(time).over(within), F.when(same, F.col(f"_carried.{time}"))
-    )
+    before = F.coalesce(F.col("_lag"), F.when(same, F.col(f"_carried.{time}")))
+    lagged = slices.frame.withColumn("_lag", F.lag(time).over(within))
     return (
-        with_slice_table(slices, carried)
+        with_slice_table(lagged, carried)
         .withColumn("_before", before)
         .where(F.col("_before").isNotNull())
         .withColumn(name, F.col(time) - F.col("_before"))
-        .drop(SLICE, "_carried", "_before")
+        .drop(SLICE, "_carried", "_before", "_lag")
     )
 
 

@@ -85,9 +85,9 @@ def _points_up_to(points: list[Row], key: Column) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
-def with_slice_table(slices: Slices, table: DataFrame) -> DataFrame:
-    """Join a table of at most `slices.count` <= MAX_SLICES rows to every row."""
-    return slices.frame.join(F.broadcast(table), SLICE)
+def with_slice_table(frame: DataFrame, table: DataFrame) -> DataFrame:
+    """Join a table of at most one row per slice, so at most MAX_SLICES rows."""
+    return frame.join(F.broadcast(table), SLICE)
 
 
 def slice_order() -> Window:
@@ -117,7 +117,10 @@ def dense_row_id(
         F.sum("_rows").over(everything).alias("_total"),
     )
     inside = F.row_number().over(Window.partitionBy(SLICE).orderBy(*order)) - 1
-    numbered = with_slice_table(slices, offsets).withColumn(name, F.col("_before") + inside)
+    placed = slices.frame.withColumn("_inside", inside)
+    numbered = with_slice_table(placed, offsets).withColumn(
+        name, F.col("_before") + F.col("_inside")
+    )
     if total:
         numbered = numbered.withColumn(total, F.col("_total"))
-    return numbered.drop(SLICE, "_before", "_total")
+    return numbered.drop(SLICE, "_inside", "_before", "_total")
