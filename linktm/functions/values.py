@@ -35,7 +35,7 @@ def scaled_number(text: Column, factor: int = 1000) -> Column:
 def cell_text(column: Column, dtype: str, *, python_booleans: bool = False) -> Column:
     """Text stored in a cell. Bytes are kept as base64 so they can be read back."""
     if dtype == "binary":
-        return F.base64(column)
+        return F.replace(F.base64(column), F.lit("\r\n"), F.lit(""))
     if dtype == "boolean" and python_booleans:
         return F.initcap(column.cast("string"))
     return column.cast("string")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_SLICE = 4_000_000
+SMALL_SLICE = 1_000
 MAX_SLICES = 16_384
 DRAWN_PER_SLICE = 64
 SLICE = "_slice"
@@ -42,8 +43,10 @@ def slice_by(
     spark = frame.sparkSession
     rows = frame.count()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Several slices per task even out how slices hash to tasks.
-    wanted = min(MAX_SLICES, max(4 * tasks, math.ceil(rows / rows_per_slice)))
+    # Several slices per task even out how slices hash to tasks; a small frame, such
+    # as one micro-batch, is not cut into crumbs.
+    even = min(4 * tasks, math.ceil(rows / SMALL_SLICE))
+    wanted = min(MAX_SLICES, max(1, even, math.ceil(rows / rows_per_slice)))
     points = _split_points(frame, order, rows, wanted)
     return Slices(frame.withColumn(SLICE, _points_up_to(points, F.struct(*order))), wanted)
 
@@ -51,7 +54,7 @@ def slice_by(
 def _split_points(frame: DataFrame, order: list[str], rows: int, wanted: int) -> list[Row]:
     """At most `wanted - 1` keys in increasing order. The draw they come from holds
     about `wanted * DRAWN_PER_SLICE` keys however large the frame is."""
-    if rows == 0:
+    if rows == 0 or wanted == 1:
         return []
     drawn = frame.select(F.struct(*order).alias("key"))
     share = wanted * DRAWN_PER_SLICE / rows
