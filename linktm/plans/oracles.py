@@ -355,7 +355,9 @@ ORACLES: dict[str, str] = {
       CAST(json_extract_string(props, '$.k') AS DOUBLE) * 1000 AS scaled FROM events""",
     "capture_scan": BASE
     + """SELECT ns AS spw_ts_nsec, pl AS spw_payload_length, type, raw FROM p""",
-    "capture_scan_split": "SELECT count(*) AS packets, count(*) AS numbered FROM events",
+    "capture_scan_whole_files": BASE
+    + """SELECT ns AS spw_ts_nsec, pl AS spw_payload_length, type, raw FROM p""",
+    "capture_numbering": "SELECT count(*) AS packets, count(*) AS numbered FROM events",
     "archive_roundtrip": BASE + RAW_MESSAGES,
     "topic_sink_file_target": BASE + "SELECT raw AS value_hex FROM p",
     "log_documents_parsed": """SELECT event_id, event_type,

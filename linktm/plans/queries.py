@@ -28,8 +28,8 @@ from linktm.plans.data import events, fixed_clock, message_path, messages
 from linktm.scratch import new_path
 from linktm.sinks import stores as K
 from linktm.sources import stores as Q
-from linktm.sources.capture import read_captures
-from linktm.sources.capture_index import read_captures_split
+from linktm.sources.capture import read_whole_files
+from linktm.sources.capture_index import read_captures
 from linktm.sources.logs import document_field, log_documents
 from linktm.sources.messages import packet_stream
 from linktm.streaming import ledger
@@ -425,23 +425,29 @@ def packet_order(packets: DataFrame) -> DataFrame:
     return packets.repartitionByRange("offset").select("offset", "value")
 
 
-@query
-def capture_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packets = read_captures(spark, capture_folder(spark, sf_dir))
+def capture_rows(packets: DataFrame) -> DataFrame:
     return decode_packets(packets, clock=fixed_clock()).select(
         "spw_ts_nsec", "spw_payload_length", "type", hex_text(F.col("raw_packet_data")).alias("raw")
     )
 
 
 @query
-def capture_scan_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packets = read_captures_split(spark, capture_folder(spark, sf_dir))
-    numbered = packets.groupBy("path").agg(
+def capture_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_rows(read_captures(spark, capture_folder(spark, sf_dir)))
+
+
+@query
+def capture_scan_whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_rows(read_whole_files(spark, capture_folder(spark, sf_dir)))
+
+
+@query
+def capture_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets, and how far the packet numbers of the files reach together."""
+    files = read_captures(spark, capture_folder(spark, sf_dir)).groupBy("path").agg(
         F.count(F.lit(1)).alias("n"), (F.max("record_no") + 1).alias("last")
     )
-    return numbered.agg(
-        F.sum("n").alias("packets"), F.sum("last").alias("numbered")
-    )
+    return files.agg(F.sum("n").alias("packets"), F.sum("last").alias("numbered"))
 
 
 @query

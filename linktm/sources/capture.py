@@ -5,8 +5,8 @@
 
 A capture file is a 24-byte global header and then packets back to back; a packet's
 own length field says where the next one starts. Each file is one partition, read
-in blocks, so no file has to fit in memory. `capture_index` cuts large files into
-exact record ranges that are read in parallel.
+in blocks, so no file has to fit in memory. `capture_index.read_captures` reads
+large files with many tasks.
 """
 
 from __future__ import annotations
@@ -167,11 +167,11 @@ def register_capture(spark: SparkSession) -> None:
     spark.dataSource.register(CaptureDataSource)
 
 
-def read_captures(
+def read_whole_files(
     spark: SparkSession, path: str, *, compat: bool = False, first: int | None = None
 ) -> DataFrame:
-    """Packets of a capture file or folder: (path, record_no, byte_offset, value).
-    `first` stops each file after that many packets."""
+    """Packets of a capture file or folder, one task per file: (path, record_no,
+    byte_offset, value). `first` stops each file after that many packets."""
     register_capture(spark)
     reader = spark.read.format("capture").option("maskedLength", "false" if compat else "true")
     if first is not None:
@@ -179,10 +179,10 @@ def read_captures(
     return reader.load(path)
 
 
-def measure_range(path: str, entry: int, stop: int) -> tuple[int, int]:
+def measure_range(path: str, entry: int, stop: int, masked: bool) -> tuple[int, int]:
     """(records, position after the last one) of the records that start in [entry, stop)."""
     records, following = 0, entry
-    for batch in frame_range(path, entry, stop, 0):
+    for batch in frame_range(path, entry, stop, 0, masked=masked):
         records += batch.num_rows
         last = batch.num_rows - 1
         following = batch["byte_offset"][last].as_py() + len(batch["value"][last].as_py())
@@ -237,7 +237,7 @@ RANGE_SCHEMA = "path string, chunk bigint, stop bigint, entry bigint, records bi
 
 
 def probe_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, chunk, start, stop, entry) -> RANGE_SCHEMA; a null entry is guessed."""
+    """(path, chunk, start, stop, entry, masked) -> RANGE_SCHEMA; a null entry is guessed."""
     for batch in batches:
         rows = []
         for row in batch.to_pylist():
@@ -245,7 +245,9 @@ def probe_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if entry is None:
                 entry = guess_record(row["path"], row["start"], row["stop"])
             records, following = (
-                (None, None) if entry is None else measure_range(row["path"], entry, row["stop"])
+                (None, None)
+                if entry is None
+                else measure_range(row["path"], entry, row["stop"], row["masked"])
             )
             rows.append((row["path"], row["chunk"], row["stop"], entry, records, following))
         columns = list(zip(*rows)) or [()] * 6
@@ -257,7 +259,9 @@ def probe_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frame_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, entry, stop, first) -> records."""
+    """(path, entry, stop, first, masked) -> records."""
     for batch in batches:
         for row in batch.to_pylist():
-            yield from frame_range(row["path"], row["entry"], row["stop"], row["first"])
+            yield from frame_range(
+                row["path"], row["entry"], row["stop"], row["first"], masked=row["masked"]
+            )

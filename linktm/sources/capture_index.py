@@ -22,7 +22,14 @@ from linktm.sources.capture import (
     probe_ranges,
 )
 
-CHUNK_BYTES = 128 << 20
+MAX_CHUNK = 128 << 20
+MIN_CHUNK = 64 << 10
+
+
+def chunk_size(spark: SparkSession, sizes: list[int]) -> int:
+    """Chunks small enough to give every core several, within fixed bounds."""
+    share = sum(sizes) // (4 * spark.sparkContext.defaultParallelism)
+    return min(MAX_CHUNK, max(MIN_CHUNK, share))
 
 
 def _spread(frame: DataFrame, rows: int) -> DataFrame:
@@ -31,14 +38,17 @@ def _spread(frame: DataFrame, rows: int) -> DataFrame:
     return frame.repartition(max(1, min(rows, 64 * tasks)))
 
 
-def capture_index(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def capture_index(
+    spark: SparkSession, path: str, *, chunk_bytes: int | None = None, compat: bool = False
+) -> DataFrame:
     """(path, chunk, entry, stop, first, records): exact record ranges of every file."""
-    files = spark.createDataFrame(capture_files(path), "path string, size bigint")
+    listed = capture_files(path)
+    chunk_bytes = chunk_bytes or chunk_size(spark, [size for _, size in listed])
+    masked = F.lit(not compat).alias("masked")
+    files = spark.createDataFrame(listed, "path string, size bigint")
     chunks = files.where(F.col("size") > GLOBAL_HEADER).select(
         "path",
-        F.explode(
-            F.sequence(F.lit(0), F.floor((F.col("size") - 1) / chunk_bytes))
-        ).alias("chunk"),
+        F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / chunk_bytes))).alias("chunk"),
         "size",
     )
     planned = chunks.select(
@@ -47,6 +57,7 @@ def capture_index(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES
         (F.col("chunk") * chunk_bytes).alias("start"),
         F.least((F.col("chunk") + 1) * chunk_bytes, "size").alias("stop"),
         F.when(F.col("chunk") == 0, F.lit(GLOBAL_HEADER)).cast("bigint").alias("entry"),
+        masked,
     )
     count = planned.count()
     ranges = materialize(
@@ -69,7 +80,12 @@ def capture_index(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES
             break
         repaired = _spread(
             wrong.select(
-                "path", "chunk", F.lit(0).alias("start"), "stop", F.col("proven").alias("entry")
+                "path",
+                "chunk",
+                F.lit(0).cast("bigint").alias("start"),
+                "stop",
+                F.col("proven").alias("entry"),
+                masked,
             ),
             again,
         ).mapInArrow(probe_ranges, RANGE_SCHEMA)
@@ -83,13 +99,17 @@ def capture_index(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES
         "stop",
         F.coalesce(F.sum("records").over(before), F.lit(0)).cast("bigint").alias("first"),
         "records",
+        masked,
     )
 
 
-def read_captures_split(
-    spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES
+def read_captures(
+    spark: SparkSession, path: str, *, chunk_bytes: int | None = None, compat: bool = False
 ) -> DataFrame:
-    """The rows of `read_captures`, with large files read by many tasks."""
-    index = materialize(capture_index(spark, path, chunk_bytes), "capture-ranges")
+    """Packets of a capture file or folder: (path, record_no, byte_offset, value). The
+    rows of `read_whole_files`, with large files read by many tasks."""
+    index = materialize(
+        capture_index(spark, path, chunk_bytes=chunk_bytes, compat=compat), "capture-ranges"
+    )
     ranges = index.where(F.col("records") > 0)
     return _spread(ranges, ranges.count()).mapInArrow(frame_ranges, SCHEMA)
