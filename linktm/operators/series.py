@@ -7,13 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linktm.operators.slices import (
-    ROWS_PER_SLICE,
-    SLICE,
-    slice_by,
-    slice_order,
-    with_slice_table,
-)
+from linktm.operators.slices import ROWS_PER_SLICE, SLICE, slice_by
 
 
 def combine(*series: DataFrame) -> DataFrame:
@@ -35,37 +29,28 @@ def consecutive_difference(
     by   columns that separate series (default: one global series).
     tie  columns that order rows of equal time.
 
-    The frame is sliced in (by, time, tie) order. A slice is a run of consecutive
-    rows, so only its first row can need something from outside: the last row of
-    the previous non-empty slice, when that belongs to the same series. A series
-    that holds most of the rows therefore spreads over many slices.
+    The frame is sliced in (time, tie) order and each series is ordered inside each
+    slice, so a series or a time that holds most of the rows spreads over many slices.
+    What a slice's first row needs from outside, the last time of its series in an
+    earlier slice, joins the slice as one more row in front.
     """
     by, tie = by or [], tie or []
-    slices = slice_by(frame, [*by, time, *tie], rows_per_slice=rows_per_slice)
-    # Grouped by series first, so that the pass over the rows keeps fixed-size
-    # buffers; at most one row per slice and one per series leave it.
-    last = (
-        slices.frame.groupBy(SLICE, *by)
-        .agg(F.max(time).alias(time))
-        .groupBy(SLICE)
-        .agg(F.max(F.struct(*by, time)).alias("_last"))
+    timed = frame.where(F.col(time).isNotNull())
+    slices = slice_by(timed, [time, *tie], rows_per_slice=rows_per_slice)
+    last = slices.frame.groupBy(SLICE, *by).agg(F.max(time).alias("_last"))
+    # One row per slice and series; without `by`, one row per slice.
+    earlier = last.select(
+        SLICE, *by, F.lag("_last").over(Window.partitionBy(*by).orderBy(SLICE)).alias(time)
+    ).where(F.col(time).isNotNull())
+    rows = slices.frame.withColumn("_own", F.lit(True)).unionByName(
+        earlier.withColumn("_own", F.lit(False)), allowMissingColumns=True
     )
-    carried = last.select(SLICE, F.lag("_last").over(slice_order()).alias("_carried"))
-
-    within = Window.partitionBy(SLICE, *by).orderBy(time, *tie)
-    same = F.lit(True)
-    for column in by:
-        same = same & F.col(f"_carried.{column}").eqNullSafe(F.col(column))
-    # The slice's first series alone can continue one of the previous slice, since
-    # any later series sorts after the carried row.
-    before = F.coalesce(F.col("_lag"), F.when(same, F.col(f"_carried.{time}")))
-    lagged = slices.frame.withColumn("_lag", F.lag(time).over(within))
+    within = Window.partitionBy(SLICE, *by).orderBy(time, "_own", *tie)
     return (
-        with_slice_table(lagged, carried)
-        .withColumn("_before", before)
-        .where(F.col("_before").isNotNull())
+        rows.withColumn("_before", F.lag(time).over(within))
+        .where(F.col("_own") & F.col("_before").isNotNull())
         .withColumn(name, F.col(time) - F.col("_before"))
-        .drop(SLICE, "_carried", "_before", "_lag")
+        .drop(SLICE, "_own", "_before")
     )
 
 

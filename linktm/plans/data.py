@@ -32,12 +32,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_events(spark, sf_dir)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A frame that fills fewer tasks than there are cores is dealt out to all of
+    them; a large one is left as it is read."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+
+
 def message_path(spark: SparkSession, sf_dir: str, kind: str = "packets") -> str:
     """Folder of the messages built from all events, written once per application."""
     source = (spark.sparkContext.applicationId, sf_dir, kind)
     if source not in _written:
         path = new_path(spark, kind)
-        _BUILDERS[kind](events(spark, sf_dir)).write.parquet(path)
+        _BUILDERS[kind](spread(events(spark, sf_dir))).write.parquet(path)
         _written[source] = path
     return _written[source]
 

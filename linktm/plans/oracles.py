@@ -251,7 +251,7 @@ ORACLES: dict[str, str] = {
       {SUBTYPE} AS ccsds_service_subtype, type, raw AS raw_packet_data,
       {OTHER_DATA} AS spw_data_raw, {CCSDS_DATA} AS ccsds_data_raw, {SEQ} AS ccsds_seq_count
       FROM p""",
-    "select_listed_columns": BASE
+    "select_present": BASE
     + f"""SELECT port AS spw_port_name, {OTHER_DATA} AS spw_data_raw,
       clock_ms AS local_timestamp, {CCSDS_DATA} AS ccsds_data_raw,
       (us % 1000000) * 1000 + event_id % 1000 AS spw_ts_usec, event_id AS "offset" FROM p""",
@@ -360,7 +360,7 @@ ORACLES: dict[str, str] = {
     "capture_numbering": "SELECT count(*) AS packets, count(*) AS numbered FROM events",
     "archive_roundtrip": BASE + RAW_MESSAGES,
     "topic_sink_file_target": BASE + "SELECT raw AS value_hex FROM p",
-    "log_documents_parsed": """SELECT event_id, event_type,
+    "log_documents": """SELECT event_id, event_type,
       CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS schemaless_type
       FROM events""",
     "log_text_sink": "SELECT props AS document FROM events",

@@ -25,7 +25,7 @@ from linktm.operators.decode import (
 )
 from linktm.operators.slices import dense_row_id
 from linktm.plans.data import events, fixed_clock, message_path, messages
-from linktm.scratch import new_path
+from linktm.scratch import materialize, new_path
 from linktm.sinks import stores as K
 from linktm.sources import stores as Q
 from linktm.sources.capture import read_whole_files
@@ -41,7 +41,7 @@ ORDER = list(S.ARRIVAL_ORDER)
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    QUERIES[function.__name__.removesuffix("_query")] = function
     return function
 
 
@@ -160,7 +160,7 @@ def project_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def select_listed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def select_present_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listed columns that exist; `no_such_column` does not."""
     return select_present(
         decoded(spark, sf_dir, variant="v2"), [*S.CELL_COLUMNS_V2, "no_such_column", "offset"]
@@ -335,22 +335,32 @@ def cells_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Series
 
 
-@query
-def interarrival_per_port(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = decoded(spark, sf_dir).select("spw_port_name", "spw_ts_nsec", "offset")
-    return R.consecutive_difference(
-        series, "spw_ts_nsec", by=["spw_port_name"], tie=["offset"], name="delta_ns"
-    ).select("offset", "spw_port_name", "delta_ns")
+def port_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times per port, stored: a series is read several times to be put in order."""
+    frame = decoded(spark, sf_dir).select(
+        "spw_port_name", "spw_ts_usec", "spw_ts_nsec", "offset"
+    )
+    return materialize(frame, "series")
 
 
 def two_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packet-protocol packets and the other link packets as one series."""
-    frame = decoded(spark, sf_dir)
-    ccsds = frame.where(F.col("type").isin(S.TYPE_TELEMETRY, S.TYPE_TELECOMMAND))
-    spacewire = frame.where(~F.col("type").isin(S.TYPE_TELEMETRY, S.TYPE_TELECOMMAND))
-    return R.combine(
-        *(s.select("spw_ts_usec", "spw_ts_nsec", "offset") for s in (ccsds, spacewire))
-    )
+    times = ["spw_ts_usec", "spw_ts_nsec", "offset"]
+    frame = decoded(spark, sf_dir).select("type", *times)
+    stored = materialize(frame, "series")
+    is_ccsds = F.col("type").isin(S.TYPE_TELEMETRY, S.TYPE_TELECOMMAND)
+    return R.combine(stored.where(is_ccsds).select(*times), stored.where(~is_ccsds).select(*times))
+
+
+@query
+def interarrival_per_port(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.consecutive_difference(
+        port_series(spark, sf_dir),
+        "spw_ts_nsec",
+        by=["spw_port_name"],
+        tie=["offset"],
+        name="delta_ns",
+    ).select("offset", "spw_port_name", "delta_ns")
 
 
 @query
@@ -369,9 +379,8 @@ def interarrival_global_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def interarrival_port_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = decoded(spark, sf_dir).select("spw_port_name", "spw_ts_usec", "offset")
     deltas = R.consecutive_difference(
-        series, "spw_ts_usec", by=["spw_port_name"], tie=["offset"]
+        port_series(spark, sf_dir), "spw_ts_usec", by=["spw_port_name"], tie=["offset"]
     )
     stats = R.difference_stats(deltas, by=["spw_port_name"])
     return stats.withColumn("avg_delta", F.round(F.col("avg_delta"), 3))
@@ -467,7 +476,7 @@ def topic_sink_file_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def log_documents_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "logs")
     K.write_json_lines(events(spark, sf_dir).select("event_id", "event_type", "props"), path)
     documents = log_documents(

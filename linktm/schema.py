@@ -45,7 +45,7 @@ MEASUREMENTS = (
     ("duration", "spw_duration", "nanoseconds"),
 )
 
-# Message coordinates travel with the payload: (topic, partition, offset)
+# Message coordinates travel with the payload: (offset, partition, topic)
 # identifies a packet and fixes its place in arrival order.
 MESSAGE_SCHEMA = T.StructType(
     [
@@ -57,7 +57,7 @@ MESSAGE_SCHEMA = T.StructType(
         T.StructField("timestamp", T.TimestampType()),
     ]
 )
-ARRIVAL_ORDER = ("topic", "partition", "offset")
+ARRIVAL_ORDER = ("offset", "partition", "topic")
 
 CELL_SCHEMA = "row_key string, family string, qualifier string, value string"
 

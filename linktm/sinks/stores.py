@@ -35,7 +35,7 @@ def write_points(
 
 def write_cells(cells: DataFrame, path: str, *, batch_id: int | None = None) -> None:
     """Cells in one folder per family, in key order inside each file."""
-    ordered = cells.sortWithinPartitions("family", "row_key", "qualifier")
+    ordered = cells.sortWithinPartitions("family", "row_key")
     _save(ordered, path, ["family"], batch_id)
 
 

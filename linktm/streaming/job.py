@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from linktm.operators.cells import cell_rows, melt, number_rows, profile_catalog, sequential_keys
 from linktm.operators.decode import decode_packets, non_empty, quarantine, raw_bytes, readable
 from linktm.operators.points import points
-from linktm.schema import ARRIVAL_ORDER, MEASUREMENTS
+from linktm.schema import ARRIVAL_ORDER, MEASUREMENTS, PROJECTED_V1, PROJECTED_V2
 from linktm.sinks.stores import write_catalog, write_cells, write_points
 from linktm.streaming import ledger
 
@@ -54,13 +54,16 @@ class TelemetryJob:
         return f"{self.root}/ledger"
 
     def decode(self, packets: DataFrame) -> DataFrame:
-        return decode_packets(
+        """The packets' place, the columns the sinks use and the decode status."""
+        decoded = decode_packets(
             non_empty(packets),
             variant=self.variant,
             compat=self.compat,
             clock=self.clock,
             decoder=self.decoder,
         )
+        columns = PROJECTED_V1 if self.variant == "v1" else PROJECTED_V2
+        return decoded.select(*self.order, *columns, "decode_status")
 
     def write_batch(self, packets: DataFrame, batch_id: int) -> None:
         """Write one micro-batch. Every sink replaces what an earlier try of the same

@@ -77,6 +77,46 @@ def test_difference_per_series(skewed, rows_per_slice):
     assert {r.id: r.delta for r in got.collect()} == want
 
 
+def test_hot_times_are_cut_by_the_whole_key(spark):
+    """Two hot times, one inside the other's neighbourhood, and a constant frame."""
+    rows = [(i, 500 if i % 3 else (501 if i % 2 else i)) for i in range(3_000)]
+    for data in (rows, [(i, 7) for i in range(2_000)]):
+        frame = spark.createDataFrame(data, "id bigint, ts bigint").repartition(4)
+        slices = slice_by(frame, ["ts", "id"], rows_per_slice=100)
+        sizes = [r["count"] for r in slices.frame.groupBy(SLICE).count().collect()]
+        assert len(sizes) > slices.count / 2 and max(sizes) < 300
+        got = dense_row_id(frame, ["ts", "id"], rows_per_slice=100)
+        want = {i: n for n, (_, i) in enumerate(sorted((t, i) for i, t in data))}
+        assert {r.id: r.row_id for r in got.collect()} == want
+
+
+def test_times_beyond_double_precision(spark):
+    """Neighbouring nanoseconds share a double but keep their order."""
+    base = 1_704_067_207_179_575_000
+    data = [(i, base + i // 2) for i in range(4_000)]
+    frame = spark.createDataFrame(data, "id bigint, ts bigint").repartition(4)
+    got = dense_row_id(frame, ["ts", "id"], rows_per_slice=50)
+    assert all(r.id == r.row_id for r in got.collect())
+    deltas = consecutive_difference(frame, "ts", tie=["id"], rows_per_slice=50).collect()
+    assert sorted((r.id, r.delta) for r in deltas) == [(i, (i + 1) % 2) for i in range(1, 4_000)]
+
+
+def test_timestamps_and_missing_times(spark):
+    data = [(i, i * 1_000_003) for i in range(2_500)] + [(9_000 + i, None) for i in range(3)]
+    frame = spark.createDataFrame(data, "id bigint, us bigint").withColumn(
+        "ts", F.timestamp_micros("us")
+    )
+    got = {r.id: r.row_id for r in dense_row_id(frame, ["ts", "id"], rows_per_slice=100).collect()}
+    assert got == {9_000: 0, 9_001: 1, 9_002: 2} | {i: i + 3 for i in range(2_500)}
+    hot = frame.withColumn("ts", F.timestamp_micros(F.lit(1_522_920_989_746_678)))
+    slices = slice_by(hot, ["ts", "id"], rows_per_slice=100)
+    assert max(r["count"] for r in slices.frame.groupBy(SLICE).count().collect()) < 300
+    deltas = consecutive_difference(frame, "us", tie=["id"], rows_per_slice=100)
+    assert deltas.count() == 2_499 and {r.delta for r in deltas.collect()} == {1_000_003}
+    with pytest.raises(TypeError):
+        slice_by(frame.withColumn("name", F.lit("x")), ["name"])
+
+
 def test_missing_series_name_is_a_series(spark):
     rows = [(1, 10, None), (2, 30, None), (3, 15, "a"), (4, 16, "a")]
     frame = spark.createDataFrame(rows, "id int, ts bigint, series string")
