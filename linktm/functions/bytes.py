@@ -44,9 +44,16 @@ def swap32(value: Column) -> Column:
     )
 
 
+def int32(value: Column) -> Column:
+    """Lower four bytes of a word as an int, sign and all: bit fields are then read
+    from an int, without a range check for each of them."""
+    return F.shiftright(F.shiftleft(value, 32), 32).cast("int")
+
+
 def bits(value: Column, low: int, width: int) -> Column:
     """`width` bits of `value` starting at bit `low` (0 = least significant)."""
-    return F.shiftright(value, low).bitwiseAND((1 << width) - 1)
+    shifted = F.shiftright(value, low) if low else value
+    return shifted.bitwiseAND((1 << width) - 1)
 
 
 def hex_text(raw: Column) -> Column:

@@ -19,6 +19,7 @@ from linktm.functions.bytes import (
     bits,
     hex_text,
     high32,
+    int32,
     latin1_bytes,
     low32,
     octets,
@@ -93,7 +94,7 @@ def decode_packets(
         "*",
         word(head, 0, 8).alias("_time_be"),
         word(head, 8, 8).alias("_lengths_be"),
-        word(head, 16, 4).alias("_link"),
+        word(head, 16, 4).alias("_link_be"),
         word(head, 28, 8).alias("_wire_be"),
         word(head, 39, 1).alias("_msb"),
         word(head, 40, 8).alias("_start"),
@@ -109,8 +110,11 @@ def decode_packets(
         high32(F.col("_time")).alias("_sec"),
         low32(F.col("_time")).alias("_sub"),
         bits(F.col("_wire"), 32, S.PAYLOAD_LENGTH_BITS).cast("int").alias("_declared"),
-        bits(F.col("_start"), 48, 8).cast("int").alias("_protocol"),
-    ).withColumn("_present", F.least(F.col("_declared"), F.col("_size") - S.HEADER_BYTES))
+        int32(F.col("_link_be")).alias("_link"),
+        int32(high32(F.col("_start"))).alias("_lead"),
+        int32(F.col("_start")).alias("_primary"),
+        int32(F.col("_rest")).alias("_field"),
+    ).withColumn("_protocol", bits(F.col("_lead"), 16, 8)).withColumn("_present", F.least(F.col("_declared"), F.col("_size") - S.HEADER_BYTES))
 
     shortest = S.CCSDS_HEADER_BYTES if compat else S.CCSDS_BYTES
     n_present, declared = F.col("_present"), F.col("_declared")
@@ -124,7 +128,8 @@ def decode_packets(
         ((F.col("_protocol") == S.PROTOCOL_CCSDS) & (n_present >= shortest)).alias("_ccsds"),
     )
 
-    start, rest, link = F.col("_start"), F.col("_rest"), F.col("_link")
+    link, lead = F.col("_link"), F.col("_lead")
+    primary, field = F.col("_primary"), F.col("_field")
     linked, carried, ccsds = F.col("_linked"), F.col("_carried"), F.col("_ccsds")
     other = carried & ~F.col("_is_ccsds")
     payload = hex_text(octets(F.col("value"), S.HEADER_BYTES, n_present))
@@ -136,12 +141,12 @@ def decode_packets(
         return F.when(linked, column)
 
     def payload_int(column: Column) -> Column:
-        return F.when(carried, column.cast("int"))
+        return F.when(carried, column)
 
     def ccsds_int(column: Column) -> Column:
         if compat:
-            return F.when(ccsds, column.cast("int")).when(other, S.NOT_APPLICABLE)
-        return F.when(ccsds, column.cast("int"))
+            return F.when(ccsds, column).when(other, S.NOT_APPLICABLE)
+        return F.when(ccsds, column)
 
     def ccsds_flag(column: Column) -> Column:
         return F.when(ccsds, F.lit(True) if compat else column == 1)
@@ -176,37 +181,41 @@ def decode_packets(
         if compat
         else F.shiftleft(F.col("_msb"), 32).bitwiseOR(low32(F.col("_wire")))
     )
-    type_bit = bits(start, 28, 1)
+    type_bit = bits(primary, 28, 1)
 
     columns = {
         **times,
         "spw_incl_length": link_int(high32(F.col("_lengths"))),
         "spw_orig_length": link_int(low32(F.col("_lengths"))),
         # Three little-endian bytes, then the byte that holds the direction bit.
-        "spw_frame_type": link_int(swap32(link).bitwiseAND(0xFFFFFF).cast("int")),
+        "spw_frame_type": link_int(
+            bits(link, 24, 8)
+            .bitwiseOR(F.shiftright(link, 8).bitwiseAND(0xFF00))
+            .bitwiseOR(F.shiftleft(link, 8).bitwiseAND(0xFF0000))
+        ),
         "spw_port_name": link_int(F.col("_port")),
         "spw_payload_length": link_int(declared),
         "spw_duration": link_int(duration),
         "spw_protocol_id": payload_int(F.col("_protocol")),
-        "spw_logical_addr": payload_int(bits(start, 56, 8)),
+        "spw_logical_addr": payload_int(bits(lead, 24, 8)),
         "spw_data_raw": spacewire_data,
-        "spw_direction": link_int(bits(link, 5, 1).cast("int")),
-        "spw_ext_protocol_id": payload_int(bits(start, 40, 8)),
-        "ccsds_packet_ver_num": ccsds_int(bits(start, 29, 3)),
+        "spw_direction": link_int(bits(link, 5, 1)),
+        "spw_ext_protocol_id": payload_int(bits(lead, 8, 8)),
+        "ccsds_packet_ver_num": ccsds_int(bits(primary, 29, 3)),
         "ccsds_type": ccsds_int(type_bit),
-        "ccsds_sec_header": ccsds_flag(bits(start, 27, 1)),
-        "ccsds_apid": ccsds_int(bits(start, 16, 11)),
-        "ccsds_seq_flags": ccsds_int(bits(start, 14, 2)),
-        "ccsds_seq_count": ccsds_int(bits(start, 0, 14)),
-        "ccsds_packet_len": ccsds_int(bits(rest, 32, 16)),
-        "ccsds_sec_header_flag": ccsds_flag(bits(rest, 31, 1)),
-        "ccsds_pus_ver_num": ccsds_int(bits(rest, 28, 3)),
-        "ccsds_ack": ccsds_int(bits(rest, 24, 4)),
-        "ccsds_service_type": ccsds_int(bits(rest, 16, 8)),
-        "ccsds_service_subtype": ccsds_int(bits(rest, 8, 8)),
-        "ccsds_source_id": ccsds_int(bits(rest, 0, 8)),
+        "ccsds_sec_header": ccsds_flag(bits(primary, 27, 1)),
+        "ccsds_apid": ccsds_int(bits(primary, 16, 11)),
+        "ccsds_seq_flags": ccsds_int(bits(primary, 14, 2)),
+        "ccsds_seq_count": ccsds_int(bits(primary, 0, 14)),
+        "ccsds_packet_len": ccsds_int(bits(F.col("_rest"), 32, 16).cast("int")),
+        "ccsds_sec_header_flag": ccsds_flag(bits(field, 31, 1)),
+        "ccsds_pus_ver_num": ccsds_int(bits(field, 28, 3)),
+        "ccsds_ack": ccsds_int(bits(field, 24, 4)),
+        "ccsds_service_type": ccsds_int(bits(field, 16, 8)),
+        "ccsds_service_subtype": ccsds_int(bits(field, 8, 8)),
+        "ccsds_source_id": ccsds_int(bits(field, 0, 8)),
         "ccsds_data_raw": ccsds_data,
-        "ccsds_error_control": ccsds_int(check),
+        "ccsds_error_control": ccsds_int(check.cast("int")),
         "type": (
             F.when(ccsds & (type_bit == 1), S.TYPE_TELECOMMAND)
             .when(ccsds, S.TYPE_TELEMETRY)
