@@ -38,8 +38,8 @@ CHANNEL_ID = 0
 MONITORING_STATUS = "MONITORING"
 STATE_LEVEL = "NONE"
 
-# (measurement, decoded column that holds its value, unit); add a row to
-# publish another decoded column.
+# Fixed values: (measurement, decoded column that holds its value, unit); add a
+# row to publish another decoded column.
 MEASUREMENTS = (
     ("payloadlength", "spw_payload_length", "bytes"),
     ("duration", "spw_duration", "nanoseconds"),
@@ -61,6 +61,7 @@ ARRIVAL_ORDER = ("offset", "partition", "topic")
 
 CELL_SCHEMA = "row_key string, family string, qualifier string, value string"
 
+# Names and order of the decoded columns.
 DECODED_V1 = (
     "local_timestamp",
     "spw_ts_usec",
@@ -99,7 +100,7 @@ DECODED_V2 = (
     DECODED_V1[:2] + ("spw_ts_msec",) + DECODED_V1[2:3] + ("spw_ts_sec",) + DECODED_V1[3:]
 )
 
-# Columns kept for the sinks.
+# The columns kept for the sinks.
 PROJECTED_V1 = (
     "local_timestamp",
     "spw_ts_usec",
@@ -116,7 +117,7 @@ PROJECTED_V1 = (
 )
 PROJECTED_V2 = PROJECTED_V1[:2] + ("spw_ts_msec",) + PROJECTED_V1[2:] + ("ccsds_seq_count",)
 
-# Cell columns of the second revision, in order.
+# Cell columns of the second revision, in order.
 CELL_COLUMNS_V2 = (
     "spw_port_name",
     "spw_data_raw",
@@ -125,7 +126,7 @@ CELL_COLUMNS_V2 = (
     "spw_ts_usec",
 )
 
-# Tag names of the point shapes, in order.
+# Tag names of the point shapes, in order.
 TAGS_V1 = (
     "confid",
     "appid",
