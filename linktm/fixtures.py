@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linktm.scratch import full_uri
+
 
 def event_micros() -> Column:
     return F.unix_micros(F.col("ts").cast("timestamp"))
@@ -97,14 +99,17 @@ def write_capture_files(packets: DataFrame, folder: str, order: str = "offset")
     """Packets as capture files: each partition becomes one file, its packets in
     `order` after a global header. `folder` must be reachable by every executor."""
     import pyarrow as pa
-    from pyarrow import fs
+
+    from linktm.sources.capture import open_store
+
+    folder = full_uri(packets.sparkSession, folder)
 
     def write(batches):
         from pyspark import TaskContext
 
         # Fixed value: a global header; readers skip its 24 bytes.
         header = bytes.fromhex("d4c3b2a1020004000000000000000000ffff000001000000")
-        store, inner = fs.FileSystem.from_uri(folder)
+        store, inner = open_store(folder)
         store.create_dir(inner, recursive=True)
         name = f"capture-{TaskContext.get().partitionId():05d}.pcap"
         rows = 0

@@ -27,6 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def full_uri(spark: SparkSession, path: str) -> str:
+    """The path as Spark understands it, with its file system: readers that do not go
+    through Spark must look in the same place."""
+    inner = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    return inner.getFileSystem(conf).makeQualified(inner).toString()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path that nothing has written to yet."""
     return f"{shared_folder(spark)}/linktm/{name}-{uuid.uuid4().hex}"

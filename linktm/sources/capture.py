@@ -25,6 +25,8 @@ from pyspark.sql.datasource import (
     InputPartition,
 )
 
+from linktm.scratch import full_uri
+
 # Fixed values of the file layout.
 GLOBAL_HEADER = 24
 PACKET_HEADER = 40
@@ -47,6 +49,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and inner path of a URI or of a local path."""
+    if path.startswith("file:/"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path)
 
 
@@ -60,9 +65,10 @@ def capture_files(path: str) -> list[tuple[str, int]]:
         found = store.get_file_info(fs.FileSelector(inner, recursive=True))
     else:
         raise FileNotFoundError(path)
-    scheme = path[: path.index("://") + 3] if "://" in path and not path.startswith("file:") else ""
+    # What stands before the inner path in the URI stands before every file.
+    front = path[: -len(inner)] if path.endswith(inner) else ""
     files = [
-        (f"{scheme}{f.path}", f.size)
+        (f"{front}{f.path}", f.size)
         for f in found
         if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))
     ]
@@ -176,7 +182,7 @@ def read_whole_files(
     reader = spark.read.format("capture").option("maskedLength", "false" if compat else "true")
     if first is not None:
         reader = reader.option("firstRecords", str(first))
-    return reader.load(path)
+    return reader.load(full_uri(spark, path))
 
 
 def measure_range(path: str, entry: int, stop: int, masked: bool) -> tuple[int, int]:

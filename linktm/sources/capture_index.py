@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linktm.scratch import materialize
+from linktm.scratch import full_uri, materialize
 from linktm.sources.capture import (
     GLOBAL_HEADER,
     RANGE_SCHEMA,
@@ -42,7 +42,7 @@ def capture_index(
     spark: SparkSession, path: str, *, chunk_bytes: int | None = None, compat: bool = False
 ) -> DataFrame:
     """(path, chunk, entry, stop, first, records): exact record ranges of every file."""
-    listed = capture_files(path)
+    listed = capture_files(full_uri(spark, path))
     chunk_bytes = chunk_bytes or chunk_size(spark, [size for _, size in listed])
     masked = F.lit(not compat).alias("masked")
     files = spark.createDataFrame(listed, "path string, size bigint")

@@ -127,6 +127,13 @@ def test_chunk_size_bounds(spark):
     assert chunk_size(spark, [1 << 50]) == 128 << 20
 
 
+def test_folder_as_uri(spark, tmp_path):
+    path = write(tmp_path, one=HEADER + b"".join(some_packets(5)))
+    for uri in (f"file:{path}", f"file://{path}", path):
+        assert read_captures(spark, uri).count() == 5
+        assert capture.read_whole_files(spark, uri).count() == 5
+
+
 def test_missing_folder(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         capture.capture_files(str(tmp_path / "none"))
