@@ -126,9 +126,7 @@ def packet_cells(
     """Decoded packets -> numbered cells of a profile."""
     numbered = number_rows(decoded, order, rows_per_slice=rows_per_slice)
     rows = cell_rows(numbered, profile, compat=compat)
-    return melt(
-        sequential_keys(rows, start=0 if compat else start, width=width), python_booleans=compat
-    )
+    return melt(sequential_keys(rows, start=start, width=width), python_booleans=compat)
 
 
 def catalog(

@@ -88,7 +88,7 @@ class TelemetryJob:
                 points(good, variant=self.variant),
                 lambda f: write_points(f, self.points_path, batch_id=batch_id),
             )
-            start = 0 if self.compat else ledger.next_row(spark, self.ledger_path, batch_id)
+            start = ledger.next_row(spark, self.ledger_path, batch_id)
             numbered = number_rows(good, list(self.order))
             rows = cell_rows(numbered, self.profile, compat=self.compat)
             keyed = sequential_keys(rows, start=start)
