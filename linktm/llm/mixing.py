@@ -72,8 +72,12 @@ def source_targets(sizes: DataFrame, shard_words: int = SHARD_WORDS) -> DataFram
     )
     rate = (F.col("wanted") - F.col("limits_before")) / (F.col("weights") - F.col("weights_before"))
     rated = sums.withColumn("rate", rate)
-    fits = F.when(F.col("rate") * F.col("weight") <= F.col("limit"), F.col("rate"))
-    common = F.min(fits).over(whole)
+    # The first source whose limit the rate keeps to fixes the rate of it and all after it.
+    fits = F.when(
+        F.col("rate") * F.col("weight") <= F.col("limit"),
+        F.struct(F.col("limit") / F.col("weight"), "s", "rate"),
+    )
+    common = F.min(fits).over(whole)["rate"]
     aimed = rated.withColumn("common", common).select(
         "s",
         "source",
