@@ -8,9 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linktm.llm import oracles
+from linktm.llm.line_crf import THRESHOLD, classify, in_fold
 from linktm.llm.line_dedup import dedup_lines
 from linktm.llm.mixing import taken_words
 from linktm.llm.quality_rules import quality_rules
+from linktm.llm.token_files import read_digests, starts, token_folder, write_tokens
+from linktm.llm.url_filter import filter_urls
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +31,26 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    folder = token_folder(spark)
+    index = write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer or tokenizer_path("byte_bpe_50k.json"))
+    return read_digests(starts(index), folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        "row.doc_id",
+        F.coalesce(in_fold(F.col("row.doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select(
@@ -32,9 +58,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_token_files": op4_token_files,
     "op5_mixing": op5_mixing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 ORACLES = oracles.ORACLES
