@@ -11,6 +11,7 @@ from linktm.llm import oracles
 from linktm.llm.line_crf import THRESHOLD, classify, in_fold
 from linktm.llm.line_dedup import dedup_lines
 from linktm.llm.mixing import taken_words
+from linktm.llm.permutation_index import nearest_neighbours
 from linktm.llm.quality_rules import quality_rules
 from linktm.llm.token_files import read_digests, starts, token_folder, write_tokens
 from linktm.llm.url_filter import filter_urls
@@ -31,6 +32,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     folder = token_folder(spark)
     index = write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer or tokenizer_path("byte_bpe_50k.json"))
@@ -64,6 +69,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_permutation_index": op3_permutation_index,
     "op4_token_files": op4_token_files,
     "op5_mixing": op5_mixing,
     "op8_quality_classifier": op8_quality_classifier,
