@@ -49,6 +49,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base LEFT JOIN lost USING (doc_id)
 """
 
+OP6 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:least(i + 4, len(w))], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM common c JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b
+  WHERE 100 * c.n >= 75 * (s.n + t.n - c.n)
+), edge AS (
+  SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach(node, low) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT b, low FROM reach JOIN edge ON node = a
+)
+SELECT d.doc_id, coalesce(size.n, 0)::BIGINT AS n_shingles, min(low) AS component_id, d.doc_id = min(low) AS kept
+FROM d LEFT JOIN size USING (doc_id) JOIN reach ON node = d.doc_id GROUP BY 1, 2
+"""
+
 OP9 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
@@ -68,4 +96,4 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM marked GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op9_line_dedup": OP9}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op6_minhash_hamming": OP6, "op9_line_dedup": OP9}

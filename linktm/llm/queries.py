@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linktm.llm import oracles
 from linktm.llm.line_crf import THRESHOLD, classify, in_fold
 from linktm.llm.line_dedup import dedup_lines
+from linktm.llm.minhash_hamming import near_duplicates
 from linktm.llm.mixing import taken_words
 from linktm.llm.permutation_index import nearest_neighbours
 from linktm.llm.quality_rules import quality_rules
@@ -46,6 +47,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_shingles",
+        "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select(
@@ -72,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_permutation_index": op3_permutation_index,
     "op4_token_files": op4_token_files,
     "op5_mixing": op5_mixing,
+    "op6_minhash_hamming": op6_minhash_hamming,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
