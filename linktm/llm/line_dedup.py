@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linktm.llm.skew import join_counted
 from linktm.llm.text import WHITE, ascii_lower, lines, rows_of, same_row
 from linktm.scratch import materialize
 
@@ -56,8 +57,14 @@ def dropped_bitmaps(
     """`id`, `version` and `dropped`, the bitmap of lines to drop, for documents that lose any:
     (word number, 64 bits) in ascending order, words without a bit left out."""
     runs = materialize(line_runs(docs, min_code_points), "line-runs")
-    common = key_counts(runs).where(F.col("n_docs") >= min_docs).select(*_KEY)
-    lost = runs.join(common, list(_KEY)).select("id", "version", F.explode("positions").alias("pos"))
+    common = materialize(
+        key_counts(runs)
+        .where(F.col("n_docs") >= min_docs)
+        .select(*_KEY, F.col("n_docs").alias("rows_here")),
+        "common-lines",
+    )
+    met = join_counted(runs, common, list(_KEY), runs.count())
+    lost = met.select("id", "version", F.explode("positions").alias("pos"))
     bits = lost.groupBy("id", "version", F.expr("pos div 64").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits")
     )
