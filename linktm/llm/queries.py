@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linktm.llm import oracles
 from linktm.llm.line_crf import THRESHOLD, classify, in_fold
 from linktm.llm.line_dedup import dedup_lines
+from linktm.llm.maxent_lm import score_texts
 from linktm.llm.minhash_hamming import near_duplicates
 from linktm.llm.mixing import taken_words
 from linktm.llm.permutation_index import nearest_neighbours
@@ -57,6 +58,10 @@ def op6_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select(
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_mixing": op5_mixing,
     "op6_minhash_hamming": op6_minhash_hamming,
+    "op7_maxent_lm": op7_maxent_lm,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
