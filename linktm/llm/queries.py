@@ -14,6 +14,7 @@ from linktm.llm.maxent_lm import score_texts
 from linktm.llm.minhash_hamming import near_duplicates
 from linktm.llm.mixing import taken_words
 from linktm.llm.permutation_index import nearest_neighbours
+from linktm.llm.piece_lattice import encode
 from linktm.llm.quality_rules import quality_rules
 from linktm.llm.token_files import read_digests, starts, token_folder, write_tokens
 from linktm.llm.url_filter import filter_urls
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_piece_lattice(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    path = model or tokenizer_path("piece_bpe_32k.model")
+    return encode(table(spark, sf_dir, "documents"), path)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -84,6 +90,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_piece_lattice": op1_piece_lattice,
     "op2_quality_rules": op2_quality_rules,
     "op3_permutation_index": op3_permutation_index,
     "op4_token_files": op4_token_files,
