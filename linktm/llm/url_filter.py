@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linktm.llm.frequent import most_frequent
 from linktm.llm.text import ascii_lower
 from linktm.scratch import materialize
 
@@ -99,10 +100,10 @@ def page_words(pages: DataFrame) -> DataFrame:
 
 
 def lexicon(pages: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """Log-probabilities of the `size` most frequent words, seeds included."""
+    """Log-probabilities of at most `size` words, the most frequent and the seeds."""
     words = materialize(page_words(pages), "page-words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    top = words.orderBy(F.desc("n"), "word").limit(size).collect()
+    top = most_frequent(words, size).collect()
     counts = {r.word: r.n for r in top}
     least = max(1.0, SEED_SHARE * total)
     counts |= {s: max(least, counts.get(s, 0)) for s in SEEDS}
