@@ -52,19 +52,27 @@ def key_counts(runs: DataFrame) -> DataFrame:
 
 
 def dropped_bitmaps(
-    docs: DataFrame, min_docs: int = MIN_DOCS, min_code_points: int = MIN_CODE_POINTS
+    docs: DataFrame,
+    min_docs: int = MIN_DOCS,
+    min_code_points: int = MIN_CODE_POINTS,
+    keep_first: bool = False,
 ) -> DataFrame:
     """`id`, `version` and `dropped`, the bitmap of lines to drop, for documents that lose any:
-    (word number, 64 bits) in ascending order, words without a bit left out."""
+    (word number, 64 bits) in ascending order, words without a bit left out. With `keep_first` the first
+    occurrence of a line, in the document with the smallest id, stays."""
     runs = materialize(line_runs(docs, min_code_points), "line-runs")
     common = materialize(
         key_counts(runs)
         .where(F.col("n_docs") >= min_docs)
-        .select(*_KEY, F.col("n_docs").alias("rows_here")),
+        .select(*_KEY, "first", F.col("n_docs").alias("rows_here")),
         "common-lines",
     )
     met = join_counted(runs, common, list(_KEY), runs.count())
-    lost = met.select("id", "version", F.explode("positions").alias("pos"))
+    gone = F.col("positions")
+    if keep_first:
+        is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("version") == F.col("first.version"))
+        gone = F.when(is_first, F.slice(gone, 2, F.size(gone) - 1)).otherwise(gone)
+    lost = met.select("id", "version", F.explode(gone).alias("pos"))
     bits = lost.groupBy("id", "version", F.expr("pos div 64").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits")
     )
@@ -90,12 +98,15 @@ def bitmap_positions(bitmap: Column) -> Column:
 
 
 def dedup_lines(
-    docs: DataFrame, min_docs: int = MIN_DOCS, min_code_points: int = MIN_CODE_POINTS
+    docs: DataFrame,
+    min_docs: int = MIN_DOCS,
+    min_code_points: int = MIN_CODE_POINTS,
+    keep_first: bool = False,
 ) -> DataFrame:
     """Every row of `docs` as `row` (all its columns), with `n_lines`, `n_dropped`, `dropped` (the
     bitmap, null when nothing goes) and `kept_text`. A document without lines left has an empty text."""
     rows = rows_of(docs, F.struct("*").alias("row"))
-    bitmaps = dropped_bitmaps(docs, min_docs, min_code_points)
+    bitmaps = dropped_bitmaps(docs, min_docs, min_code_points, keep_first)
     joined = rows.join(bitmaps, same_row(rows, bitmaps), "left").select(
         "row", "text", "dropped", lines(F.col("text")).alias("lines")
     )
