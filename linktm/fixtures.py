@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 from linktm.scratch import full_uri
 
 
+def event_text() -> Column:
+    """The event time as text. It carries no zone in the table and means UTC."""
+    return F.concat(F.col("ts").cast("timestamp_ntz").cast("string"), F.lit("Z"))
+
+
 def event_micros() -> Column:
-    return F.unix_micros(F.col("ts").cast("timestamp"))
+    return F.unix_micros(event_text().cast("timestamp"))
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +79,19 @@ def packets_from_events(events: DataFrame) -> DataFrame:
         F.lit("TM_RAW").alias("topic"),
         F.lit(0).alias("partition"),
         F.col("event_id").alias("offset"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
+        F.timestamp_micros("us").alias("timestamp"),
     )
 
 
+def packets_with_gaps(events: DataFrame) -> DataFrame:
+    """Every event's packet, and after every fifth an empty and a missing one."""
+    packets = packets_from_events(events)
+    fifth = packets.where("offset % 5 = 0")
+    empty = fifth.withColumn("value", F.expr("X''"))
+    missing = fifth.withColumn("value", F.lit(None).cast("binary"))
+    return packets.unionByName(empty).unionByName(missing)
+
+
 def malformed_packets_from_events(events: DataFrame) -> DataFrame:
     """Every event's packet, some damaged: cut to 3 bytes, cut to the bare header,
     cut in the protocol header, cut by its last byte, or given a bad port name."""

@@ -19,6 +19,8 @@ KEY, FAMILY = "_key", "_family"
 TYPE_ROW, ORDER_ROW, DATA_ROW = "ColumnType", "ColumnOrder", "Row"
 PROFILES = ("v1", "v1_optional", "v2")
 KEY_V2 = "test"
+# Column of a cell store that tells later writes from earlier ones.
+VERSION = "write_version"
 
 
 def cell_rows(decoded: DataFrame, profile: str = "v1", *, compat: bool = False) -> DataFrame:
@@ -130,14 +132,25 @@ def packet_cells(
 
 
 def catalog(
-    spark: SparkSession, columns: list[tuple[str, str]], key: str, family: str
+    spark: SparkSession,
+    columns: list[tuple[str, str]],
+    key: str,
+    family: str,
+    *,
+    compat: bool = False,
 ) -> DataFrame:
     """Catalogue cells of one key and family: a type row and an order row. `columns`
-    are (name, Spark type) pairs in order."""
-    rows = [
-        (f"{key}.{TYPE_ROW}", family, name, "bytes" if kind == "binary" else dtype_name(kind))
-        for name, kind in columns
-    ]
+    are (name, Spark type) pairs in order.
+
+    compat  the historical type names: every whole number is `int64`.
+    """
+
+    def type_name(kind: str) -> str:
+        if compat and kind in ("tinyint", "smallint", "int"):
+            kind = "bigint"
+        return "bytes" if kind == "binary" else dtype_name(kind)
+
+    rows = [(f"{key}.{TYPE_ROW}", family, name, type_name(kind)) for name, kind in columns]
     rows += [
         (f"{key}.{ORDER_ROW}", family, str(place), name)
         for place, (name, _) in enumerate(columns)
@@ -145,13 +158,14 @@ def catalog(
     return spark.createDataFrame(rows, S.CELL_SCHEMA)
 
 
-def profile_catalog(rows: DataFrame) -> DataFrame:
-    """Catalogue of a wide row frame for every measurement's key and family."""
+def profile_catalog(rows: DataFrame, profile: str = "v1", *, compat: bool = False) -> DataFrame:
+    """Catalogue of a profile's wide row frame for every measurement's key and family."""
     kinds = dict(rows.dtypes)
     columns = [(name, kinds[name]) for name in content_columns(rows)]
-    same_key = "raw_packet_data" not in kinds
     parts = [
-        catalog(rows.sparkSession, columns, KEY_V2 if same_key else name, name)
+        catalog(
+            rows.sparkSession, columns, KEY_V2 if profile == "v2" else name, name, compat=compat
+        )
         for name, _, _ in S.MEASUREMENTS
     ]
     whole = parts[0]
@@ -214,9 +228,12 @@ def restore(
     version: str | None = None,
 ) -> DataFrame:
     """Cells of one key and family -> typed wide rows in catalogue order. When a cell
-    was written more than once, `version` names the column whose largest value wins."""
+    was written more than once the newest write wins: the largest value of the column `version`, by
+    default the write version that the store keeps; of equal ones the largest value."""
     names = [name for name, _ in columns]
-    value = F.first("value") if version is None else F.max_by("value", version)
+    version = version or next((c for c in (VERSION, "batch_id") if c in cells.columns), None)
+    newest = F.struct("value") if version is None else F.struct(version, "value")
+    value = F.max(newest)["value"]
     wide = (
         data_rows(cells, key, family).groupBy("row_key").pivot("qualifier", names).agg(value)
     )

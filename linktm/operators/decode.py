@@ -244,8 +244,10 @@ def readable(decoded: DataFrame) -> DataFrame:
 
 
 def quarantine(decoded: DataFrame) -> DataFrame:
-    """Packets that could not be read, with their bytes and the reason."""
-    kept = [c for c in S.ARRIVAL_ORDER if c in decoded.columns]
+    """Packets that could not be read, with their bytes, the reason, and every column that stood
+    beside the packet's value: its place in a topic or in a capture file."""
+    of_packet = {*S.DECODED_V1, *S.DECODED_V2, "decode_status", "raw_packet_data"}
+    kept = [c for c in decoded.columns if c not in of_packet]
     return decoded.where(~F.col("decode_status").isin(*READABLE)).select(
         *kept, "decode_status", "raw_packet_data"
     )

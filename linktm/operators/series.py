@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linktm.operators.slices import ROWS_PER_SLICE, SLICE, slice_by
+from linktm.operators.slices import INSIDE, ROWS_PER_SLICE, SLICE, slice_by
 
 
 def combine(*series: DataFrame) -> DataFrame:
@@ -36,13 +36,13 @@ def consecutive_difference(
     """
     by, tie = by or [], tie or []
     timed = frame.where(F.col(time).isNotNull())
-    slices = slice_by(timed, [time, *tie], rows_per_slice=rows_per_slice)
-    last = slices.frame.groupBy(SLICE, *by).agg(F.max(time).alias("_last"))
+    sliced = slice_by(timed, [time, *tie], rows_per_slice=rows_per_slice).drop(INSIDE)
+    last = sliced.groupBy(SLICE, *by).agg(F.max(time).alias("_last"))
     # One row per slice and series; without `by`, one row per slice.
     earlier = last.select(
         SLICE, *by, F.lag("_last").over(Window.partitionBy(*by).orderBy(SLICE)).alias(time)
     ).where(F.col(time).isNotNull())
-    rows = slices.frame.withColumn("_own", F.lit(True)).unionByName(
+    rows = sliced.withColumn("_own", F.lit(True)).unionByName(
         earlier.withColumn("_own", F.lit(False)), allowMissingColumns=True
     )
     within = Window.partitionBy(SLICE, *by).orderBy(time, "_own", *tie)

@@ -1,149 +1,55 @@
 """Global order without a single-task window.
 
-A frame is cut into slices: consecutive ranges of a total order, of about equal row
-count. Order-dependent work then runs inside each slice in parallel, and a table with
-one row per slice carries what crosses a slice border. A hot value of the first order
-column is cut further by the whole order key, so one that holds a third of all rows
-spreads over a third of the slices.
+A frame is stored once, ranged over partitions by its whole order key and sorted inside each: the
+partitions are slices, consecutive ranges of a total order, of about equal row count. Every
+row keeps its slice and its place in it, so numbering needs one more row per slice and no window.
+As the whole key decides, a value of the first column that holds a third of all rows spreads over a
+third of the slices.
 """
 
 from __future__ import annotations
 
-import json
 import math
-from bisect import bisect_right
-from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from linktm.scratch import materialize
 
 ROWS_PER_SLICE = 4_000_000
 SMALL_SLICE = 1_000
-MAX_SLICES = 16_384
-DRAWN_PER_SLICE = 64
 SLICE = "_slice"
-TIME_TEXT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-
+INSIDE = "_inside"
+# monotonically_increasing_id holds the partition above this bit and the row's place below it.
+_PLACE_BITS = 33
 
-@dataclass(frozen=True)
-class Slices:
-    """`frame` with its slice number; at most `count` <= MAX_SLICES slices."""
 
-    frame: DataFrame
-    count: int
+def slice_count(rows: int, tasks: int, rows_per_slice: int = ROWS_PER_SLICE) -> int:
+    """Slices for a number of rows: several per task for small frames, then one per
+    `rows_per_slice` rows without a limit."""
+    even = min(4 * tasks, math.ceil(rows / SMALL_SLICE))
+    return max(1, even, math.ceil(rows / rows_per_slice))
 
 
 def slice_by(
     frame: DataFrame, order: list[str], *, rows_per_slice: int = ROWS_PER_SLICE
-) -> Slices:
-    """Number the slices of `frame` in the order of the columns `order`, of which the
-    first must be a number or a time.
+) -> DataFrame:
+    """`frame` with its slice (`_slice`) and its place there (`_inside`, from 0) in the order of the columns
+    `order`, nulls first, NaN last.
 
-    Two passes read only the order columns: a row count, and a random draw that
-    places the borders (no row is left out of the result). The slice of a row is a
-    function of its key alone, so every later pass, retry or replay agrees. `order`
-    must identify a row up to ties whose mutual order does not matter.
+    The input is evaluated once, into the shared folder; the count, the borders and the rows come from what is
+    stored, and the result is stored as well, so every later pass, retry or replay agrees. `order` must
+    identify a row up to ties whose mutual order does not matter.
     """
     spark = frame.sparkSession
-    rows = frame.count()
+    stored = materialize(frame, "unordered")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Several slices per task even out how slices hash to tasks; a small frame, such
-    # as one micro-batch, is not cut into crumbs.
-    even = min(4 * tasks, math.ceil(rows / SMALL_SLICE))
-    wanted = min(MAX_SLICES, max(1, even, math.ceil(rows / rows_per_slice)))
-    if wanted == 1:
-        return Slices(frame.withColumn(SLICE, F.lit(0)), 1)
-    placed = frame.withColumn("_place", _number(frame, order[0]))
-    borders = _borders(placed, order, rows, wanted)
-    return Slices(_numbered(placed, order, borders).drop("_place"), wanted)
-
-
-def _number(frame: DataFrame, column: str) -> Column:
-    """The column as a double: never null, and never decreasing in the column's order."""
-    kind = frame.schema[column].dataType
-    if isinstance(kind, T.TimestampType):
-        number = F.unix_micros(column)
-    elif isinstance(kind, T.NumericType):
-        number = F.col(column)
-    else:
-        raise TypeError(f"the first order column must be a number or a time: {column}")
-    return F.coalesce(number.cast("double"), F.lit(-math.inf))
-
-
-@dataclass(frozen=True)
-class Borders:
-    """Slice borders in increasing order: their places, and their whole keys as JSON."""
-
-    places: list[float]
-    keys: list[str]
-    key_type: T.DataType
-
-
-def _borders(placed: DataFrame, order: list[str], rows: int, wanted: int) -> Borders:
-    """At most `wanted - 1` borders. The draw they come from holds about
-    `wanted * DRAWN_PER_SLICE` keys however large the frame is."""
-    drawn = placed.select(F.struct("_place", F.struct(*order).alias("key")).alias("drawn"))
-    share = wanted * DRAWN_PER_SLICE / rows
-    if share < 1.0:
-        drawn = drawn.sample(fraction=share, seed=7)
-    ranked = drawn.agg(F.sort_array(F.collect_list("drawn")).alias("drawn"))
-    picked = F.transform(
-        F.sequence(F.lit(1).cast("bigint"), F.lit(wanted - 1).cast("bigint")),
-        lambda i: F.get("drawn", F.floor(i * F.size("drawn") / wanted).cast("int")),
-    )
-    borders = ranked.select(F.array_compact(F.array_distinct(picked)).alias("borders"))
-    kind = borders.schema["borders"].dataType.elementType
-    found = borders.select(
-        F.transform("borders", lambda b: b["_place"]).alias("places"),
-        F.to_json(F.transform("borders", lambda b: b["key"]), TIME_TEXT).alias("keys"),
-    ).first()
-    keys = [json.dumps(key) for key in json.loads(found["keys"])]
-    return Borders(found["places"], keys, kind["key"].dataType)
-
-
-def _numbered(placed: DataFrame, order: list[str], borders: Borders) -> DataFrame:
-    """Slice number = number of borders at or before the row."""
-    places = sorted({p for p in borders.places if p > -math.inf})
-    if not places:
-        return placed.withColumn(SLICE, F.lit(0))
-    splits = [-math.inf, *places, math.inf]
-    cut = Bucketizer(splits=splits, inputCol="_place", outputCol="_cut").transform(placed)
-    cut = cut.withColumn("_cut", F.coalesce(F.col("_cut").cast("int"), F.lit(0)))
-    # up_to[c]: borders at or before cut c's first place.
-    up_to = [0, *(bisect_right(borders.places, place) for place in places)]
-    if up_to == list(range(len(up_to))):
-        return cut.withColumnRenamed("_cut", SLICE)
-
-    # A place with several borders is hot: its own rows are cut by their whole key.
-    # Its first border stands before all of them.
-    inner: list[list[str]] = [[]]
-    for c in range(1, len(up_to)):
-        inner.append(borders.keys[up_to[c - 1] + 1 : up_to[c]])
-    text = "[" + ",".join(f"[{','.join(keys)}]" for keys in inner) + "]"
-    nested = T.ArrayType(T.ArrayType(borders.key_type))
-    of_cut = F.get(F.from_json(F.lit(text), nested, TIME_TEXT), F.col("_cut"))
-    n_inner = F.get(F.lit([len(keys) for keys in inner]), F.col("_cut"))
-    all_before = F.get(F.lit(up_to), F.col("_cut"))
-    at_place = F.col("_place") == F.get(F.lit(splits[:-1]), F.col("_cut"))
-    longest = max(len(keys) for keys in inner)
-    inside = _borders_up_to(of_cut, F.struct(*order), longest)
-    hot = (n_inner > 0) & at_place
-    number = F.when(hot, all_before - n_inner + inside).otherwise(all_before)
-    return cut.withColumn(SLICE, F.coalesce(number, F.lit(0))).drop("_cut")
-
-
-def _borders_up_to(keys: Column, key: Column, longest: int) -> Column:
-    """Number of entries of a sorted array <= key, by binary search."""
-    steps = [1 << b for b in reversed(range(longest.bit_length()))]
-    return F.aggregate(
-        F.lit(steps),
-        F.lit(0),
-        lambda found, step: F.when(
-            F.coalesce(F.get(keys, found + step - 1) <= key, F.lit(False)), found + step
-        ).otherwise(found),
-    )
+    count = slice_count(stored.count(), tasks, rows_per_slice)
+    ranged = stored.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    placed = ranged.withColumn("_at", F.monotonically_increasing_id())
+    inside = F.col("_at").bitwiseAND((1 << _PLACE_BITS) - 1)
+    numbered = placed.withColumns({SLICE: F.shiftright("_at", _PLACE_BITS), INSIDE: inside})
+    return materialize(numbered.drop("_at"), "slices")
 
 
 def dense_row_id(
@@ -157,8 +63,8 @@ def dense_row_id(
 ) -> DataFrame:
     """Add consecutive integers from `start` in the order of `order`; `total`, when
     given, names a column for the number of rows."""
-    slices = slice_by(frame, order, rows_per_slice=rows_per_slice)
-    counted = slices.frame.groupBy(SLICE).agg(F.count(F.lit(1)).alias("_rows"))
+    sliced = slice_by(frame, order, rows_per_slice=rows_per_slice)
+    counted = sliced.groupBy(SLICE).agg(F.count(F.lit(1)).alias("_rows"))
     # These windows run over the slice table: one row per slice.
     everything = Window.orderBy(SLICE).rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
@@ -168,13 +74,8 @@ def dense_row_id(
         (F.sum("_rows").over(Window.orderBy(SLICE)) - F.col("_rows") + start).alias("_before"),
         F.sum("_rows").over(everything).alias("_total"),
     )
-    inside = F.row_number().over(Window.partitionBy(SLICE).orderBy(*order)) - 1
-    # At most MAX_SLICES rows are broadcast.
-    numbered = (
-        slices.frame.withColumn("_inside", inside)
-        .join(F.broadcast(offsets), SLICE)
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-    )
+    # One row per slice: sent to every task while it is small, else joined by slice.
+    numbered = sliced.join(offsets, SLICE).withColumn(name, F.col("_before") + F.col(INSIDE))
     if total:
         numbered = numbered.withColumn(total, F.col("_total"))
-    return numbered.drop(SLICE, "_inside", "_before", "_total")
+    return numbered.drop(SLICE, INSIDE, "_before", "_total")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linktm.fixtures import (
     malformed_packets_from_events,
+    packets_with_gaps,
     packets_from_events,
     read_events,
 )
 from linktm.scratch import new_path
-from linktm.sources.messages import packet_batch
+from linktm.sources.messages import packet_batch, packet_stream
+from linktm.streaming.job import TelemetryJob
 
 # Fixed value: the reception time used where a query must give the same rows twice.
 CLOCK_US = 1522920989746678
@@ -21,22 +25,17 @@ def fixed_clock() -> Column:
     return F.timestamp_micros(F.lit(CLOCK_US))
 
 
-_BUILDERS = {"packets": packets_from_events, "malformed": malformed_packets_from_events}
+_BUILDERS = {"packets": packets_from_events, "malformed": malformed_packets_from_events, "gaps": packets_with_gaps}
 _written: dict[tuple[str, str, str], str] = {}
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The event times carry no zone and are read as UTC.
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return read_events(spark, sf_dir)
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """A frame that fills fewer tasks than there are cores is dealt out to all of
-    them; a large one is left as it is read."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+    """Rows dealt out evenly, by as many tasks as the session's shuffles have."""
+    return frame.repartition("event_id")
 
 
 def message_path(spark: SparkSession, sf_dir: str, kind: str = "packets") -> str:
@@ -51,3 +50,32 @@ def message_path(spark: SparkSession, sf_dir: str, kind: str = "packets") -> str
 
 def messages(spark: SparkSession, sf_dir: str, kind: str = "packets") -> DataFrame:
     return packet_batch(spark, "parquet", path=message_path(spark, sf_dir, kind))
+
+
+# Micro-batches of the stream that works through its messages part by part.
+PARTS = 4
+_jobs: dict[tuple[str, str], tuple[TelemetryJob, str]] = {}
+
+
+def job_in_parts(spark: SparkSession, sf_dir: str) -> tuple[TelemetryJob, str]:
+    """A finished stream job of PARTS micro-batches, and the folder of its messages. Batch k has the packets
+    whose offset leaves k; the stream is stopped and started again before each."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _jobs:
+        folder, root = new_path(spark, "parts"), new_path(spark, "stream")
+        job = TelemetryJob(root, clock=fixed_clock(), extra_sinks={"copy": copy_sink(f"{root}/copy")})
+        for part in range(PARTS):
+            mine = messages(spark, sf_dir).where(F.col("offset") % PARTS == part)
+            mine.write.mode("append").parquet(folder)
+            stream = packet_stream(spark, "parquet", path=folder)
+            job.start(stream, interval=None).awaitTermination()
+        _jobs[key] = job, folder
+    return _jobs[key]
+
+
+def copy_sink(path: str) -> Callable[[DataFrame, int], None]:
+    def copy(packets: DataFrame, batch_id: int) -> None:
+        kept = packets.select("offset", "type")
+        kept.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return copy

@@ -89,6 +89,15 @@ NUMBERED = """
   FROM (SELECT *, count(*) OVER (PARTITION BY mno) AS n FROM m)
   WHERE mno = 1)
 """
+# Row numbers of four micro-batches, the k-th with the events that leave k: they run through the
+# measurements of a batch and on into the next batch.
+IN_PARTS = """
+, z AS (SELECT event_id % 4 AS part, count(*) AS n FROM p GROUP BY event_id % 4)
+, r AS (
+  SELECT m.*, row_number() OVER (PARTITION BY event_id % 4, mno ORDER BY event_id) - 1 + mno * z.n
+      + 2 * (SELECT coalesce(sum(y.n), 0) FROM z y WHERE y.part < event_id % 4)::BIGINT AS row_no
+  FROM m JOIN z ON z.part = event_id % 4)
+"""
 
 DETAILS_V1 = f"""
   clock_us AS grounddate, clock_us AS simulationdate, clock_us AS localdate,
@@ -160,7 +169,14 @@ DETAIL_TEXTS = {
     "sbd": "'1.2'",
     "type": "type",
 }
+CELLS_V1 = {"timestamp": "us", "confid": "'cb4223af4ba'", **VALUES}
 FULL = {"timestamp": "us", **DETAIL_TEXTS, **VALUES}
+# The tags of the first revision's points; the other columns are fields.
+TAG_TEXTS = {
+    name: text
+    for name, text in {**DETAIL_TEXTS, "unit": "unit"}.items()
+    if name not in ("grounddate", "simulationdate", "localdate")
+}
 COMPAT_VALUE = "CASE WHEN mno = 0 THEN pl ELSE duration_text END"
 COMPAT = {
     **{name: text.replace("'true'", "'True'").replace("'false'", "'False'") for name, text in DETAIL_TEXTS.items()},
@@ -287,6 +303,18 @@ ORACLES: dict[str, str] = {
     + MEASURED
     + """SELECT measurement AS name, count(*) AS points, min(us) AS first_us, max(us) AS last_us
       FROM m GROUP BY measurement""",
+    "inventory_internal": BASE
+    + MEASURED
+    + """SELECT measurement AS name, count(*) AS points, min(us) AS first_us, max(us) AS last_us
+      FROM m GROUP BY measurement""",
+    "points_tagged": BASE
+    + MEASURED
+    + ", t AS ("
+    + " UNION ALL ".join(
+        f"SELECT measurement, '{name}' AS tag, CAST({text} AS VARCHAR) AS value FROM m"
+        for name, text in TAG_TEXTS.items()
+    )
+    + ") SELECT measurement, tag, value, count(*) AS points FROM t GROUP BY ALL",
     "conform_points": BASE + MEASURED + CONFORMED,
     "conform_events": """SELECT event_id, value AS eng,
       TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS dec,
@@ -294,7 +322,7 @@ ORACLES: dict[str, str] = {
     "cells_v1": BASE
     + MEASURED
     + NUMBERED
-    + _melt({"timestamp": "us", "confid": "'cb4223af4ba'", **VALUES}, ROW_KEY),
+    + _melt(CELLS_V1, ROW_KEY),
     "cells_v1_optional": BASE + MEASURED + NUMBERED + _melt(FULL, ROW_KEY),
     "cells_v2": BASE
     + MEASURED
@@ -320,6 +348,18 @@ ORACLES: dict[str, str] = {
       FROM (SELECT family, qualifier, count(*) AS cells
             FROM ({_melt(FULL, PADDED_KEY)}) GROUP BY family, qualifier) s
       JOIN (VALUES {PLACES}) c(qualifier, place, dtype) ON s.qualifier = c.qualifier""",
+    "cells_row_get": BASE
+    + MEASURED
+    + NUMBERED
+    + f"""SELECT row_key, qualifier AS "column", value FROM ({_melt(FULL, PADDED_KEY)})
+      WHERE row_key = 'duration.Row' || lpad(CAST((SELECT count(*) FROM events) AS VARCHAR), 12, '0')""",
+    "cells_catalog_compat": f"""SELECT family, qualifier, CASE dtype WHEN 'int32' THEN 'int64' ELSE dtype END AS dtype, (SELECT count(*) FROM events) AS rows
+      FROM (VALUES {PLACES}) c(qualifier, place, dtype), (VALUES ('payloadlength'), ('duration')) f(family)
+      WHERE qualifier <> 'timestamp'""",
+    "cells_rewritten": BASE
+    + MEASURED
+    + NUMBERED
+    + f"SELECT {ROW_KEY} AS row_key, v AS eng FROM r WHERE measurement = 'duration'",
     "cells_restore": BASE
     + MEASURED
     + NUMBERED
@@ -358,6 +398,18 @@ ORACLES: dict[str, str] = {
     "capture_scan_whole_files": BASE
     + """SELECT ns AS spw_ts_nsec, pl AS spw_payload_length, type, raw FROM p""",
     "capture_numbering": "SELECT count(*) AS packets, count(*) AS numbered FROM events",
+    "capture_records": BASE
+    + """SELECT ns AS spw_ts_nsec, pl AS spw_payload_length, type, raw FROM p""",
+    "capture_first_n": BASE
+    + """SELECT ns AS spw_ts_nsec, pl AS spw_payload_length, type, raw FROM p""",
+    "quarantine_captures": BASE
+    + DAMAGED
+    + f"""SELECT 'file-' || (event_id % 10) AS path, event_id AS record_no,
+      event_id * 100 AS byte_offset, decode_status FROM s WHERE {UNREADABLE}""",
+    "classify_with_gaps": BASE + "SELECT type, count(*) AS packets FROM p GROUP BY type",
+    "topic_with_gaps": BASE
+    + "SELECT raw AS value_hex FROM p UNION ALL SELECT '' FROM p WHERE event_id % 5 = 0",
+    "log_documents_missing": "SELECT props AS document FROM events",
     "archive_roundtrip": BASE + RAW_MESSAGES,
     "topic_sink_file_target": BASE + "SELECT raw AS value_hex FROM p",
     "log_documents": """SELECT event_id, event_type,
@@ -365,20 +417,19 @@ ORACLES: dict[str, str] = {
       FROM events""",
     "log_text_sink": "SELECT props AS document FROM events",
     "stream_points": BASE + MEASURED + POINTS_V1,
-    "stream_cells": BASE
-    + MEASURED
-    + NUMBERED
-    + f"""SELECT family, qualifier, count(*) AS cells, count(DISTINCT row_no) AS numbers,
-      min(row_no) AS first_number, max(row_no) AS last_number
-      FROM (SELECT *, CAST(split_part(row_key, '.Row', 2) AS BIGINT) AS row_no
-        FROM ({_melt({"timestamp": "us", "confid": "'cb4223af4ba'", **VALUES}, ROW_KEY)}))
-      GROUP BY family, qualifier""",
+    "stream_cells": BASE + MEASURED + IN_PARTS + _melt(CELLS_V1, ROW_KEY),
+    "stream_replay": BASE + MEASURED + IN_PARTS + _melt(CELLS_V1, ROW_KEY),
+    "stream_batch_counts": """SELECT event_id % 4 AS batch_id, count(*) AS packets FROM events
+      GROUP BY event_id % 4""",
+    "stream_extra_sink": BASE
+    + "SELECT event_id % 4 AS batch_id, type, count(*) AS packets FROM p GROUP BY ALL",
     "stream_quarantine": BASE
     + DAMAGED
     + f'SELECT event_id AS "offset", decode_status FROM s WHERE {UNREADABLE}',
     "stream_batch_ledger": BASE
     + DAMAGED
     + f"""SELECT 'points' AS sink, 2 * count(*) AS rows FROM s WHERE NOT ({UNREADABLE})
+      UNION ALL SELECT 'received', count(*) FROM s
       UNION ALL SELECT 'cells', 12 * count(*) FROM s WHERE NOT ({UNREADABLE})
       UNION ALL SELECT 'quarantine', count(*) FROM s WHERE {UNREADABLE}""",
     "stream_archive": BASE + RAW_MESSAGES,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linktm import schema as S
-from linktm.fixtures import event_micros, write_capture_files
+from linktm.fixtures import event_micros, event_text, write_capture_files
 from linktm.functions import values as V
 from linktm.functions.bytes import hex_text, latin1_text
 from linktm.operators import cells as C
@@ -24,20 +24,29 @@ from linktm.operators.decode import (
     select_present,
 )
 from linktm.operators.slices import dense_row_id
-from linktm.plans.data import events, fixed_clock, message_path, messages
+from linktm.plans.data import (
+    PARTS,
+    events,
+    fixed_clock,
+    job_in_parts,
+    message_path,
+    messages,
+)
 from linktm.scratch import materialize, new_path
 from linktm.sinks import stores as K
 from linktm.sources import stores as Q
 from linktm.sources.capture import read_whole_files
 from linktm.sources.capture_index import read_captures
 from linktm.sources.logs import document_field, log_documents
-from linktm.sources.messages import packet_stream
+from linktm.sources.messages import packet_batch, packet_stream
 from linktm.streaming import ledger
-from linktm.streaming.job import TelemetryJob, archive_stream
+from linktm.streaming.job import TelemetryJob, archive_stream, packet_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORDER = list(S.ARRIVAL_ORDER)
+# Fixed value: packets of the full workload.
+WORKLOAD = 863_928
 
 
 def query(function: Query) -> Query:
@@ -229,6 +238,32 @@ def measurement_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def inventory_internal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory of a store that holds an internal measurement too."""
+    path = new_path(spark, "points")
+    frame = P.points(decoded(spark, sf_dir))
+    K.write_points(frame.unionByName(frame.withColumn("measurement", F.lit(Q.INTERNAL))), path)
+    listed = Q.list_measurements(Q.read_points(spark, path))
+    return listed.select(
+        "name",
+        "points",
+        F.unix_micros("first_time").alias("first_us"),
+        F.unix_micros("last_time").alias("last_us"),
+    )
+
+
+@query
+def points_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored points by the names of their tags, whose values are texts."""
+    path = new_path(spark, "points")
+    K.write_points(P.points(decoded(spark, sf_dir)), path, tag_columns=P.tag_names())
+    stored = Q.read_points(spark, path)
+    tags = Q.tag_columns(stored)
+    named = stored.unpivot(["measurement"], tags, "tag", "value")
+    return named.groupBy("measurement", "tag", "value").agg(F.count(F.lit(1)).alias("points"))
+
+
 @query
 def conform_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = P.points(decoded(spark, sf_dir))
@@ -293,7 +328,7 @@ def stored_cells(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     cells_path, catalog_path = new_path(spark, "cells"), new_path(spark, "catalog")
     numbered = C.number_rows(decoded(spark, sf_dir), ORDER)
     rows = C.cell_rows(numbered, "v1_optional")
-    K.write_catalog(C.profile_catalog(rows), catalog_path)
+    K.write_catalog(C.profile_catalog(rows, "v1_optional"), catalog_path)
     K.write_cells(C.melt(C.sequential_keys(rows, width=12)), cells_path)
     return cells_path, catalog_path
 
@@ -324,6 +359,38 @@ def cells_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def cells_row_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells of the first packet's row, by key, with columns split from qualified names."""
+    stored = Q.read_cells(spark, stored_cells(spark, sf_dir)[0])
+    cells = C.get_row(stored, f"duration.Row{events(spark, sf_dir).count():012d}", "duration")
+    named = F.concat("family", F.lit(":"), "qualifier")
+    return cells.select("row_key", V.column_of(named).alias("column"), "value")
+
+
+@query
+def cells_catalog_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Historical type names of the columns, beside the number of packets."""
+    frame = decoded(spark, sf_dir, compat=True)
+    rows = C.cell_rows(frame, "v1_optional", compat=True)
+    catalog = C.profile_catalog(rows, "v1_optional", compat=True)
+    types = catalog.where(F.col("row_key").endswith(C.TYPE_ROW))
+    counts = rows.groupBy(F.col(C.FAMILY).alias("family")).agg(F.count(F.lit(1)).alias("rows"))
+    return types.join(counts, "family").select(
+        "family", "qualifier", F.col("value").alias("dtype"), "rows"
+    )
+
+
+@query
+def cells_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells written twice: the later write holds."""
+    path = new_path(spark, "cells")
+    rows = C.sequential_keys(C.cell_rows(C.number_rows(decoded(spark, sf_dir), ORDER)))
+    K.write_cells(C.melt(rows.withColumn("eng", F.col("eng") + 1), ["eng"]), path)
+    K.write_cells(C.melt(rows, ["eng"]), path)
+    return C.restore(Q.read_cells(spark, path), [("eng", "int64")], "duration", "duration")
+
+
 @query
 def cells_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells_path, catalog_path = stored_cells(spark, sf_dir)
@@ -405,7 +472,7 @@ def time_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Epoch units, text and rounded-second conversions of every event time."""
     us = F.col("us")
     frame = events(spark, sf_dir).select(
-        "event_id", event_micros().alias("us"), F.col("ts").cast("string").alias("text"), "props"
+        "event_id", event_micros().alias("us"), event_text().alias("text"), "props"
     )
     return frame.select(
         "event_id",
@@ -459,6 +526,57 @@ def capture_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.agg(F.sum("n").alias("packets"), F.sum("last").alias("numbered"))
 
 
+@query
+def capture_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets whose number and place in their file are those of one sequential scan."""
+    folder = capture_folder(spark, sf_dir)
+    place = ["path", "record_no", "byte_offset"]
+    whole = read_whole_files(spark, folder).select(*place)
+    return capture_rows(read_captures(spark, folder, chunk_bytes=100_000).join(whole, place))
+
+
+@query
+def capture_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first packets of every file, by number, as many as the full workload has."""
+    return capture_rows(read_captures(spark, capture_folder(spark, sf_dir), first=WORKLOAD))
+
+
+@query
+def quarantine_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unreadable packets of capture files that a record number and a place come with."""
+    packets = messages(spark, sf_dir, "malformed").select(
+        F.concat(F.lit("file-"), F.col("offset") % 10).alias("path"),
+        F.col("offset").alias("record_no"),
+        (F.col("offset") * 100).alias("byte_offset"),
+        "value",
+    )
+    bad = quarantine(decode_packets(non_empty(packets), clock=fixed_clock()))
+    return bad.select("path", "record_no", "byte_offset", "decode_status")
+
+
+@query
+def classify_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets per type where empty and missing messages stand between them."""
+    frame = decoded(spark, sf_dir, "gaps")
+    return frame.groupBy("type").agg(F.count(F.lit(1)).alias("packets"))
+
+
+@query
+def topic_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A topic gets empty packets, but none for a missing one."""
+    path = new_path(spark, "topic")
+    K.write_topic(packet_values(messages(spark, sf_dir, "gaps")), "parquet", path=path)
+    return spark.read.parquet(path).select(hex_text(F.col("value")).alias("value_hex"))
+
+
+@query
+def log_documents_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a folder and of one that does not exist."""
+    path = new_path(spark, "log-text")
+    K.write_text_lines(events(spark, sf_dir).select(F.col("props").alias("document")), path)
+    return log_documents(spark, path).unionByName(log_documents(spark, new_path(spark, "none")))
+
+
 @query
 def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archive")
@@ -518,14 +636,33 @@ def stream_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored cells with the row number left out, and how far row numbers reach."""
-    stored = Q.read_cells(spark, finished_job(spark, sf_dir).cells_path)
-    number = F.regexp_extract("row_key", r"\.Row(\d+)$", 1).cast("bigint")
-    return stored.groupBy("family", "qualifier").agg(
-        F.count(F.lit(1)).alias("cells"),
-        F.count_distinct(number).alias("numbers"),
-        F.min(number).alias("first_number"),
-        F.max(number).alias("last_number"),
+    """Keys and values of the cells that four micro-batches wrote."""
+    job, _ = job_in_parts(spark, sf_dir)
+    return Q.read_cells(spark, job.cells_path).select("row_key", "family", "qualifier", "value")
+
+
+@query
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cells after one of the micro-batches has been written again."""
+    job, folder = job_in_parts(spark, sf_dir)
+    packets = packet_batch(spark, "parquet", path=folder)
+    job.write_batch(packets.where(F.col("offset") % PARTS == 2), 2)
+    return Q.read_cells(spark, job.cells_path).select("row_key", "family", "qualifier", "value")
+
+
+@query
+def stream_batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    job, _ = job_in_parts(spark, sf_dir)
+    return packet_counts(spark, job)
+
+
+@query
+def stream_extra_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a callback of the job's own saw of every micro-batch."""
+    job, _ = job_in_parts(spark, sf_dir)
+    copied = spark.read.parquet(f"{job.root}/copy")
+    return copied.groupBy("batch_id", "type").agg(F.count(F.lit(1)).alias("packets")).withColumn(
+        "batch_id", F.col("batch_id").cast("bigint")
     )
 
 

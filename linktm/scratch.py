@@ -1,18 +1,22 @@
 """Shared folder for written intermediates.
 
 Intermediates go below `spark.checkpoint.dir`, so every executor sees them and a
-lost executor loses nothing. Only a local session without that setting falls back
-to a folder of this machine.
+lost executor loses nothing. Only where a local session lacks the setting, as in tests, a
+folder of this machine is set for it. `scope` removes what was stored inside it.
 """
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
+_scopes = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,7 +41,28 @@ def full_uri(spark: SparkSession, path: str) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path that nothing has written to yet."""
-    return f"{shared_folder(spark)}/linktm/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/linktm/{name}-{uuid.uuid4().hex}"
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediates that this thread stores inside are removed at its end: frames that read them
+    must have been used by then."""
+    _scopes.open = [*getattr(_scopes, "open", []), []]
+    try:
+        yield
+    finally:
+        *_scopes.open, paths = _scopes.open
+        for path in paths:
+            remove(spark, path)
 
 
 def materialize(frame: DataFrame, name: str) -> DataFrame:

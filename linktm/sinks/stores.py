@@ -6,13 +6,20 @@ replaying a micro-batch leaves the store as it was. Without one it appends.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linktm.functions.values import json_line
+from linktm.operators.cells import VERSION
 from linktm.operators.points import with_tags
 from linktm.sources.messages import TOPIC
 
+# Key of the column metadata that marks a tag.
+TAG = "tag"
+
 
 def _save(frame: DataFrame, path: str, by: list[str], batch_id: int | None) -> None:
     target, mode = (path, "append") if batch_id is None else (f"{path}/batch_id={batch_id}", "overwrite")
@@ -24,19 +31,37 @@ def write_points(
     path: str,
     *,
     tags: dict[str, object] | None = None,
+    tag_columns: tuple[str, ...] = (),
     batch_id: int | None = None,
 ) -> None:
     """Points in one folder per measurement, in time order inside each file so that a
-    time filter skips row groups. `tags` are constants added to every point."""
+    time filter skips row groups. `tags` are constants added to every point. These and `tag_columns` are stored as
+    strings and marked as tags in the schema; all other columns are fields."""
     if tags:
         points = with_tags(points, tags)
+    for name in (*tag_columns, *(tags or ())):
+        if name in points.columns:
+            points = points.withColumn(name, F.col(name).cast("string")).withMetadata(name, {TAG: True})
     _save(points.sortWithinPartitions("measurement", "time"), path, ["measurement"], batch_id)
 
 
-def write_cells(cells: DataFrame, path: str, *, batch_id: int | None = None) -> None:
-    """Cells in one folder per family, in key order inside each file."""
-    ordered = cells.sortWithinPartitions("family", "row_key")
-    _save(ordered, path, ["family"], batch_id)
+def write_cells(
+    cells: DataFrame,
+    path: str,
+    *,
+    batch_id: int | None = None,
+    version: int | None = None,
+    observed: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> None:
+    """Cells in one folder per family. A file holds one range of row keys, in order, and the ranges of a
+    family's files do not overlap, so a range of keys opens only the files it needs. Every cell bears the `version` of its write, by default
+    the batch's number or else the time in microseconds: where a cell was written twice, the larger one holds. `observed` is
+    applied to the rows as they are written; what comes before is also run to place the ranges."""
+    if version is None:
+        version = time.time_ns() // 1000 if batch_id is None else batch_id
+    cells = cells.withColumn(VERSION, F.lit(version).cast("bigint"))
+    ordered = cells.repartitionByRange("family", "row_key").sortWithinPartitions("family", "row_key")
+    _save(observed(ordered), path, ["family"], batch_id)
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:

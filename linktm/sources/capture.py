@@ -264,10 +264,57 @@ def probe_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+WALK_SCHEMA = "path string, chunk bigint, stop bigint, entry bigint, records bigint, following bigint"
+
+
+def walk_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, chunk, entry, chunks, masked) -> WALK_SCHEMA: from a chunk whose guess is missing or differs from where
+    the chunk before it ends, frame on through the file's `chunks` (chunk, entry, stop) until one begins as guessed."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            position, chunks = row["entry"], row["chunks"]
+            for place in range(row["chunk"], len(chunks)):
+                stop = chunks[place]["stop"]
+                if place > row["chunk"] and chunks[place]["entry"] == position:
+                    break
+                records, following = measure_range(row["path"], position, stop, row["masked"])
+                yield pa.RecordBatch.from_pylist(
+                    [
+                        {
+                            "path": row["path"],
+                            "chunk": place,
+                            "stop": stop,
+                            "entry": position,
+                            "records": records,
+                            "following": following,
+                        }
+                    ]
+                )
+                position = following
+
+
+def follow_file(table: pa.Table) -> pa.Table:
+    """Framed chunks of one file, right and wrong guesses among them -> the chain of those that follow
+    each other from the global header on."""
+    framed = {(r["chunk"], r["entry"]): r for r in table.to_pylist()}
+    position, chain = GLOBAL_HEADER, []
+    for chunk in range(1 + max(c for c, _ in framed)):
+        # Every chunk on the chain was framed by its guess or by a walk.
+        row = framed[chunk, position]
+        chain.append(row)
+        position = row["following"]
+    return pa.Table.from_pylist(chain, schema=table.schema)
+
+
 def frame_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, entry, stop, first, masked) -> records."""
+    """(path, entry, stop, first, masked, before) -> records."""
     for batch in batches:
         for row in batch.to_pylist():
             yield from frame_range(
-                row["path"], row["entry"], row["stop"], row["first"], masked=row["masked"]
+                row["path"],
+                row["entry"],
+                row["stop"],
+                row["first"],
+                masked=row["masked"],
+                before=row["before"],
             )

@@ -3,8 +3,9 @@
 Record starts are known only by following the lengths from the start of the file, so
 a file cannot simply be cut. Instead every chunk guesses its first record and frames
 from there; a guess is right exactly when the chunk before it ends on that position.
-Wrong guesses are framed again from the proven position until every border agrees,
-so the result equals one sequential scan, whatever the guesses were.
+From every border that disagrees one task frames on until a guess is met again, and each
+file's chunks are then chained from its start, so the result equals one sequential scan, whatever
+the guesses were, in a number of jobs that does not depend on them.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from linktm.sources.capture import (
     GLOBAL_HEADER,
     RANGE_SCHEMA,
     SCHEMA,
+    WALK_SCHEMA,
     capture_files,
+    follow_file,
     frame_ranges,
     probe_ranges,
+    walk_ranges,
 )
 
 MAX_CHUNK = 128 << 20
@@ -33,9 +37,8 @@ def chunk_size(spark: SparkSession, sizes: list[int]) -> int:
 
 
 def _spread(frame: DataFrame, rows: int) -> DataFrame:
-    """One task per few rows: a row stands for a whole chunk of a file."""
-    tasks = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(max(1, min(rows, 64 * tasks)))
+    """One task per row: a row stands for a whole chunk of a file."""
+    return frame.repartition(max(1, rows))
 
 
 def capture_index(
@@ -65,32 +68,25 @@ def capture_index(
     )
     # One row per chunk: a file's chunks are few, whatever its size.
     in_file = Window.partitionBy("path").orderBy("chunk")
-    while True:
-        checked = ranges.withColumn(
-            "proven",
-            F.when(F.col("chunk") == 0, F.lit(GLOBAL_HEADER)).otherwise(
-                F.lag("following").over(in_file)
-            ),
+    proven = F.lag("following").over(in_file)
+    checked = ranges.withColumn("proven", proven).where(
+        F.col("proven").isNotNull() & ~F.col("entry").eqNullSafe(F.col("proven"))
+    )
+    wrong = checked.select("path", "chunk", F.col("proven").alias("entry"))
+    again = wrong.count()
+    framed = ranges.where(F.col("records").isNotNull())
+    if again:
+        # All wrong borders are walked on from at once. A walk that began at a wrong place is left out
+        # of the chain below; the chain itself meets only walks that began at the right one.
+        files = wrong.select("path").distinct()
+        chunked = ranges.join(files, "path").groupBy("path").agg(
+            F.array_sort(F.collect_list(F.struct("chunk", "entry", "stop"))).alias("chunks")
         )
-        wrong = checked.where(
-            F.col("proven").isNotNull() & ~F.col("entry").eqNullSafe(F.col("proven"))
+        walks = _spread(wrong.join(chunked, "path").withColumn("masked", masked), again).mapInArrow(
+            walk_ranges, WALK_SCHEMA
         )
-        again = wrong.count()
-        if not again:
-            break
-        repaired = _spread(
-            wrong.select(
-                "path",
-                "chunk",
-                F.lit(0).cast("bigint").alias("start"),
-                "stop",
-                F.col("proven").alias("entry"),
-                masked,
-            ),
-            again,
-        ).mapInArrow(probe_ranges, RANGE_SCHEMA)
-        kept = ranges.join(wrong.select("path", "chunk"), ["path", "chunk"], "left_anti")
-        ranges = materialize(kept.unionByName(repaired), "capture-index")
+        framed = framed.unionByName(materialize(walks, "capture-walks"))
+    ranges = materialize(framed.groupBy("path").applyInArrow(follow_file, WALK_SCHEMA), "capture-chains")
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
     return ranges.select(
         "path",
@@ -104,12 +100,21 @@ def capture_index(
 
 
 def read_captures(
-    spark: SparkSession, path: str, *, chunk_bytes: int | None = None, compat: bool = False
+    spark: SparkSession,
+    path: str,
+    *,
+    chunk_bytes: int | None = None,
+    compat: bool = False,
+    first: int | None = None,
 ) -> DataFrame:
     """Packets of a capture file or folder: (path, record_no, byte_offset, value). The
-    rows of `read_whole_files`, with large files read by many tasks."""
+    rows of `read_whole_files`, with large files read by many tasks. `first` reads that many packets of each
+    file and no chunk behind them."""
     index = materialize(
         capture_index(spark, path, chunk_bytes=chunk_bytes, compat=compat), "capture-ranges"
     )
     ranges = index.where(F.col("records") > 0)
-    return _spread(ranges, ranges.count()).mapInArrow(frame_ranges, SCHEMA)
+    if first is not None:
+        ranges = ranges.where(F.col("first") < first)
+    bounded = ranges.withColumn("before", F.lit(first).cast("bigint"))
+    return _spread(bounded, bounded.count()).mapInArrow(frame_ranges, SCHEMA)

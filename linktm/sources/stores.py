@@ -12,6 +12,11 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def tag_columns(points: DataFrame) -> list[str]:
+    """Names of a store's tags; its other columns are the time and fields."""
+    return [f.name for f in points.schema.fields if f.metadata.get("tag")]
+
+
 def scan_measurement(spark: SparkSession, path: str, measurement: str) -> DataFrame:
     """All points of one measurement; only its folder is read."""
     return read_points(spark, path).where(F.col("measurement") == measurement)

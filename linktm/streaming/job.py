@@ -6,10 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from linktm import scratch
 from linktm.operators.cells import cell_rows, melt, number_rows, profile_catalog, sequential_keys
 from linktm.operators.decode import decode_packets, non_empty, quarantine, raw_bytes, readable
 from linktm.operators.points import points
@@ -18,6 +19,8 @@ from linktm.sinks.stores import write_catalog, write_cells, write_points
 from linktm.streaming import ledger
 
 INTERVAL = "10 seconds"
+# The ledger entry that holds a micro-batch's number of received packets.
+RECEIVED = "received"
 
 
 @dataclass(frozen=True)
@@ -68,15 +71,21 @@ class TelemetryJob:
     def write_batch(self, packets: DataFrame, batch_id: int) -> None:
         """Write one micro-batch. Every sink replaces what an earlier try of the same
         batch wrote, and the ledger is written last."""
+        with scratch.scope(packets.sparkSession):
+            self._write_batch(packets, batch_id)
+
+    def _write_batch(self, packets: DataFrame, batch_id: int) -> None:
         spark = packets.sparkSession
+        started = ledger.now()
+        received = packets.count()
         decoded = self.decode(packets).persist(StorageLevel.MEMORY_AND_DISK)
-        entries = []
+        entries = [ledger.Entry(RECEIVED, received, started, ledger.now())]
 
         def timed(sink: str, frame: DataFrame, write, next_row: int | None = None) -> int:
             # Rows are counted while they are written, not by another pass.
             seen = Observation()
             started = ledger.now()
-            write(frame.observe(seen, F.count(F.lit(1)).alias("rows")))
+            write(frame, lambda f: f.observe(seen, F.count(F.lit(1)).alias("rows")))
             rows = seen.get["rows"]
             entries.append(ledger.Entry(sink, rows, started, ledger.now(), next_row))
             return rows
@@ -86,7 +95,7 @@ class TelemetryJob:
             timed(
                 "points",
                 points(good, variant=self.variant),
-                lambda f: write_points(f, self.points_path, batch_id=batch_id),
+                lambda f, seen: write_points(seen(f), self.points_path, batch_id=batch_id),
             )
             start = ledger.next_row(spark, self.ledger_path, batch_id)
             numbered = number_rows(good, list(self.order))
@@ -95,20 +104,24 @@ class TelemetryJob:
             timed(
                 "cells",
                 melt(keyed, python_booleans=self.compat),
-                lambda f: write_cells(f, self.cells_path, batch_id=batch_id),
+                lambda f, seen: write_cells(
+                    f, self.cells_path, batch_id=batch_id, observed=seen
+                ),
                 start + good.count() * len(MEASUREMENTS),
             )
             if batch_id == 0:
-                write_catalog(profile_catalog(rows), self.catalog_path)
+                write_catalog(
+                    profile_catalog(rows, self.profile, compat=self.compat), self.catalog_path
+                )
             timed(
                 "quarantine",
                 quarantine(decoded),
-                lambda f: f.write.mode("overwrite").parquet(
+                lambda f, seen: seen(f).write.mode("overwrite").parquet(
                     f"{self.quarantine_path}/batch_id={batch_id}"
                 ),
             )
             for name, sink in self.extra_sinks.items():
-                timed(name, good, lambda f, sink=sink: sink(f, batch_id))
+                timed(name, good, lambda f, seen, sink=sink: sink(seen(f), batch_id))
             ledger.record(spark, self.ledger_path, batch_id, entries)
         finally:
             decoded.unpersist()
@@ -116,10 +129,8 @@ class TelemetryJob:
     def start(
         self, packets: DataFrame, *, interval: str | None = INTERVAL, name: str | None = None
     ) -> StreamingQuery:
-        """Run the stream; `interval=None` works through what is there and stops.
-        Packets per micro-batch appear in the query's progress as `batch.packets`."""
-        counted = packets.observe("batch", F.count(F.lit(1)).alias("packets"))
-        writer = counted.writeStream.foreachBatch(self.write_batch).option(
+        """Run the stream; `interval=None` works through what is there and stops."""
+        writer = packets.writeStream.foreachBatch(self.write_batch).option(
             "checkpointLocation", f"{self.root}/checkpoint"
         )
         if name:
@@ -142,11 +153,7 @@ def archive_stream(
     return writer.trigger(**trigger).start()
 
 
-def packet_counts(query: StreamingQuery) -> list[tuple[int, int]]:
-    """(batch, packets) of the query's recent micro-batches."""
-    return [
-        (p.batchId, p.observedMetrics["batch"]["packets"])
-        for p in query.recentProgress
-        if "batch" in p.observedMetrics
-    ]
-
+def packet_counts(spark: SparkSession, job: TelemetryJob) -> DataFrame:
+    """`batch_id`, `packets` received in every micro-batch of a job since it first ran, empty packets included."""
+    entries = ledger.read(spark, job.ledger_path).where(F.col("sink") == RECEIVED)
+    return entries.select("batch_id", F.col("rows").alias("packets"))

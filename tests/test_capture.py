@@ -5,6 +5,7 @@ import pytest
 from reference_decode import ccsds, packet
 
 from linktm.fixtures import packets_from_events, read_events, write_capture_files
+from linktm.scratch import materialize
 from linktm.sources import capture
 from linktm.sources.capture_index import capture_index, chunk_size, read_captures
 
@@ -150,3 +151,27 @@ def test_round_trip_of_the_event_packets(spark, tables, tmp_path):
 
 def test_ccsds_helper_is_16_bytes_at_least():
     assert len(ccsds(data=b"")) == 16
+
+
+@pytest.mark.parametrize("packets", [40, 500])
+def test_unguessable_chunks_take_a_fixed_number_of_writes(spark, tmp_path, monkeypatch, packets):
+    """25 and 250 or more chunks without a guess: the same number of index tables."""
+    from linktm.sources import capture_index as module
+
+    content = HEADER + b"".join(packet(nanos=2**32 - 1, payload=b"abcd" * 5) for _ in range(packets))
+    path = write(tmp_path, one=content)
+    written = []
+    monkeypatch.setattr(module, "materialize", lambda f, n: (written.append(n), materialize(f, n))[1])
+    ranges = capture_index(spark, path, chunk_bytes=len(content) // (packets * 5 // 8)).collect()
+    assert len(ranges) >= packets * 5 // 8 and sum(r.records for r in ranges) == packets
+    assert written == ["capture-index", "capture-walks", "capture-chains"]
+
+
+def test_first_packets_of_each_file(spark, tmp_path):
+    content = HEADER + b"".join(some_packets(200))
+    path = write(tmp_path, one=content)
+    for n in (0, 1, 77, 200, 10**6):
+        got = read_captures(spark, path, chunk_bytes=1_000, first=n)
+        assert as_rows(got) == sequential(content)[:n]
+    plan = read_captures(spark, path, chunk_bytes=1_000, first=77)._jdf.queryExecution().toString()
+    assert "Sort" not in plan and "TakeOrdered" not in plan

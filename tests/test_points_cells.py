@@ -96,8 +96,8 @@ def test_cells_round_trip(spark, profile, tmp_path):
     numbered = C.number_rows(decoded, ["offset"], rows_per_slice=4)
     wide = C.sequential_keys(C.cell_rows(numbered, profile))
     K.write_cells(C.melt(wide), str(tmp_path / "cells"))
-    K.write_catalog(C.profile_catalog(wide), str(tmp_path / "catalog"))
-    K.write_catalog(C.profile_catalog(wide), str(tmp_path / "catalog"))
+    K.write_catalog(C.profile_catalog(wide, profile), str(tmp_path / "catalog"))
+    K.write_catalog(C.profile_catalog(wide, profile), str(tmp_path / "catalog"))
     stored = R.read_cells(spark, str(tmp_path / "cells"))
     catalog = spark.read.parquet(str(tmp_path / "catalog"))
     key = C.KEY_V2 if profile == "v2" else "duration"

@@ -3,6 +3,7 @@ import pytest
 
 from linktm import scratch
 from linktm.fixtures import packets_from_events, read_events
+from linktm.operators import cells as C
 from linktm.operators.decode import packet_values
 from linktm.sinks import stores as K
 from linktm.sources import stores as R
@@ -76,3 +77,38 @@ def test_cluster_without_shared_folder_is_refused():
 
     with pytest.raises(RuntimeError):
         scratch.shared_folder(Session())
+
+
+def test_files_of_cells_hold_separate_key_ranges(spark, tmp_path):
+    """A narrow scan opens a fraction of the files."""
+    path = str(tmp_path / "cells")
+    cells = spark.range(8_000).select(
+        F.format_string("duration.Row%012d", "id").alias("row_key"),
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("family"),
+        F.lit("eng").alias("qualifier"),
+        F.col("id").cast("string").alias("value"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        K.write_cells(cells.repartition(6), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stored = R.read_cells(spark, path)
+    files = stored.groupBy("family", F.input_file_name().alias("file")).agg(
+        F.min("row_key").alias("lo"), F.max("row_key").alias("hi")
+    )
+    for family in ("a", "b"):
+        ranges = files.where(F.col("family") == family).orderBy("lo").collect()
+        assert len(ranges) > 2 and all(x.hi < y.lo for x, y in zip(ranges, ranges[1:]))
+
+
+def test_newest_cell_holds_and_tags_are_marked(spark, tmp_path):
+    path = str(tmp_path / "cells")
+    one = spark.createDataFrame([("k.Row1", "k", "eng", "9")], "row_key string, family string, qualifier string, value string")
+    K.write_cells(one, path)
+    K.write_cells(one.withColumn("value", F.lit("3")), path)
+    assert C.restore(R.read_cells(spark, path), [("eng", "int64")], "k", "k").first().eng == 3
+    points = spark.createDataFrame([("m", 1, 5, 7)], "measurement string, time int, port int, eng int")
+    K.write_points(points, str(tmp_path / "p"), tags={"site": 4}, tag_columns=("port",))
+    stored = R.read_points(spark, str(tmp_path / "p"))
+    assert sorted(R.tag_columns(stored)) == ["port", "site"] and stored.first().port == "5"
