@@ -279,8 +279,12 @@ def test_probabilities_sum_to_one():
     weights = draw.normal(size=(1 << maxent_lm.FEATURE_BITS, maxent_lm.CLASSES)).astype(np.float32)
     codes = draw.integers(0, 1 << 40, 50)
     rows = maxent_lm.features(codes, np.arange(50))
-    p = np.exp(maxent_lm.log_probabilities(weights, np.zeros(maxent_lm.CLASSES, np.float32), rows))
+    bias = np.zeros(maxent_lm.CLASSES, np.float32)
+    p = maxent_lm.probabilities(weights, bias, rows)
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
+    for label in (0, 7):
+        logs = maxent_lm.log_probabilities(weights, bias, rows, np.full(50, label))
+        assert np.allclose(np.exp(logs), p[:, label], atol=1e-4)
 
 
 def test_language_model_of_nothing(spark):
