@@ -48,12 +48,16 @@ def packets_from_events(events: DataFrame) -> DataFrame:
         F.expr("cast(round(value * 100) as bigint)").alias("lsb"),
         F.expr("event_id % 4").alias("k"),
     )
+    # Every header field varies with the event, so that a decode with a wrong shift shows.
+    address = _be("200 + event_id % 50", 1)
     ccsds = (
-        "concat('FE020000', "
-        + _be("(CASE WHEN k = 1 THEN 4096 ELSE 0 END) + 2048 + user_id % 2048", 2)
-        + ", " + _be("49152 + event_id % 16384", 2)
+        "concat(" + address + ", '020000', "
+        + _be("event_id % 8 * 8192 + (CASE WHEN k = 1 THEN 4096 ELSE 0 END)"
+              " + (CASE WHEN event_id % 3 = 0 THEN 0 ELSE 2048 END) + user_id % 2048", 2)
+        + ", " + _be("event_id div 8 % 4 * 16384 + event_id div 4 % 16384", 2)
         + ", " + _be("cast(length(body) / 2 as bigint) + 5", 2)
-        + ", '19', " + _be("1 + event_id % 20", 1)
+        + ", " + _be("event_id div 4 % 256", 1)
+        + ", " + _be("1 + event_id % 20", 1)
         + ", " + _be("event_id % 5", 1)
         + ", " + _be("user_id % 256", 1)
         + ", body, " + _be("event_id % 65536", 2) + ")"
@@ -61,14 +65,14 @@ def packets_from_events(events: DataFrame) -> DataFrame:
     payload = body.withColumn(
         "payload",
         F.expr(
-            f"CASE WHEN k IN (0, 1) THEN {ccsds} WHEN k = 2 THEN concat('FE014C', body) "
-            "ELSE concat('FEF000', body) END"
+            f"CASE WHEN k IN (0, 1) THEN {ccsds} WHEN k = 2 THEN concat({address}, '014C', body) "
+            f"ELSE concat({address}, 'F000', body) END"
         ),
     ).withColumn("pl", F.expr("cast(length(payload) / 2 as bigint)"))
     record = (
         f"concat({_le32('us div 1000000')}, "
         f"{_le32('(us % 1000000) * 1000 + event_id % 1000')}, "
-        f"{_le32('pl + 24')}, {_le32('pl + 24')}, '020000', "
+        f"{_le32('pl + 24')}, {_le32('pl + 24')}, {_be('event_id % 7', 1)}, '0000', "
         "CASE WHEN user_id % 2 = 1 THEN '20' ELSE '00' END, "
         "rpad(hex(concat('SPW-', user_id % 10)), 16, '0'), "
         f"{_le32('pl')}, {_le32('lsb')}, '000000', {_be('event_id % 3', 1)}, payload)"

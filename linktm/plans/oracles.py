@@ -20,16 +20,19 @@ BASE = f"""
 WITH b AS (
   SELECT event_id, user_id, epoch_us(ts) AS us, epoch_us(ts) * 1000 + event_id % 1000 AS ns,
     octet_length(encode(props)) AS bl, hex(encode(props)) AS body,
-    CAST(round(value * 100) AS BIGINT) AS lsb, event_id % 4 AS k
+    CAST(round(value * 100) AS BIGINT) AS lsb, event_id % 4 AS k,
+    printf('%02X', 200 + event_id % 50) AS address
   FROM events),
 q AS (
   SELECT *, CASE
-      WHEN k < 2 THEN 'FE020000'
-        || printf('%04X', (CASE WHEN k = 1 THEN 4096 ELSE 0 END) + 2048 + user_id % 2048)
-        || printf('%04X', 49152 + event_id % 16384) || printf('%04X', bl + 5) || '19'
+      WHEN k < 2 THEN address || '020000'
+        || printf('%04X', event_id % 8 * 8192 + (CASE WHEN k = 1 THEN 4096 ELSE 0 END)
+          + (CASE WHEN event_id % 3 = 0 THEN 0 ELSE 2048 END) + user_id % 2048)
+        || printf('%04X', event_id // 8 % 4 * 16384 + event_id // 4 % 16384) || printf('%04X', bl + 5)
+        || printf('%02X', event_id // 4 % 256)
         || printf('%02X', 1 + event_id % 20) || printf('%02X', event_id % 5)
         || printf('%02X', user_id % 256) || body || printf('%04X', event_id % 65536)
-      WHEN k = 2 THEN 'FE014C' || body ELSE 'FEF000' || body END AS payload,
+      WHEN k = 2 THEN address || '014C' || body ELSE address || 'F000' || body END AS payload,
     CAST(bl + CASE WHEN k < 2 THEN 16 ELSE 3 END AS INTEGER) AS pl,
     (event_id % 3) * 4294967296 + lsb AS duration,
     CAST(concat(event_id % 3, lsb) AS BIGINT) AS duration_text,
@@ -38,7 +41,7 @@ q AS (
   FROM b),
 p AS (
   SELECT *, lower({_le('us // 1000000')} || {_le('(us % 1000000) * 1000 + event_id % 1000')}
-    || {_le('pl + 24')} || {_le('pl + 24')} || '020000'
+    || {_le('pl + 24')} || {_le('pl + 24')} || printf('%02X', event_id % 7) || '0000'
     || CASE WHEN user_id % 2 = 1 THEN '20' ELSE '00' END || rpad(hex(encode(port)), 16, '0')
     || {_le('pl')} || {_le('lsb')} || '000000' || printf('%02X', event_id % 3)
     || payload) AS raw,
@@ -47,27 +50,29 @@ p AS (
 """
 
 _CCSDS = """
-  CAST(CASE WHEN k < 2 THEN 0 {else_int} END AS INTEGER) AS ccsds_packet_ver_num,
+  CAST(CASE WHEN k < 2 THEN event_id % 8 {else_int} END AS INTEGER) AS ccsds_packet_ver_num,
   CAST(CASE WHEN k < 2 THEN k {else_int} END AS INTEGER) AS ccsds_type,
-  CASE WHEN k < 2 THEN true END AS ccsds_sec_header,
+  CASE WHEN k < 2 THEN {header} END AS ccsds_sec_header,
   CAST(CASE WHEN k < 2 THEN user_id % 2048 {else_int} END AS INTEGER) AS ccsds_apid,
-  CAST(CASE WHEN k < 2 THEN 3 {else_int} END AS INTEGER) AS ccsds_seq_flags,
-  CAST(CASE WHEN k < 2 THEN event_id % 16384 {else_int} END AS INTEGER) AS ccsds_seq_count,
+  CAST(CASE WHEN k < 2 THEN event_id // 8 % 4 {else_int} END AS INTEGER) AS ccsds_seq_flags,
+  CAST(CASE WHEN k < 2 THEN event_id // 4 % 16384 {else_int} END AS INTEGER) AS ccsds_seq_count,
   CAST(CASE WHEN k < 2 THEN bl + 5 {else_int} END AS INTEGER) AS ccsds_packet_len,
   CASE WHEN k < 2 THEN {flag} END AS ccsds_sec_header_flag,
-  CAST(CASE WHEN k < 2 THEN 1 {else_int} END AS INTEGER) AS ccsds_pus_ver_num,
-  CAST(CASE WHEN k < 2 THEN 9 {else_int} END AS INTEGER) AS ccsds_ack,
+  CAST(CASE WHEN k < 2 THEN event_id // 4 // 16 % 8 {else_int} END AS INTEGER) AS ccsds_pus_ver_num,
+  CAST(CASE WHEN k < 2 THEN event_id // 4 % 16 {else_int} END AS INTEGER) AS ccsds_ack,
   CAST(CASE WHEN k < 2 THEN 1 + event_id % 20 {else_int} END AS INTEGER) AS ccsds_service_type,
   CAST(CASE WHEN k < 2 THEN event_id % 5 {else_int} END AS INTEGER) AS ccsds_service_subtype,
   CAST(CASE WHEN k < 2 THEN user_id % 256 {else_int} END AS INTEGER) AS ccsds_source_id,
   CASE WHEN k < 2 THEN lower(body) {else_text} END AS ccsds_data_raw,
   CAST(CASE WHEN k < 2 THEN event_id % 65536 {else_int} END AS INTEGER) AS ccsds_error_control
 """
-CCSDS = _CCSDS.format(else_int="", else_text="", flag="false")
-CCSDS_COMPAT = _CCSDS.format(else_int="ELSE -1", else_text="ELSE '-1'", flag="true")
+CCSDS = _CCSDS.format(
+    else_int="", else_text="", flag="event_id // 4 % 256 >= 128", header="event_id % 3 <> 0"
+)
+CCSDS_COMPAT = _CCSDS.format(else_int="ELSE -1", else_text="ELSE '-1'", flag="true", header="true")
 
 APID = "CAST(CASE WHEN k < 2 THEN user_id % 2048 END AS INTEGER)"
-SEQ = "CAST(CASE WHEN k < 2 THEN event_id % 16384 END AS INTEGER)"
+SEQ = "CAST(CASE WHEN k < 2 THEN event_id // 4 % 16384 END AS INTEGER)"
 SERVICE = "CAST(CASE WHEN k < 2 THEN 1 + event_id % 20 END AS INTEGER)"
 SUBTYPE = "CAST(CASE WHEN k < 2 THEN event_id % 5 END AS INTEGER)"
 CCSDS_DATA = "CASE WHEN k < 2 THEN lower(body) END"
@@ -223,9 +228,9 @@ ORACLES: dict[str, str] = {
     "decode_link_headers": BASE
     + """SELECT event_id AS "offset", clock_us AS local_timestamp, ns // 1000 AS spw_ts_usec,
       ns AS spw_ts_nsec, CAST(pl + 24 AS BIGINT) AS spw_incl_length,
-      CAST(pl + 24 AS BIGINT) AS spw_orig_length, 2 AS spw_frame_type,
+      CAST(pl + 24 AS BIGINT) AS spw_orig_length, CAST(event_id % 7 AS INTEGER) AS spw_frame_type,
       CAST(user_id % 2 AS INTEGER) AS spw_direction, port AS spw_port_name,
-      pl AS spw_payload_length, duration AS spw_duration, 254 AS spw_logical_addr,
+      pl AS spw_payload_length, duration AS spw_duration, CAST(200 + event_id % 50 AS INTEGER) AS spw_logical_addr,
       CASE WHEN k < 2 THEN 2 WHEN k = 2 THEN 1 ELSE 240 END AS spw_protocol_id,
       CASE WHEN k = 2 THEN 76 ELSE 0 END AS spw_ext_protocol_id,
       lower(payload) AS spw_data_raw, type, 'ok' AS decode_status, raw AS raw_hex FROM p""",
