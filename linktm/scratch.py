@@ -52,17 +52,27 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The list of paths of intermediates that this thread stores inside."""
+    paths: list[str] = []
+    _scopes.open = [*getattr(_scopes, "open", []), paths]
+    try:
+        yield paths
+    finally:
+        _scopes.open = _scopes.open[:-1]
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Intermediates that this thread stores inside are removed at its end: frames that read them
     must have been used by then."""
-    _scopes.open = [*getattr(_scopes, "open", []), []]
-    try:
-        yield
-    finally:
-        *_scopes.open, paths = _scopes.open
-        for path in paths:
-            remove(spark, path)
+    with recorded() as paths:
+        try:
+            yield
+        finally:
+            for path in paths:
+                remove(spark, path)
 
 
 def materialize(frame: DataFrame, name: str) -> DataFrame:
