@@ -75,7 +75,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0
-    for name in sys.argv[2:] or E.queries():
+    for name in sys.argv[2:] or E.oracle_sql():
         started = time.time()
         try:
             problem = compare(spark, con, name, sf_dir)
