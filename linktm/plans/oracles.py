@@ -424,6 +424,7 @@ ORACLES: dict[str, str] = {
     "stream_points": BASE + MEASURED + POINTS_V1,
     "stream_cells": BASE + MEASURED + IN_PARTS + _melt(CELLS_V1, ROW_KEY),
     "stream_replay": BASE + MEASURED + IN_PARTS + _melt(CELLS_V1, ROW_KEY),
+    "stream_compacted_points": BASE + MEASURED + POINTS_V1,
     "stream_batch_counts": """SELECT event_id % 4 AS batch_id, count(*) AS packets FROM events
       GROUP BY event_id % 4""",
     "stream_extra_sink": BASE

@@ -40,6 +40,7 @@ from linktm.sources.capture_index import read_captures
 from linktm.sources.logs import document_field, log_documents
 from linktm.sources.messages import packet_batch, packet_stream
 from linktm.streaming import ledger
+from linktm.streaming.compaction import compact_points, newest_generation, read_points
 from linktm.streaming.job import TelemetryJob, archive_stream, packet_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -656,6 +657,15 @@ def stream_batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packet_counts(spark, job)
 
 
+@query
+def stream_compacted_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points of a stream of which the first two batches are compacted."""
+    job, _ = job_in_parts(spark, sf_dir)
+    if newest_generation(spark, job) is None:
+        compact_points(spark, job, 1)
+    return flat_points(read_points(spark, job))
+
+
 @query
 def stream_extra_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a callback of the job's own saw of every micro-batch."""
