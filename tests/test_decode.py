@@ -155,7 +155,7 @@ def test_quarantine_and_readable_split_the_packets(spark):
     values = list(EDGES.values())
     decoded = decode_packets(frame(spark, values)).withColumn("offset", F.col("id").cast("bigint"))
     bad, good = quarantine(decoded), readable(decoded)
-    assert bad.columns == ["offset", "decode_status", "raw_packet_data"]
+    assert bad.columns == ["id", "offset", "decode_status", "raw_packet_data"]
     assert bad.count() + good.count() == len(values)
     assert {r.decode_status for r in good.collect()} == {"ok", "truncated_payload"}
 
