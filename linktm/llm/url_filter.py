@@ -46,6 +46,7 @@ CACHE = 200_000
 # A seed is as likely as this share of all words at least, so that names are split at seeds.
 SEED_SHARE = 1e-4
 UNKNOWN = "?"
+SMOOTHING = 0.1
 
 _NAMES = re.compile(r"[a-z]+")
 _HTML_WORDS = re.compile(r"[A-Za-z]+")
@@ -173,8 +174,8 @@ def url_words(urls: DataFrame, logs: dict[str, float]) -> DataFrame:
 
 
 def naive_bayes(urls: DataFrame) -> tuple[float, dict[str, float]]:
-    """Log-odds (blocked against allowed) of a page and of each word, add-one smoothed. At most one
-    row per lexicon word and label reaches the driver."""
+    """Log-odds (blocked against allowed) of a page and of each word, with SMOOTHING added to each word's
+    counts. At most one row per lexicon word and label reaches the driver."""
     pages = {r.seeded: r.n for r in urls.groupBy("seeded").agg(F.count("*").alias("n")).collect()}
     rows = (
         urls.select("seeded", F.explode("words").alias("word"))
@@ -185,8 +186,10 @@ def naive_bayes(urls: DataFrame) -> tuple[float, dict[str, float]]:
         )
         .collect()
     )
-    bad, good = (sum(r[k] for r in rows) + len(rows) + 1 for k in ("bad", "good"))
-    odds = {r.word: math.log((r.bad + 1) / bad) - math.log((r.good + 1) / good) for r in rows}
+    bad, good = (sum(r[k] for r in rows) + SMOOTHING * (len(rows) + 1) for k in ("bad", "good"))
+    odds = {
+        r.word: math.log((r.bad + SMOOTHING) / bad) - math.log((r.good + SMOOTHING) / good) for r in rows
+    }
     return math.log((pages.get(True, 0) + 1) / (pages.get(False, 0) + 1)), odds
 
 
