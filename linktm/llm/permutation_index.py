@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by its nearest pivots in order, and posted in the inverted files of the
-first of them. A query reads the files of its own first pivots, ranks what it finds there by the
-footrule distance of the two orders, and takes the inner product with the best ranked only.
+first of them. A query reads the files of a constant share of all pivots, its own first ones, ranks all it
+finds there by the footrule distance of the two orders, and takes the inner product with the best ranked only:
+a first pass over the files counts each query's distances, a second takes those within its limit.
 Largest inner products are nearest neighbours once every vector gets one more component that
 brings it to the largest norm, so pivots are compared in that space.
 
@@ -33,12 +34,13 @@ from linktm.scratch import materialize
 NEAREST = 20
 PIVOTS_PER_ROOT = 1.0
 MAX_PIVOTS = 4096
-# Length of the order kept of a vector; files it is posted in; files a query reads.
+# Length of the order kept of a vector; files it is posted in; files a query reads, at least and as a share of all.
 ORDER = 32
 POSTED = 8
 READ = 24
-# Share of what a query finds in a file, in order of footrule distance, that gets an inner product, and the
-# number that gets one in any case.
+READ_SHARE = 1 / 6
+# Share of what a query finds in all its files, in order of footrule distance, that gets an inner product, and
+# the number for each file read that gets one in any case.
 RERANKED = 0.5
 AT_LEAST = 100
 PIECE = 4096
@@ -107,24 +109,36 @@ def choose_pivots(entries: DataFrame, count: int) -> Pivots:
     return Pivots(np.array([r.v for r in rows]), math.sqrt(norm))
 
 
-def with_order(rows: DataFrame, pivots: Pivots, stored: bool, files: int | None) -> DataFrame:
-    """`rows` with `order` (nearest pivots), and a row for each of the first `files` of them, with
-    `pivot` and its `rank`. `files` None: for all pivots there are."""
+def files_read(n_pivots: int) -> int:
+    return min(n_pivots, max(READ, math.ceil(READ_SHARE * n_pivots)))
+
+
+def with_order(rows: DataFrame, pivots: Pivots, stored: bool, files: int) -> DataFrame:
+    """`rows` with `order` (nearest pivots), and a row for each of the first `files` of all pivots, with
+    `pivot`, its `rank` and `reads`, the bits of all these pivots (queries only)."""
     sent = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_pivots = len(sent.value.points)
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                order = sent.value.order(_matrix(part.column("v")), stored, ORDER)
-                yield pa.record_batch([*part.columns, _lists(order)], [*part.schema.names, "order"])
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("order", T.ArrayType(T.IntegerType()))])
-    ordered = rows.mapInArrow(add, schema)
-    if files is None:
-        every = F.sequence(F.lit(0), F.lit(len(pivots.points) - 1))
-        return ordered.select("*", F.posexplode(every).alias("rank", "pivot"))
-    return ordered.select("*", F.posexplode(F.slice("order", 1, files)).alias("rank", "pivot"))
+                order = sent.value.order(_matrix(part.column("v")), stored, max(ORDER, files))
+                bits = [None] * len(part)
+                if not stored:
+                    read = np.zeros((len(part), n_pivots), bool)
+                    np.put_along_axis(read, order[:, :files], True, 1)
+                    bits = [r.tobytes() for r in np.packbits(read, axis=1)]
+                yield pa.record_batch(
+                    [*part.columns, _lists(order[:, :ORDER]), _lists(order[:, :files]), pa.array(bits, pa.binary())],
+                    [*part.schema.names, "order", "files", "reads"],
+                )
+
+    lists = T.ArrayType(T.IntegerType())
+    new = [T.StructField("order", lists), T.StructField("files", lists), T.StructField("reads", T.BinaryType())]
+    ordered = rows.mapInArrow(add, T.StructType([*rows.schema.fields, *new]))
+    kept = [c for c in ordered.columns if c != "files" and not (stored and c == "reads")]
+    return ordered.select(*kept, F.posexplode("files").alias("rank", "pivot"))
 
 
 def _cut(rows: DataFrame, other: DataFrame, key: Column, name: str, other_name: str) -> DataFrame:
@@ -150,30 +164,70 @@ def _costs(order: np.ndarray, n_pivots: int, length: int) -> np.ndarray:
     return np.where(place[:, None] < length, both, length - ranks).astype(np.int32)
 
 
-def _find(queries: pa.Table, stored: pa.Table, n_pivots: int, nearest: int, everything: bool) -> pa.Table:
-    """The `nearest` of each query in one piece of a file."""
-    q_ids, rank = queries.column("id").to_pylist(), queries.column("rank").to_pylist()
-    q_order, x_order = _matrix(queries.column("order")), _matrix(stored.column("order"))
+class _Piece:
+    """The queries and the entries of one piece of a file."""
+
+    def __init__(self, queries: pa.Table, stored: pa.Table, n_pivots: int):
+        self.n_pivots = n_pivots
+        self.q_order, self.x_order = _matrix(queries.column("order")), _matrix(stored.column("order"))
+        self.reads = queries.column("reads").to_pylist()
+        self.length = self.x_order.shape[1]
+        self.cell = self.x_order * self.length + np.arange(self.length)
+        self.posted = self.x_order[:, :POSTED]
+        self.before = np.arange(self.posted.shape[1]) < stored.column("rank").to_numpy()[:, None]
+
+    def met(self, i: int) -> np.ndarray:
+        """Entries that query `i` looks at here: what it meets in several files, it looks at in the
+        first of the entry's."""
+        bits = np.frombuffer(self.reads[i], np.uint8)
+        read = np.unpackbits(bits, count=self.n_pivots).astype(bool)
+        return np.flatnonzero(~(read[self.posted] & self.before).any(axis=1))
+
+    def distances(self, i: int, at: np.ndarray) -> np.ndarray:
+        """Footrule distances but for what is the same for all entries."""
+        return np.take(_costs(self.q_order[i], self.n_pivots, self.length), self.cell[at]).sum(axis=1)
+
+
+def _count(queries: pa.Table, stored: pa.Table, n_pivots: int) -> pa.Table:
+    """For each query that meets any in one piece of a file: `ask`, `distances` and how many have each."""
+    piece = _Piece(queries, stored, n_pivots)
+    asks, distances, counts = [], [], []
+    for i, ask in enumerate(queries.column("ask").to_pylist()):
+        far, n = np.unique(piece.distances(i, piece.met(i)), return_counts=True)
+        if len(far):
+            asks.append(ask)
+            distances.append(far.astype(np.int32))
+            counts.append(n.astype(np.int64))
+    columns = [
+        pa.array(asks, pa.int64()),
+        pa.array(distances, pa.list_(pa.int32())),
+        pa.array(counts, pa.list_(pa.int64())),
+    ]
+    return pa.table(columns, ["ask", "distances", "counts"])
+
+
+def _limit(counted: pa.Table, nearest: int, files: int) -> pa.Table:
+    """`ask`, `most`: the distance up to which a query's candidates of all files get an inner product."""
+    far = counted.column("distances").combine_chunks().flatten().to_numpy()
+    n = counted.column("counts").combine_chunks().flatten().to_numpy()
+    order = np.argsort(far, kind="stable")
+    running = np.cumsum(n[order])
+    kept = min(running[-1], max(nearest, AT_LEAST * files, math.ceil(RERANKED * running[-1])))
+    most = far[order][np.searchsorted(running, kept)]
+    return pa.table([counted.column("ask")[:1], pa.array([most], pa.int32())], ["ask", "most"])
+
+
+def _find(queries: pa.Table, stored: pa.Table, n_pivots: int, nearest: int) -> pa.Table:
+    """The `nearest` of each query in one piece of a file, among those within its `most` if it has one."""
+    piece = _Piece(queries, stored, n_pivots)
+    q_ids, most = queries.column("id").to_pylist(), queries.column("most").to_pylist()
     q, x = _matrix(queries.column("v")), _matrix(stored.column("v"))
     members = stored.column("ids").to_pylist()
-    length = x_order.shape[1]
-    cell = x_order * length + np.arange(length)
-    posted = x_order[:, :POSTED]
-    first = stored.column("rank").to_numpy() == 0
     found: list[tuple[int, int, float]] = []
     for i, own in enumerate(q_ids):
-        if everything:
-            # All files are read: each entry is looked at in the first of its own.
-            at = np.flatnonzero(first)
-        else:
-            # What meets the query in several files is looked at in the first of the query's.
-            earlier = np.zeros(n_pivots, bool)
-            earlier[q_order[i, : rank[i]]] = True
-            at = np.flatnonzero(~earlier[posted].any(axis=1))
-            kept = max(nearest, AT_LEAST, math.ceil(RERANKED * len(at)))
-            if len(at) > kept:
-                far = np.take(_costs(q_order[i], n_pivots, length), cell[at]).sum(axis=1)
-                at = at[np.argpartition(far, kept - 1)[:kept]]
+        at = piece.met(i)
+        if most[i] is not None:
+            at = at[piece.distances(i, at) <= most[i]]
         if not len(at):
             continue
         score = (x @ q[i])[at]
@@ -190,20 +244,36 @@ def _find(queries: pa.Table, stored: pa.Table, n_pivots: int, nearest: int, ever
 
 
 def _search(queries: DataFrame, entries: DataFrame, pivots: Pivots, nearest: int, everything: bool) -> DataFrame:
-    posted = with_order(entries, pivots, True, POSTED)
-    asked = with_order(queries, pivots, False, None if everything else READ)
+    n_pivots = len(pivots.points)
+    posted = with_order(entries, pivots, True, min(POSTED, n_pivots))
+    # A query row is told from others of its id by its vector.
+    asks = queries.withColumn("ask", F.xxhash64("id", "v"))
+    files = n_pivots if everything else files_read(n_pivots)
+    asked = with_order(asks, pivots, False, files)
     per_file = posted.groupBy("pivot").agg(F.ceil(F.count("*") / PIECE).alias("n_piece"))
     per_ask = asked.groupBy("pivot").agg(F.ceil(F.count("*") / PIECE).alias("n_asked"))
     counts = materialize(per_file.join(per_ask, "pivot"), "file-pieces")
     left = _cut(asked, counts, F.col("id"), "asked", "piece")
     right = _cut(posted, counts, F.col("v"), "piece", "asked")
     keys = ["pivot", "piece", "asked"]
-    n_pivots = len(pivots.points)
 
-    def find(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _find(left, right, n_pivots, nearest, everything)
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _count(left, right, n_pivots)
 
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys))
+    def limit(counted: pa.Table) -> pa.Table:
+        return _limit(counted, nearest, files)
+
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _find(left, right, n_pivots, nearest)
+
+    if everything:
+        limited = left.withColumn("most", F.lit(None).cast("int"))
+    else:
+        met = left.drop("v").groupBy(*keys).cogroup(right.drop("v", "ids").groupBy(*keys))
+        counted = met.applyInArrow(count, "ask long, distances array<int>, counts array<long>")
+        limits = materialize(counted.groupBy("ask").applyInArrow(limit, "ask long, most int"), "distance-limits")
+        limited = left.join(limits, "ask")
+    met = limited.groupBy(*keys).cogroup(right.groupBy(*keys))
     return met.applyInArrow(find, "query_id long, vec_id long, score double")
 
 

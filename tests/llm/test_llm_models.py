@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import counts, documents, edge_rows, words
 from pyspark.sql import functions as F
@@ -158,6 +159,29 @@ def test_files_are_cut(spark, tables, monkeypatch):
     assert got.groupBy("query_id").count().where("count != 20").count() == 0
 
 
+def test_a_constant_share_of_files_is_read():
+    assert permutation_index.files_read(20) == 20
+    assert permutation_index.files_read(60) == 24
+    assert permutation_index.files_read(600) == 100
+    assert permutation_index.files_read(4096) == 683
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(40_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = permutation_index.Pivots(x[:200].astype(float), 1.0)
+    read = pivots.order(x[:50].astype(float), False, permutation_index.files_read(200))
+    posted = pivots.order(x.astype(float), True, permutation_index.POSTED)
+    assert np.mean([np.isin(posted, r).any(axis=1).mean() for r in read]) > 0.65
+
+
+def test_the_cut_is_over_all_files_of_a_query():
+    # 150 far candidates in one file and 150 near ones in another: only near ones are within the limit.
+    counted = pa.table(
+        [pa.array([5, 5]), pa.array([[100], [10, 11]], pa.list_(pa.int32())), pa.array([[150], [100, 50]])],
+        ["ask", "distances", "counts"],
+    )
+    assert permutation_index._limit(counted, 20, 1).to_pylist() == [{"ask": 5, "most": 11}]
+
+
 def test_footrule_ranks_like_its_definition():
     draw = np.random.default_rng(7)
     length, pivots = 5, 12
