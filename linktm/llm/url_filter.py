@@ -6,8 +6,10 @@ model's training labels are a fixed list of seed words: a page whose host holds
 word counts as blocked, every other page as allowed, and the model carries that over to the words
 which go along with them. Word counts, labels and model counts cover all pages.
 
-What the tasks hold is bounded: the lexicon by LEXICON words, the model by one entry per lexicon
-word, the cache of segmented names by CACHE.
+Every word of the pages counts, however rare or long: the substrings of the different names are joined with
+the whole table of word counts, and each name is split by its own words. Labels, counts and odds are joined
+by word, by name and by row. What a task holds is bounded by one name's words, by CACHE while it counts
+words, and by the hot keys of `skew`.
 
 Nulls: a null url, or one without `://`, has an empty host and path and no words; the model then has
 only its prior. A null html adds no words. Repeated rows count as often as they occur. Empty table: no rows.
@@ -19,12 +21,13 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linktm.llm.frequent import most_frequent
+from linktm.llm.skew import join_counted
 from linktm.llm.text import ascii_lower
 from linktm.scratch import materialize
 
@@ -40,15 +43,13 @@ SEEDS = (
     "ad ads adult bet bets bonus casino cheap gambling loan loans lottery pills poker porn sex "
     "spam track tracker viagra win xxx"
 ).split()
-LEXICON = 50_000
-LONGEST = 20
 CACHE = 200_000
 # A seed is as likely as this share of all words at least, so that names are split at seeds.
 SEED_SHARE = 1e-4
 UNKNOWN = "?"
 SMOOTHING = 0.1
 
-_NAMES = re.compile(r"[a-z]+")
+_NAMES = r"[a-z]+"
 _HTML_WORDS = re.compile(r"[A-Za-z]+")
 _TAGS = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>|&\w+;", re.S)
 
@@ -92,7 +93,7 @@ def page_words(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for html in batch.column(0).to_pylist():
                 text = _TAGS.sub(" ", html or "").lower()
-                counts.update(w for w in _HTML_WORDS.findall(text) if 2 <= len(w) <= LONGEST)
+                counts.update(w for w in _HTML_WORDS.findall(text) if len(w) >= 2)
                 if len(counts) > CACHE:
                     yield _flush(counts, schema)
         yield _flush(counts, schema)
@@ -100,28 +101,48 @@ def page_words(pages: DataFrame) -> DataFrame:
     return pages.select("html").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lexicon(pages: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """Log-probabilities of at most `size` words, the most frequent and the seeds."""
+@dataclass
+class Lexicon:
+    """`words` (word, n): all words of the pages and the seeds, with the sum and the least of `n` and the
+    letters of the longest."""
+
+    words: DataFrame
+    whole: float
+    least: float
+    longest: int
+
+
+def lexicon(pages: DataFrame) -> Lexicon:
     words = materialize(page_words(pages), "page-words")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    top = most_frequent(words, size).collect()
-    counts = {r.word: r.n for r in top}
-    least = max(1.0, SEED_SHARE * total)
-    counts |= {s: max(least, counts.get(s, 0)) for s in SEEDS}
-    whole = sum(counts.values())
-    return {w: math.log(n / whole) for w, n in counts.items()}
+    is_seed = F.col("word").isin(list(SEEDS))
+    found = {r.word: r.n for r in words.where(is_seed).collect()}
+    others = words.where(~is_seed)
+    sums = others.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("n").alias("least"), F.max(F.length("word")).alias("longest")
+    ).first()
+    share = max(1.0, SEED_SHARE * (sums.n + sum(found.values())))
+    seeds = {s: float(max(share, found.get(s, 0))) for s in SEEDS}
+    table = words.sparkSession.createDataFrame(list(seeds.items()), "word string, n double")
+    return Lexicon(
+        others.select("word", F.col("n").cast("double").alias("n")).unionByName(table),
+        sums.n + sum(seeds.values()),
+        min(seeds.values()) if sums.least is None else min(sums.least, *seeds.values()),
+        max(sums.longest or 0, *map(len, SEEDS)),
+    )
 
 
-def segment(name: str, logs: dict[str, float]) -> list[str]:
+def segment(name: str, logs: dict[str, float], least: float | None = None) -> list[str]:
     """The most probable split of `name` into words. A letter outside every word is UNKNOWN and
-    costs more than the rarest word; equal splits take the longer last word."""
+    costs more than the rarest word, of log-probability `least` (of `logs` if None); equal splits take the
+    longer last word."""
     if not name:
         return []
-    rare = min(logs.values(), default=0.0) - 5.0
+    rare = (min(logs.values(), default=0.0) if least is None else least) - 5.0
+    longest = max(map(len, logs), default=1)
     best, back = [0.0], [0]
     for end in range(1, len(name) + 1):
         score, start = -math.inf, end - 1
-        for begin in range(max(0, end - LONGEST), end):
+        for begin in range(max(0, end - longest), end):
             piece = logs.get(name[begin:end], 2 * rare if end - begin == 1 else None)
             if piece is not None and best[begin] + piece > score:
                 score, start = best[begin] + piece, begin
@@ -135,83 +156,114 @@ def segment(name: str, logs: dict[str, float]) -> list[str]:
     return pieces[::-1]
 
 
-def url_words(urls: DataFrame, logs: dict[str, float]) -> DataFrame:
-    """`urls` (page_id, host, path) with `words` of host and path and `seeded`, whether the host
-    holds a seed word. Digits and signs part names and are dropped."""
-    sent = urls.sparkSession.sparkContext.broadcast(logs)
+def url_names(urls: DataFrame) -> DataFrame:
+    """`urls` (page_id, host, path) with a number `row` and the names of host and path, `hosts` and
+    `paths`. Digits and signs part names and are dropped."""
+    return urls.select(
+        "page_id",
+        "host",
+        "path",
+        F.regexp_extract_all("host", F.lit(_NAMES), F.lit(0)).alias("hosts"),
+        F.regexp_extract_all(F.lower("path"), F.lit(_NAMES), F.lit(0)).alias("paths"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
+def split_names(names: DataFrame, known: Lexicon) -> DataFrame:
+    """`names` (different names, rows_here) with their `words` and `seed`, whether one of these is a seed."""
+    letters = F.length("name")
+    begins = names.where(letters >= 2).select("name", F.explode(F.sequence(F.lit(1), letters - 1)).alias("begin"))
+    lengths = F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(known.longest), letters - F.col("begin") + 1)))
+    parts = begins.select("name", "begin", F.explode(lengths).alias("length")).select(
+        "name", F.substring("name", F.col("begin"), F.col("length")).alias("word")
+    )
+    here = parts.groupBy("word").agg(F.count("*").alias("rows_here"))
+    needed = materialize(known.words.join(here, "word"), "words-in-names")
+    n_rows = needed.agg(F.sum("rows_here")).first()[0] or 0
+    own = (
+        join_counted(parts, needed, ["word"], n_rows)
+        .groupBy("name")
+        .agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("counts"))
+    )
     seeds = frozenset(SEEDS)
+    whole, least = known.whole, math.log(known.least / known.whole)
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        known: dict[str, list[str]] = {}
-
-        def words_in(text: str) -> list[str]:
-            out: list[str] = []
-            for name in _NAMES.findall(text):
-                if name not in known:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[name] = segment(name, table)
-                out += known[name]
-            return out
-
         for batch in batches:
-            hosts = [words_in(h) for h in batch.column("host").to_pylist()]
-            paths = [words_in(p.lower()) for p in batch.column("path").to_pylist()]
+            words = [
+                segment(name, {w: math.log(n / whole) for w, n in counts or ()}, least)
+                for name, counts in zip(batch.column("name").to_pylist(), batch.column("counts").to_pylist())
+            ]
             yield pa.record_batch(
                 [
-                    *batch.columns,
-                    pa.array([h + p for h, p in zip(hosts, paths)], pa.list_(pa.string())),
-                    pa.array([not seeds.isdisjoint(h) for h in hosts], pa.bool_()),
+                    batch.column("name"),
+                    batch.column("rows_here"),
+                    pa.array(words, pa.list_(pa.string())),
+                    pa.array([not seeds.isdisjoint(w) for w in words], pa.bool_()),
                 ],
-                [*batch.schema.names, "words", "seeded"],
+                ["name", "rows_here", "words", "seed"],
             )
 
-    kind = urls.schema["page_id"].dataType.simpleString()
-    return urls.select("page_id", "host", "path").mapInArrow(
-        split, f"page_id {kind}, host string, path string, words array<string>, seeded boolean"
+    return names.join(own, "name", "left").mapInArrow(
+        split, "name string, rows_here long, words array<string>, seed boolean"
     )
 
 
-def naive_bayes(urls: DataFrame) -> tuple[float, dict[str, float]]:
-    """Log-odds (blocked against allowed) of a page and of each word, with SMOOTHING added to each word's
-    counts. At most one row per lexicon word and label reaches the driver."""
-    pages = {r.seeded: r.n for r in urls.groupBy("seeded").agg(F.count("*").alias("n")).collect()}
-    rows = (
-        urls.select("seeded", F.explode("words").alias("word"))
-        .groupBy("word")
-        .agg(
-            F.count(F.when(F.col("seeded"), 1)).alias("bad"),
-            F.count(F.when(~F.col("seeded"), 1)).alias("good"),
-        )
-        .collect()
+def naive_bayes(pieces: DataFrame) -> DataFrame:
+    """`word`, `odds`, `rows_here`: log-odds (blocked against allowed) of each word, with SMOOTHING added to
+    its counts, and the number of its rows in `pieces` (name, word, bad, good)."""
+    counts = materialize(
+        pieces.groupBy("word").agg(
+            F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("rows_here")
+        ),
+        "url-word-counts",
+    )
+    sums = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("n")).first()
+    bad, good = ((sums[k] or 0) + SMOOTHING * (sums.n + 1) for k in ("bad", "good"))
+    odds = F.log((F.col("bad") + SMOOTHING) / bad) - F.log((F.col("good") + SMOOTHING) / good)
+    # Sums of decimals do not depend on their order.
+    return counts.select("word", odds.cast("decimal(28,15)").alias("odds"), "rows_here")
+
+
+def log_odds(urls: DataFrame, known: Lexicon) -> DataFrame:
+    """`urls` (page_id, host, path) with the `log_odds` of being blocked."""
+    rows = materialize(url_names(urls), "url-names")
+    each = rows.select("row", F.explode(F.concat("hosts", "paths")).alias("name"))
+    names = materialize(each.groupBy("name").agg(F.count("*").alias("rows_here")), "names")
+    n_each = names.agg(F.sum("rows_here")).first()[0] or 0
+    parted = materialize(split_names(names, known), "split-names")
+    seeded = join_counted(
+        rows.select("row", F.explode("hosts").alias("name")),
+        parted.where("seed").select("name", "rows_here"),
+        ["name"],
+        n_each,
+    )
+    labels = materialize(seeded.select("row").distinct(), "seeded-rows")
+    labelled = rows.join(labels.withColumn("seeded", F.lit(1)), "row", "left")
+    n_bad = labels.count()
+    prior = math.log((n_bad + 1) / (rows.count() - n_bad + 1))
+    per_name = (
+        labelled.select("seeded", F.explode(F.concat("hosts", "paths")).alias("name"))
+        .groupBy("name")
+        .agg(F.count("seeded").alias("bad"), (F.count("*") - F.count("seeded")).alias("good"))
+    )
+    pieces = materialize(
+        parted.join(per_name, "name").select("name", "bad", "good", F.explode("words").alias("word")), "name-words"
+    )
+    met = join_counted(pieces.select("name", "word"), naive_bayes(pieces), ["word"], pieces.count())
+    of_name = met.groupBy("name").agg(F.sum("odds").alias("odds"))
+    of_names = materialize(names.join(of_name, "name"), "name-odds")
+    of_row = join_counted(each, of_names, ["name"], n_each).groupBy("row").agg(F.sum("odds").alias("odds"))
+    total = F.coalesce(F.col("odds").cast("double"), F.lit(0.0))
+    return rows.join(of_row, "row", "left").select(
+        "page_id", "host", "path", (F.lit(prior) + total).alias("log_odds")
     )
-    bad, good = (sum(r[k] for r in rows) + SMOOTHING * (len(rows) + 1) for k in ("bad", "good"))
-    odds = {
-        r.word: math.log((r.bad + SMOOTHING) / bad) - math.log((r.good + SMOOTHING) / good) for r in rows
-    }
-    return math.log((pages.get(True, 0) + 1) / (pages.get(False, 0) + 1)), odds
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """A row per row of `pages`: `page_id`, `host`, `path`, `rule` (null when none fits), `verdict`
     (the rule's, else the model's) and `log_odds` of being blocked."""
-    worded = materialize(url_words(parsed(pages), lexicon(pages)), "url-words")
-    prior, odds = naive_bayes(worded)
-    sent = pages.sparkSession.sparkContext.broadcast(odds)
-
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        for batch in batches:
-            scores = [
-                prior + math.fsum(table.get(w, 0.0) for w in words)
-                for words in batch.column("words").to_pylist()
-            ]
-            kept = [batch.column(c) for c in ("page_id", "host", "path")]
-            yield pa.record_batch([*kept, pa.array(scores, pa.float64())], ["page_id", "host", "path", "log_odds"])
-
-    kind = worded.schema["page_id"].dataType.simpleString()
-    scored = worded.mapInArrow(score, f"page_id {kind}, host string, path string, log_odds double")
+    scored = log_odds(parsed(pages), lexicon(pages))
     found = scored.withColumn("found", matched_rule(F.col("host"), F.col("path"), rules))
     model = F.when(F.col("log_odds") > 0, "block").otherwise("allow")
     return found.select(

@@ -390,6 +390,38 @@ def test_segments_equal_enumeration():
     assert url_filter.segment("", logs) == []
 
 
+def plain_log_odds(rows):
+    texts = Counter(w for _, _, html, *_ in rows for w in html.lower().split() if len(w) > 1)
+    least = max(1.0, url_filter.SEED_SHARE * sum(texts.values()))
+    counts = dict(texts) | {s: max(least, texts[s]) for s in url_filter.SEEDS}
+    logs = {w: math.log(n / sum(counts.values())) for w, n in counts.items()}
+    pages = []
+    for _, url, *_ in rows:
+        host, _, path = url.partition("://")[2].partition("/")
+        hosts, paths = ([w for n in part.replace("-", ".").replace("/", ".").split(".") for w in url_filter.segment(n, logs)] for part in (host, path))
+        pages.append((not set(hosts).isdisjoint(url_filter.SEEDS), hosts + paths))
+    bad, good = (Counter(w for seeded, words in pages if seeded == k for w in words) for k in (True, False))
+    n, k = len(bad | good), url_filter.SMOOTHING
+    odds = {w: math.log((bad[w] + k) / (bad.total() + k * (n + 1))) - math.log((good[w] + k) / (good.total() + k * (n + 1))) for w in bad | good}
+    prior = math.log((sum(s for s, _ in pages) + 1) / (sum(not s for s, _ in pages) + 1))
+    return [prior + math.fsum(odds[w] for w in words) for _, words in pages]
+
+
+def test_rare_and_long_words_split_names(spark):
+    # More different words than 50,000, all of the same count but one, and one of 26 letters.
+    draw = ["".join(p) for p in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=4)][:60_000]
+    long = "zyxwvutsrqponmlkjihgfedcba"
+    hosts = ["aabcaabd.com", f"{long}.com", "casino-aabc.com", "aabccasino.org/q", f"x.com/{long}aabd", "com.com"]
+    rows = [(i, f"http://{h}", "com org " if i else " ".join([*draw, long]), "h", "w") for i, h in enumerate(hosts)]
+    frame = urls(spark, rows)
+    known = url_filter.lexicon(frame)
+    names = spark.createDataFrame([("aabcaabd", 1), (f"{long}aabd", 1), ("q", 1)], "name string, rows_here long")
+    words = {r.name: r.words for r in url_filter.split_names(names, known).collect()}
+    assert words == {"aabcaabd": ["aabc", "aabd"], f"{long}aabd": [long, "aabd"], "q": [url_filter.UNKNOWN]}
+    got = url_filter.filter_urls(frame, ()).orderBy("page_id").collect()
+    assert np.allclose([r.log_odds for r in got], plain_log_odds(rows), atol=1e-9)
+
+
 def test_model_blocks_seeded_hosts(spark, tables):
     got = queries.op10_url_filter(spark, tables).where("rule is null").collect()
     seeds = set(url_filter.SEEDS)
