@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linktm.llm import oracles
+from linktm.llm.dual_tree_search import rank_documents
 from linktm.llm.line_crf import THRESHOLD, classify, in_fold
 from linktm.llm.line_dedup import dedup_lines
 from linktm.llm.maxent_lm import score_texts
@@ -16,8 +17,10 @@ from linktm.llm.mixing import taken_words
 from linktm.llm.permutation_index import nearest_neighbours
 from linktm.llm.piece_lattice import encode
 from linktm.llm.quality_rules import quality_rules
+from linktm.llm.spelling_variants import spelling_variants
 from linktm.llm.token_files import read_digests, starts, token_folder, write_tokens
 from linktm.llm.url_filter import filter_urls
+from linktm.llm.window_packing import pack
 
 
 def tokenizer_path(name: str) -> str:
@@ -89,6 +92,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling_variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_window_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("word_bpe_49k.json")).drop("ids")
+
+
+def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_lattice": op1_piece_lattice,
     "op2_quality_rules": op2_quality_rules,
@@ -100,5 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_window_packing": op12_window_packing,
+    "op13_dual_tree_search": op13_dual_tree_search,
 }
 ORACLES = oracles.ORACLES
