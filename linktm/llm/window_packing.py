@@ -21,6 +21,7 @@ names cannot clash.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -41,13 +42,17 @@ SLACK = 0.01
 # Entries of a worker's cache of encoded words, and the longest word kept there.
 CACHE = 300_000
 CACHED_WORD = 64
+# Texts whose words are looked up together, and words that the library is asked for together.
+GROUP = 128
+ASKED = 20_000
 _SIGNS = b".,;:!?()\"#$%&*<>|-"
 ID = np.dtype("<u4")
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer file of the tokenizers library that drops white space and never joins what
-    it parts: texts are cut at ASCII white space, and words are kept in a bounded cache."""
+    it parts: texts are cut at ASCII white space, and words are kept in a bounded cache. Where the tokenizer marks
+    word ends, new words go through the library in one text and are told apart by their last ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,35 +60,70 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.ends[number] = bool(suffix) and token.endswith(suffix)
+        normalizer = self.tokenizer.normalizer
+        self.lowers = normalizer is not None and normalizer.normalize_str("A") == "a"
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _ask(self, words: list[bytes]) -> None:
+        """Put words that the cache lacks into it."""
+        plain, others = [], []
+        for word in words:
+            (plain if word.decode().isalpha() else others).append(word)
+        ids = self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids
+        tokens = np.array(ids, ID)
+        ends = (np.flatnonzero(self.ends[tokens]) + 1).tolist()
+        if len(ends) == len(plain) and (not plain or ends[-1] == len(tokens)):
+            raw, at = tokens.tobytes(), 0
+            for word, end in zip(plain, ends):
+                self.known[word] = raw[4 * at : 4 * end]
+                at = end
+        else:
+            others = words
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)
+        for word, one in zip(others, found):
+            self.known[word] = np.array(one.ids, ID).tobytes()
 
     def _learn(self, words: Iterable[bytes]) -> None:
-        """Put `words` into the cache. The library is asked once for all that is new."""
         stems: dict[bytes, tuple[bytes, bytes]] = {}
         new: dict[bytes, None] = {}
         for word in words:
+            if word in self.known:
+                continue
             if word in self.older:
                 self.known[word] = self.older[word]
                 continue
             # Letters are never joined with the signs behind them; other words are asked for as they are.
             stem = word.rstrip(_SIGNS)
-            if len(stem) < len(word) and stem.isascii() and stem.isalpha():
+            if len(stem) < len(word) and stem.decode().isalpha():
                 stems[word] = stem, word[len(stem) :]
                 new.update(dict.fromkeys(w for w in stems[word] if w not in self.known))
             else:
                 new[word] = None
         asked = list(new)
-        for word, found in zip(asked, self.tokenizer.encode_batch_fast([w.decode() for w in asked], add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, ID).tobytes()
+        for at in range(0, len(asked), ASKED):
+            self._ask(asked[at : at + ASKED])
         for word, (stem, signs) in stems.items():
             self.known[word] = self.known[stem] + self.known[signs]
 
+    def _words(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        if self.lowers:
+            low = raw.lower()
+            # Lower case must not make a special token of what is none.
+            if not any(s in low for s in self.special):
+                raw = low
+        return raw.split()
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.encode().split()
-            new = set(words) - self.known.keys()
-            if new:
-                self._learn(new)
-            yield b"".join(map(self.known.__getitem__, words))
+        for at in range(0, len(texts), GROUP):
+            split = [self._words(t) for t in texts[at : at + GROUP]]
+            self._learn(set().union(*split))
+            for words in split:
+                yield b"".join(map(self.known.__getitem__, words))
             if len(self.known) >= CACHE:
                 self.older = {w: i for w, i in self.known.items() if len(w) <= CACHED_WORD}
                 self.known = {}
