@@ -15,6 +15,7 @@ from linktm.fixtures import (
 )
 from linktm.scratch import new_path
 from linktm.sources.messages import packet_batch, packet_stream
+from linktm.streaming.intervals import IntervalJob
 from linktm.streaming.job import TelemetryJob
 
 # Fixed value: the reception time used where a query must give the same rows twice.
@@ -73,6 +74,30 @@ def job_in_parts(spark: SparkSession, sf_dir: str) -> tuple[TelemetryJob, str]:
     return _jobs[key]
 
 
+_intervals: dict[tuple[str, str], IntervalJob] = {}
+
+
+def intervals_in_parts(spark: SparkSession, sf_dir: str) -> IntervalJob:
+    """A finished stream of gaps over PARTS micro-batches, stopped and started again before each. Packets come in the
+    order of a time that is up to two eighths of a part behind their own."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _intervals:
+        folder, root = new_path(spark, "timed-parts"), new_path(spark, "intervals")
+        us = F.unix_micros("timestamp")
+        found = messages(spark, sf_dir).agg(F.min(us).alias("first"), F.max(us).alias("last")).first()
+        step = (found.last - found.first) // (8 * PARTS) + 1
+        came = us + F.col("offset") % 3 * step
+        width = (found.last - found.first + 2 * step) // PARTS + 1
+        job = IntervalJob(root, delay=2 * step * 1000 + 1000)
+        for part in range(PARTS):
+            mine = messages(spark, sf_dir).where(F.floor((came - found.first) / width) == part)
+            mine.write.mode("append").parquet(folder)
+            job.start(packet_stream(spark, "parquet", path=folder), interval=None).awaitTermination()
+        job.flush(spark)
+        _intervals[key] = job
+    return _intervals[key]
+
+
 def copy_sink(path: str) -> Callable[[DataFrame, int], None]:
     def copy(packets: DataFrame, batch_id: int) -> None:
         kept = packets.select("offset", "type")

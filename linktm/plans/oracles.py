@@ -429,6 +429,13 @@ ORACLES: dict[str, str] = {
       GROUP BY event_id % 4""",
     "stream_extra_sink": BASE
     + "SELECT event_id % 4 AS batch_id, type, count(*) AS packets FROM p GROUP BY ALL",
+    "stream_interarrival": BASE
+    + """SELECT * FROM (SELECT event_id AS "offset", port AS spw_port_name,
+      ns - lag(ns) OVER (PARTITION BY port ORDER BY ns, event_id) AS delta_ns FROM p)
+      WHERE delta_ns IS NOT NULL""",
+    "stream_interarrival_records": BASE
+    + """SELECT count(*) - count(DISTINCT port) AS gaps, 0 AS late, count(DISTINCT port) AS series
+      FROM p""",
     "stream_quarantine": BASE
     + DAMAGED
     + f'SELECT event_id AS "offset", decode_status FROM s WHERE {UNREADABLE}',

@@ -28,6 +28,7 @@ from linktm.plans.data import (
     PARTS,
     events,
     fixed_clock,
+    intervals_in_parts,
     job_in_parts,
     message_path,
     messages,
@@ -41,6 +42,7 @@ from linktm.sources.logs import document_field, log_documents
 from linktm.sources.messages import packet_batch, packet_stream
 from linktm.streaming import ledger
 from linktm.streaming.compaction import compact_points, newest_generation, read_points
+from linktm.streaming.intervals import read_gaps, records
 from linktm.streaming.job import TelemetryJob, archive_stream, packet_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -676,6 +678,22 @@ def stream_extra_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def stream_interarrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps per port over four micro-batches with restarts, in which packets come out of order."""
+    job = intervals_in_parts(spark, sf_dir)
+    return read_gaps(spark, job).select("offset", "spw_port_name", "delta_ns")
+
+
+@query
+def stream_interarrival_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the batches of that stream kept: a state of one row per port, and no late packet."""
+    kept = records(spark, intervals_in_parts(spark, sf_dir))
+    return kept.agg(
+        F.sum("gaps").alias("gaps"), F.sum("late").alias("late"), F.max("series").alias("series")
+    )
+
+
 @query
 def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     job = finished_job(spark, sf_dir, "malformed")

@@ -1,0 +1,105 @@
+import os
+import shutil
+
+import pytest
+from pyspark.sql import functions as F
+from reference_decode import packet
+
+from linktm.schema import MESSAGE_SCHEMA
+from linktm.streaming.intervals import IntervalJob, read_gaps, read_late, records
+
+SECOND = 1_522_920_989
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def frame(spark, arrivals):
+    """(offset, port, nanoseconds behind SECOND) as messages."""
+    rows = [
+        (b"k", packet(sec=SECOND + ns // 10**9, nanos=ns % 10**9, port=port.encode(), payload=b"abcd"), "t", 0, offset, None)
+        for offset, port, ns in arrivals
+    ]
+    return spark.createDataFrame(rows, MESSAGE_SCHEMA)
+
+
+def gaps(spark, job):
+    return sorted((r.offset, r.spw_port_name, r.delta_ns) for r in read_gaps(spark, job).collect())
+
+
+def plain(arrivals):
+    last, out = {}, []
+    for offset, port, ns in sorted(arrivals, key=lambda a: (a[2], a[0])):
+        if port in last:
+            out.append((offset, port, ns - last[port]))
+        last[port] = ns
+    return sorted(out)
+
+
+BATCHES = [
+    [(0, "A", 100), (1, "B", 150), (2, "A", 300), (3, "A", 250)],
+    [],
+    [(4, "B", 290), (5, "A", 300), (6, "C", 900), (7, "A", 700)],
+    [(8, "A", 850), (9, "C", 900), (10, "B", 2000)],
+]
+
+
+@pytest.fixture
+def job(tmp_path):
+    return IntervalJob(str(tmp_path / "intervals"), delay=100)
+
+
+def test_gaps_run_through_the_batches(spark, job):
+    for number, batch in enumerate(BATCHES):
+        job.write_batch(frame(spark, batch), number)
+    kept = sorted(records(spark, job).collect(), key=lambda r: r.batch_id)
+    assert [r.watermark for r in kept] == [SECOND * 10**9 + t for t in (200, 200, 800, 1900)]
+    assert [r.held for r in kept] == [2, 2, 1, 1] and [r.late for r in kept] == [0] * 4
+    # A row per port, however many packets came.
+    assert [r.series for r in kept] == [2, 2, 2, 3]
+    job.flush(spark)
+    assert gaps(spark, job) == plain(sum(BATCHES, []))
+
+
+def test_late_packets_are_put_aside(spark, job):
+    job.write_batch(frame(spark, [(0, "A", 100), (1, "A", 500)]), 0)
+    job.write_batch(frame(spark, [(2, "A", 399), (3, "A", 400), (4, "B", 600)]), 1)
+    job.flush(spark)
+    assert [(r.offset, r.batch_id) for r in read_late(spark, job).collect()] == [(2, 1)]
+    assert gaps(spark, job) == plain([(0, "A", 100), (1, "A", 500), (3, "A", 400), (4, "B", 600)])
+
+
+def test_replays_and_broken_batches_change_nothing(spark, job):
+    for number, batch in enumerate(BATCHES):
+        job.write_batch(frame(spark, batch), number)
+        before = gaps(spark, job)
+        job.write_batch(frame(spark, batch), number)
+        assert gaps(spark, job) == before
+    # A batch that broke off before its record shows nowhere.
+    shutil.copytree(job.folder("gaps", 3), job.folder("gaps", 4))
+    assert gaps(spark, job) == before
+
+
+def test_only_states_that_a_replay_needs_stay(spark, job):
+    for number, batch in enumerate(BATCHES):
+        job.write_batch(frame(spark, batch), number)
+    for table in ("last", "held"):
+        assert sorted(os.listdir(f"{job.root}/{table}")) == ["batch_id=2", "batch_id=3"]
+
+
+def test_flush_of_nothing(spark, job):
+    job.flush(spark)
+    assert records(spark, job).count() == 0
+
+
+def test_import_without_the_training_data_package(tmp_path):
+    """The entry points import and offer the other queries where linktm/llm is gone and the pipeline is not."""
+    import subprocess
+    import sys
+
+    copy = tmp_path / "copy"
+    copy.mkdir()
+    shutil.copytree(f"{ROOT}/linktm", copy / "linktm", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{ROOT}/{name}"):
+            shutil.copy(f"{ROOT}/{name}", copy / name)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'capture_scan' in q and not any(n.startswith('op') or n == 'pipeline' for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
