@@ -15,6 +15,7 @@ import struct
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
@@ -34,6 +35,8 @@ LENGTH_AT = 28
 LENGTH_MASK = 0x0FFFFFFF
 
 BLOCK = 8 << 20
+# Bytes read behind a short range, so that its last packet is whole as a rule.
+PAST = 64 << 10
 SCHEMA = "path string, record_no bigint, byte_offset bigint, value binary"
 BATCH_SCHEMA = pa.schema(
     [
@@ -49,7 +52,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and inner path of a URI or of a local path."""
+    """File system and inner path of a URI or of a local path. Object stores go by several names."""
+    for name in ("s3a", "s3n"):
+        if path.startswith(f"{name}://"):
+            path = "s3" + path.removeprefix(name)
     if path.startswith("file:/"):
         path = "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path)
@@ -93,7 +99,8 @@ def frame_range(
     with store.open_input_file(inner) as source:
         size = source.size()
         stop = size if stop is None else min(stop, size)
-        position, number, want = start, first, BLOCK
+        position, number = start, first
+        want = near = min(BLOCK, max(0, stop - start) + PAST)
         while position < stop and (before is None or number < before):
             block = source.read_at(min(want, size - position), position)
             held = len(block)
@@ -118,7 +125,7 @@ def frame_range(
                 # One packet is larger than the block: read on with a larger one.
                 want *= 2
                 continue
-            want = BLOCK
+            want = near
             n = len(starts)
             offsets = pa.array([*starts, at], pa.int32()).buffers()[1]
             values = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(block)])
@@ -239,71 +246,103 @@ def guess_record(path: str, start: int, stop: int) -> int | None:
     return None
 
 
+# Bytes before and behind a chunk's start in which chains of lengths are followed.
+WINDOW = 64 << 10
+
+
+def likely_record(path: str, start: int, stop: int, masked: bool) -> int | None:
+    """The position in [start, stop) through which the most chains of lengths pass that begin near `start`: chains from
+    wrong places leave the neighbourhood at once or fall into the right one. Only a guess as well."""
+    store, inner = open_store(path)
+    low = max(GLOBAL_HEADER, start - WINDOW)
+    high = min(stop, start + WINDOW)
+    with store.open_input_file(inner) as source:
+        block = np.frombuffer(source.read_at(high - low + PACKET_HEADER, low), np.uint8)
+    places = min(high - low, len(block) - PACKET_HEADER)
+    if places <= start - low:
+        return None
+    field = [block[LENGTH_AT + k : LENGTH_AT + k + places].astype(np.int64) << (8 * k) for k in range(4)]
+    length = sum(field) & (LENGTH_MASK if masked else 0xFFFFFFFF)
+    following = np.minimum(np.arange(places) + PACKET_HEADER + length, places).tolist()
+    passing = [1] * (places + 1)
+    for place, after in enumerate(following):
+        passing[after] += passing[place]
+    inside = passing[start - low : places]
+    most = max(inside)
+    return start + inside.index(most) if most > 1 else None
+
+
 RANGE_SCHEMA = "path string, chunk bigint, stop bigint, entry bigint, records bigint, following bigint"
+_RANGE_NAMES = ["path", "chunk", "stop", "entry", "records", "following"]
+
+
+def _range_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 6
+    types = [pa.string()] + [pa.int64()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=_RANGE_NAMES)
 
 
 def probe_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, chunk, start, stop, entry, masked) -> RANGE_SCHEMA; a null entry is guessed."""
+    """(path, chunk, start, stop, entry, masked) -> RANGE_SCHEMA; a null entry is guessed, and stays null where nothing
+    looks like a packet."""
     for batch in batches:
         rows = []
         for row in batch.to_pylist():
-            entry = row["entry"]
+            path, stop, entry, masked = (row[c] for c in ("path", "stop", "entry", "masked"))
             if entry is None:
-                entry = guess_record(row["path"], row["start"], row["stop"])
-            records, following = (
-                (None, None)
-                if entry is None
-                else measure_range(row["path"], entry, row["stop"], row["masked"])
-            )
-            rows.append((row["path"], row["chunk"], row["stop"], entry, records, following))
-        columns = list(zip(*rows)) or [()] * 6
-        types = [pa.string()] + [pa.int64()] * 5
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, types)],
-            names=["path", "chunk", "stop", "entry", "records", "following"],
-        )
-
-
-WALK_SCHEMA = "path string, chunk bigint, stop bigint, entry bigint, records bigint, following bigint"
+                entry = guess_record(path, row["start"], stop)
+            if entry is None:
+                entry = likely_record(path, row["start"], stop, masked)
+            found = (None, None) if entry is None else measure_range(path, entry, stop, masked)
+            rows.append((path, row["chunk"], stop, entry, *found))
+        yield _range_batch(rows)
 
 
-def walk_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, chunk, entry, chunks, masked) -> WALK_SCHEMA: from a chunk whose guess is missing or differs from where
-    the chunk before it ends, frame on through the file's `chunks` (chunk, entry, stop) until one begins as guessed."""
+def bridge_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, entry, chunks, masked) -> RANGE_SCHEMA: the first of `chunks` (chunk, stop, guess, records, following) framed
+    from `entry` on, then the next ones, until a chunk's guess is met. From there what the guess gave (`records`,
+    `following`) holds. No task leaves the chunks it was given."""
     for batch in batches:
+        rows = []
         for row in batch.to_pylist():
-            position, chunks = row["entry"], row["chunks"]
-            for place in range(row["chunk"], len(chunks)):
-                stop = chunks[place]["stop"]
-                if place > row["chunk"] and chunks[place]["entry"] == position:
+            path, at, masked = row["path"], row["entry"], row["masked"]
+            for chunk in row["chunks"]:
+                entry, guess, stop = at, chunk["guess"], chunk["stop"]
+                records = 0
+                if guess is not None and at <= guess:
+                    records, at = measure_range(path, at, guess, masked)
+                met = at == guess
+                if met:
+                    records, at = records + chunk["records"], chunk["following"]
+                else:
+                    more, at = measure_range(path, at, stop, masked)
+                    records += more
+                rows.append((path, chunk["chunk"], stop, entry, records, at))
+                if met:
                     break
-                records, following = measure_range(row["path"], position, stop, row["masked"])
-                yield pa.RecordBatch.from_pylist(
-                    [
-                        {
-                            "path": row["path"],
-                            "chunk": place,
-                            "stop": stop,
-                            "entry": position,
-                            "records": records,
-                            "following": following,
-                        }
-                    ]
-                )
-                position = following
+        yield _range_batch(rows)
 
 
 def follow_file(table: pa.Table) -> pa.Table:
-    """Framed chunks of one file, right and wrong guesses among them -> the chain of those that follow
-    each other from the global header on."""
-    framed = {(r["chunk"], r["entry"]): r for r in table.to_pylist()}
-    position, chain = GLOBAL_HEADER, []
-    for chunk in range(1 + max(c for c, _ in framed)):
-        # Every chunk on the chain was framed by its guess or by a walk.
-        row = framed[chunk, position]
-        chain.append(row)
-        position = row["following"]
-    return pa.Table.from_pylist(chain, schema=table.schema)
+    """Framed chunks of one file, from right and wrong entries -> the chain of those that follow each other from the
+    global header on. Where the chain needs an entry that nothing was framed from, it ends with that row, `records`
+    null. A chunk that a packet covers whole has no records and none of its bytes are read."""
+    rows = table.to_pylist()
+    framed = {(r["chunk"], r["entry"]): r for r in rows if r["records"] is not None}
+    stops = {r["chunk"]: r["stop"] for r in rows}
+    path, position, chain = rows[0]["path"], GLOBAL_HEADER, []
+    for chunk, stop in sorted(stops.items()):
+        if position >= stop:
+            found = (0, position)
+        elif (chunk, position) in framed:
+            row = framed[chunk, position]
+            found = (row["records"], row["following"])
+        else:
+            chain.append((path, chunk, stop, position, None, None))
+            break
+        chain.append((path, chunk, stop, position, *found))
+        position = found[1]
+    return pa.Table.from_batches([_range_batch(chain)])
 
 
 def frame_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

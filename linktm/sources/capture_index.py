@@ -1,16 +1,18 @@
 """Parallel reading of capture files of any size.
 
-Record starts are known only by following the lengths from the start of the file, so
-a file cannot simply be cut. Instead every chunk guesses its first record and frames
-from there; a guess is right exactly when the chunk before it ends on that position.
-From every border that disagrees one task frames on until a guess is met again, and each
-file's chunks are then chained from its start, so the result equals one sequential scan, whatever
-the guesses were, in a number of jobs that does not depend on them.
+Packet starts are known only by following the lengths from the start of the file, so
+a file cannot simply be cut. Instead every chunk guesses a packet and frames
+from there; each guess is an entry whose exit from the chunk is then known. Every chunk
+is also framed from the exit of the one before, up to its guess as a rule, and each
+file's entries and exits are chained from its start. Where a chain needs an entry that was not framed, it goes on
+from there, by STRIDE chunks a round at most and up to the next guess that holds. The rows equal one sequential scan,
+whatever the guesses were, and the work grows with the file alone: every chunk is framed from its guess, from one more entry before
+the chains are made, and from those that a broken chain needs, all of which lie on the chain itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linktm.scratch import full_uri, materialize
@@ -18,16 +20,22 @@ from linktm.sources.capture import (
     GLOBAL_HEADER,
     RANGE_SCHEMA,
     SCHEMA,
-    WALK_SCHEMA,
-    capture_files,
+    bridge_ranges,
     follow_file,
     frame_ranges,
     probe_ranges,
-    walk_ranges,
 )
 
 MAX_CHUNK = 128 << 20
 MIN_CHUNK = 64 << 10
+# Chunks that a task may frame in a row where a file's chain broke off.
+STRIDE = 64
+
+
+def list_captures(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size) of a capture file or of the files below a folder, listed by Spark; hidden ones are left out."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return listed.select("path", F.col("length").alias("size"))
 
 
 def chunk_size(spark: SparkSession, sizes: list[int]) -> int:
@@ -41,14 +49,27 @@ def _spread(frame: DataFrame, rows: int) -> DataFrame:
     return frame.repartition(max(1, rows))
 
 
+def _bridged(entries: DataFrame, guessed: DataFrame, chunks: int, masked: Column) -> DataFrame:
+    """Chunks framed from `entries` (path, from_chunk, entry), each on through `chunks` chunks at most, stored."""
+    here = F.col("chunk").between(F.col("from_chunk"), F.col("from_chunk") + chunks - 1)
+    guesses = guessed.withColumnRenamed("entry", "guess")
+    given = F.array_sort(F.collect_list(F.struct("chunk", "stop", "guess", "records", "following")))
+    near = guesses.join(entries, "path").where(here)
+    if chunks == 1:
+        near = guesses.join(entries.withColumn("chunk", F.col("from_chunk")), ["path", "chunk"])
+    wanted = near.groupBy("path", "from_chunk", "entry").agg(given.alias("chunks"))
+    wanted = _spread(wanted.withColumn("masked", masked), entries.count())
+    return materialize(wanted.mapInArrow(bridge_ranges, RANGE_SCHEMA), "capture-bridges")
+
+
 def capture_index(
     spark: SparkSession, path: str, *, chunk_bytes: int | None = None, compat: bool = False
 ) -> DataFrame:
     """(path, chunk, entry, stop, first, records): exact record ranges of every file."""
-    listed = capture_files(full_uri(spark, path))
-    chunk_bytes = chunk_bytes or chunk_size(spark, [size for _, size in listed])
+    files = materialize(list_captures(spark, full_uri(spark, path)), "capture-files")
+    total = files.agg(F.sum("size")).first()[0] or 0
+    chunk_bytes = chunk_bytes or chunk_size(spark, [total])
     masked = F.lit(not compat).alias("masked")
-    files = spark.createDataFrame(listed, "path string, size bigint")
     chunks = files.where(F.col("size") > GLOBAL_HEADER).select(
         "path",
         F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / chunk_bytes))).alias("chunk"),
@@ -62,31 +83,22 @@ def capture_index(
         F.when(F.col("chunk") == 0, F.lit(GLOBAL_HEADER)).cast("bigint").alias("entry"),
         masked,
     )
-    count = planned.count()
-    ranges = materialize(
-        _spread(planned, count).mapInArrow(probe_ranges, RANGE_SCHEMA), "capture-index"
+    guessed = materialize(
+        _spread(planned, planned.count()).mapInArrow(probe_ranges, RANGE_SCHEMA), "capture-index"
     )
     # One row per chunk: a file's chunks are few, whatever its size.
     in_file = Window.partitionBy("path").orderBy("chunk")
-    proven = F.lag("following").over(in_file)
-    checked = ranges.withColumn("proven", proven).where(
-        F.col("proven").isNotNull() & ~F.col("entry").eqNullSafe(F.col("proven"))
-    )
-    wrong = checked.select("path", "chunk", F.col("proven").alias("entry"))
-    again = wrong.count()
-    framed = ranges.where(F.col("records").isNotNull())
-    if again:
-        # All wrong borders are walked on from at once. A walk that began at a wrong place is left out
-        # of the chain below; the chain itself meets only walks that began at the right one.
-        files = wrong.select("path").distinct()
-        chunked = ranges.join(files, "path").groupBy("path").agg(
-            F.array_sort(F.collect_list(F.struct("chunk", "entry", "stop"))).alias("chunks")
-        )
-        walks = _spread(wrong.join(chunked, "path").withColumn("masked", masked), again).mapInArrow(
-            walk_ranges, WALK_SCHEMA
-        )
-        framed = framed.unionByName(materialize(walks, "capture-walks"))
-    ranges = materialize(framed.groupBy("path").applyInArrow(follow_file, WALK_SCHEMA), "capture-chains")
+    entries = guessed.select("path", "chunk", F.lag("following").over(in_file).alias("entry"), "stop", F.col("entry").alias("guess"))
+    unmet = entries.where(F.col("entry").isNotNull() & ~F.col("entry").eqNullSafe(F.col("guess")) & (F.col("entry") < F.col("stop")))
+    unmet = unmet.select("path", F.col("chunk").alias("from_chunk"), "entry")
+    framed = guessed.unionByName(_bridged(unmet, guessed, 1, masked))
+    while True:
+        chains = materialize(framed.groupBy("path").applyInArrow(follow_file, RANGE_SCHEMA), "capture-chains")
+        missing = chains.where(F.col("records").isNull()).select("path", F.col("chunk").alias("from_chunk"), "entry")
+        if not missing.limit(1).count():
+            break
+        framed = framed.unionByName(_bridged(missing, guessed, STRIDE, masked))
+    ranges = chains
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
     return ranges.select(
         "path",

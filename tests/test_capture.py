@@ -153,18 +153,74 @@ def test_ccsds_helper_is_16_bytes_at_least():
     assert len(ccsds(data=b"")) == 16
 
 
-@pytest.mark.parametrize("packets", [40, 500])
-def test_unguessable_chunks_take_a_fixed_number_of_writes(spark, tmp_path, monkeypatch, packets):
-    """25 and 250 or more chunks without a guess: the same number of index tables."""
+def count_framings(monkeypatch):
+    """Rows of every index table: framings of chunks, by table."""
     from linktm.sources import capture_index as module
 
-    content = HEADER + b"".join(packet(nanos=2**32 - 1, payload=b"abcd" * 5) for _ in range(packets))
-    path = write(tmp_path, one=content)
     written = []
-    monkeypatch.setattr(module, "materialize", lambda f, n: (written.append(n), materialize(f, n))[1])
-    ranges = capture_index(spark, path, chunk_bytes=len(content) // (packets * 5 // 8)).collect()
-    assert len(ranges) >= packets * 5 // 8 and sum(r.records for r in ranges) == packets
-    assert written == ["capture-index", "capture-walks", "capture-chains"]
+
+    def counted(frame, name):
+        stored = materialize(frame, name)
+        written.append((name, stored.count()))
+        return stored
+
+    monkeypatch.setattr(module, "materialize", counted)
+    return written
+
+
+def look_alikes(n):
+    inner = b"".join(some_packets(8, seed=2, largest=20))
+    return [packet(sec=SECOND, payload=inner[i % 50 :]) for i in range(n)]
+
+
+SECOND = 1522920989
+UNGUESSABLE = [packet(nanos=2**32 - 1, payload=b"abcd" * 5) for _ in range(500)]
+ODD_SIZES = [packet(nanos=2**32 - 1, payload=random.Random(i).randbytes(i * 37 % 211)) for i in range(400)]
+
+
+@pytest.mark.parametrize("packets", [UNGUESSABLE, ODD_SIZES, look_alikes(300)], ids=["alike", "odd", "look-alikes"])
+def test_chunks_are_framed_twice_at_most(spark, tmp_path, monkeypatch, packets):
+    """250 chunks without a guess, or with wrong ones."""
+    content = HEADER + b"".join(packets)
+    path = write(tmp_path, one=content)
+    written = count_framings(monkeypatch)
+    size = len(content) // 250
+    ranges = capture_index(spark, path, chunk_bytes=size).collect()
+    assert len(ranges) >= 250 and sum(r.records for r in ranges) == len(packets)
+    framings = sum(n for name, n in written if name in ("capture-index", "capture-bridges"))
+    assert framings <= 2 * len(ranges)
+    places = {at: n for n, at, _ in sequential(content)}
+    assert all(places[r.entry] == r.first for r in ranges if r.records)
+
+
+def test_no_task_leaves_its_chunk(tmp_path, monkeypatch):
+    """Bytes that a bridge reads, from an entry that never meets the guess."""
+    content = HEADER + b"".join(UNGUESSABLE)
+    (tmp_path / "x.pcap").write_bytes(content)
+    framed = []
+    whole = capture.measure_range
+    monkeypatch.setattr(capture, "measure_range", lambda p, a, b, m: framed.append((a, b)) or whole(p, a, b, m))
+    chunk = {"chunk": 1, "stop": 6000, "guess": 3333, "records": 5, "following": 6010}
+    row = {"path": str(tmp_path / "x.pcap"), "entry": 3024, "chunks": [chunk], "masked": True}
+    import pyarrow as pa
+
+    (got,) = capture.bridge_ranges(iter([pa.RecordBatch.from_pylist([row])]))
+    starts = [at for _, at, _ in sequential(content) if 3024 <= at < 6000]
+    assert got.to_pylist()[0]["records"] == len(starts) and all(b <= 6000 for _, b in framed)
+
+
+def test_a_packet_over_many_chunks(spark, tmp_path):
+    content = HEADER + b"".join([*some_packets(5), packet(payload=bytes(20_000)), *some_packets(5, seed=4)])
+    path = write(tmp_path, one=content)
+    assert as_rows(read_captures(spark, path, chunk_bytes=700)) == sequential(content)
+
+
+def test_random_bytes_are_framed_alike(spark, tmp_path):
+    """Lengths that mean nothing: guesses are wrong or missing throughout."""
+    r = random.Random(9)
+    content = HEADER + bytes(b if i % 44 < 28 else b % 2 for i, b in enumerate(r.randbytes(9_000)))
+    path = write(tmp_path, one=content)
+    assert as_rows(read_captures(spark, path, chunk_bytes=1_500)) == sequential(content)
 
 
 def test_first_packets_of_each_file(spark, tmp_path):
