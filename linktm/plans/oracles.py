@@ -445,5 +445,10 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'received', count(*) FROM s
       UNION ALL SELECT 'cells', 12 * count(*) FROM s WHERE NOT ({UNREADABLE})
       UNION ALL SELECT 'quarantine', count(*) FROM s WHERE {UNREADABLE}""",
+    "stream_captures": BASE
+    + """SELECT ns AS spw_ts_nsec, pl AS spw_payload_length, type, raw FROM p""",
+    "stream_capture_batches": """SELECT k AS batch_id, least((n + 3) // 4, n - k * ((n + 3) // 4)) AS packets
+      FROM (SELECT count(*) AS n FROM events), (SELECT unnest(range(4)) AS k)
+      WHERE n - k * ((n + 3) // 4) > 0""",
     "stream_archive": BASE + RAW_MESSAGES,
 }

@@ -36,7 +36,7 @@ from linktm.plans.data import (
 from linktm.scratch import materialize, new_path
 from linktm.sinks import stores as K
 from linktm.sources import stores as Q
-from linktm.sources.capture import read_whole_files
+from linktm.sources.capture import capture_stream, read_whole_files
 from linktm.sources.capture_index import read_captures
 from linktm.sources.logs import document_field, log_documents
 from linktm.sources.messages import packet_batch, packet_stream
@@ -706,6 +706,41 @@ def stream_batch_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals(ledger.read(spark, job.ledger_path)).select("sink", "rows")
 
 
+def streamed_captures(spark: SparkSession, sf_dir: str, max_packets: int) -> DataFrame:
+    """Packets of a capture folder as a stream gave them, with `batch_id`. The stream is stopped after its first
+    batch and started again."""
+    folder, root = capture_folder(spark, sf_dir), new_path(spark, "capture-stream")
+
+    def keep(packets: DataFrame, batch_id: int) -> None:
+        packets.write.mode("overwrite").parquet(f"{root}/packets/batch_id={batch_id}")
+
+    def start(**trigger):
+        writer = capture_stream(spark, folder, max_packets=max_packets).writeStream.foreachBatch(keep)
+        return writer.option("checkpointLocation", f"{root}/checkpoint").trigger(**trigger).start()
+
+    start(availableNow=True).awaitTermination()
+    run = start(processingTime="0 seconds")
+    run.processAllAvailable()
+    run.stop()
+    return spark.read.parquet(f"{root}/packets")
+
+
+def quarter(spark: SparkSession, sf_dir: str) -> int:
+    return -(-events(spark, sf_dir).count() // 4)
+
+
+@query
+def stream_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_rows(streamed_captures(spark, sf_dir, quarter(spark, sf_dir)))
+
+
+@query
+def stream_capture_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of every micro-batch where the limit is a quarter of all."""
+    packets = streamed_captures(spark, sf_dir, quarter(spark, sf_dir))
+    return packets.groupBy(F.col("batch_id").cast("bigint").alias("batch_id")).agg(F.count(F.lit(1)).alias("packets"))
+
+
 @query
 def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = new_path(spark, "stream-archive"), new_path(spark, "checkpoint")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
+    DataSourceStreamReader,
     InputPartition,
 )
 
@@ -37,6 +38,8 @@ LENGTH_MASK = 0x0FFFFFFF
 BLOCK = 8 << 20
 # Bytes read behind a short range, so that its last packet is whole as a rule.
 PAST = 64 << 10
+# Bytes of a stream's batch that one task reads.
+SPLIT = 32 << 20
 SCHEMA = "path string, record_no bigint, byte_offset bigint, value binary"
 BATCH_SCHEMA = pa.schema(
     [
@@ -146,6 +149,97 @@ class CaptureFile(InputPartition):
         self.path = path
 
 
+class CaptureRange(InputPartition):
+    """Packets of one file that start in [start, stop), numbered from `first`."""
+
+    def __init__(self, path: str, start: int, stop: int, first: int):
+        self.path, self.start, self.stop, self.first = path, start, stop, first
+
+
+def hop(path: str, start: int, limit: int, masked: bool) -> Iterator[tuple[int, int]]:
+    """(packets, position behind them) at every SPLIT bytes of the first `limit` packets from `start` on, and behind
+    the last of them. Headers are looked at in blocks; no packet is kept."""
+    mask = LENGTH_MASK if masked else 0xFFFFFFFF
+    length_of = struct.Struct("<I").unpack_from
+    store, inner = open_store(path)
+    with store.open_input_file(inner) as source:
+        size, at, seen, told, block, base = source.size(), start, 0, start, b"", start
+        while at < size and seen < limit:
+            if at + PACKET_HEADER > base + len(block):
+                base, block = at, source.read_at(min(BLOCK, size - at), at)
+            if at + PACKET_HEADER > size:
+                at = size
+            else:
+                at = min(size, at + PACKET_HEADER + (length_of(block, at - base + LENGTH_AT)[0] & mask))
+            seen += 1
+            if at - told >= SPLIT and seen < limit and at < size:
+                yield seen, at
+                told = at
+        yield seen, at
+
+
+class CaptureStreamReader(DataSourceStreamReader):
+    """Offsets are {file, byte, record}: the next packet to read. Files are read in the order of their paths, and each
+    must be whole when it appears; one that sorts before the offset is not read any more."""
+
+    def __init__(self, options: dict[str, str]):
+        self.path = options["path"]
+        self.masked = options.get("maskedlength", "true").lower() == "true"
+        self.limit = int(options["maxpacketspertrigger"]) if "maxpacketspertrigger" in options else None
+        self.first = {
+            "file": options.get("startfile", ""),
+            "byte": int(options.get("startbyte", GLOBAL_HEADER)),
+            "record": int(options.get("startrecord", 0)),
+        }
+        self.position: dict | None = None
+        self.marks: list[dict] = []
+
+    def _files(self, start: dict, last: str | None = None) -> list[tuple[str, int, int, int]]:
+        """(file, first byte, size, first record) of what lies behind `start`."""
+        found = []
+        for path, size in capture_files(self.path):
+            if path >= start["file"] and (last is None or path <= last):
+                here = path == start["file"] or not start["file"] and not found
+                found.append((path, start["byte"] if here else GLOBAL_HEADER, size, start["record"] if here else 0))
+        return found
+
+    def initialOffset(self) -> dict:
+        return self.first
+
+    def latestOffset(self) -> dict:
+        start = self.position or self.first
+        left, end, self.marks = self.limit, start, []
+        for path, byte, size, record in self._files(start):
+            if left is None:
+                end = {"file": path, "byte": max(size, byte), "record": 0}
+            elif byte < size and left > 0:
+                for packets, at in hop(path, byte, left, self.masked):
+                    end = {"file": path, "byte": at, "record": record + packets}
+                    self.marks.append(end)
+                left -= packets
+        self.position = end
+        return end
+
+    def partitions(self, start: dict, end: dict) -> list[CaptureRange]:
+        # After a restart this is the first call, with the last offset of the run before.
+        self.position = end
+        ranges = []
+        for path, byte, size, record in self._files(start, end["file"]) if start != end else []:
+            stop = end["byte"] if path == end["file"] else size
+            for mark in self.marks:
+                if mark["file"] == path and byte < mark["byte"] < stop:
+                    ranges.append(CaptureRange(path, byte, mark["byte"], record))
+                    byte, record = mark["byte"], mark["record"]
+            if byte < stop:
+                ranges.append(CaptureRange(path, byte, stop, record))
+        return ranges
+
+    def read(self, partition: CaptureRange):
+        return frame_range(
+            partition.path, partition.start, partition.stop, partition.first, masked=self.masked
+        )
+
+
 class CaptureReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -163,7 +257,8 @@ class CaptureReader(DataSourceReader):
 
 class CaptureDataSource(DataSource):
     """Options: `path` (file or folder), `maskedLength` (default true: only the low
-    28 bits of the length field count), `firstRecords` (read no more per file)."""
+    28 bits of the length field count), `firstRecords` (read no more per file). As a stream also
+    `maxPacketsPerTrigger`, and `startFile`, `startByte`, `startRecord`: where a new stream begins."""
 
     @classmethod
     def name(cls) -> str:
@@ -175,6 +270,9 @@ class CaptureDataSource(DataSource):
     def reader(self, schema) -> CaptureReader:
         return CaptureReader({k.lower(): v for k, v in self.options.items()})
 
+    def streamReader(self, schema) -> CaptureStreamReader:
+        return CaptureStreamReader({k.lower(): v for k, v in self.options.items()})
+
 
 def register_capture(spark: SparkSession) -> None:
     spark.dataSource.register(CaptureDataSource)
@@ -192,6 +290,26 @@ def read_whole_files(
     return reader.load(full_uri(spark, path))
 
 
+def capture_stream(
+    spark: SparkSession,
+    path: str,
+    *,
+    max_packets: int | None = None,
+    start: dict[str, object] | None = None,
+    compat: bool = False,
+) -> DataFrame:
+    """Stream of the packets of a capture folder, (path, record_no, byte_offset, value), files in the order of their paths.
+    `max_packets` bounds a micro-batch; the driver then looks at the headers of one batch to find its end.
+    `start` is an offset (file, byte, record) for a stream without a checkpoint."""
+    register_capture(spark)
+    reader = spark.readStream.format("capture").option("maskedLength", "false" if compat else "true")
+    if max_packets is not None:
+        reader = reader.option("maxPacketsPerTrigger", str(max_packets))
+    for name, value in (start or {}).items():
+        reader = reader.option(f"start{name.capitalize()}", str(value))
+    return reader.load(full_uri(spark, path))
+
+
 def measure_range(path: str, entry: int, stop: int, masked: bool) -> tuple[int, int]:
     """(records, position after the last one) of the records that start in [entry, stop)."""
     records, following = 0, entry

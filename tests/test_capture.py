@@ -231,3 +231,58 @@ def test_first_packets_of_each_file(spark, tmp_path):
         assert as_rows(got) == sequential(content)[:n]
     plan = read_captures(spark, path, chunk_bytes=1_000, first=77)._jdf.queryExecution().toString()
     assert "Sort" not in plan and "TakeOrdered" not in plan
+
+
+def streamed(spark, folder, root, **options):
+    """Batches of a stream that works through what is there: {batch: rows}."""
+    def keep(frame, batch_id):
+        frame.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
+
+    writer = capture.capture_stream(spark, folder, **options).writeStream.foreachBatch(keep)
+    run = writer.option("checkpointLocation", f"{root}/checkpoint").trigger(processingTime="0 seconds").start()
+    run.processAllAvailable()
+    run.stop()
+    found = {}
+    for r in spark.read.parquet(f"{root}/out").orderBy("batch_id", "path", "record_no").collect():
+        found.setdefault(r.batch_id, []).append((r.path.rsplit("/", 1)[1], r.record_no, r.byte_offset, bytes(r.value)))
+    return found
+
+
+def test_stream_of_captures(spark, tmp_path):
+    """A limit cuts batches across files, new files follow, and a restart neither loses nor repeats a packet."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    contents = {n: HEADER + b"".join(some_packets(k, seed=k)) for n, k in (("a", 10), ("b", 7), ("c", 5))}
+    rows = [(f"{n}.pcap", *r) for n in "abc" for r in sequential(contents[n])]
+    write(folder, a=contents["a"], b=contents["b"], empty=b"")
+    first = streamed(spark, str(folder), tmp_path / "s", max_packets=6)
+    assert [len(b) for b in first.values()] == [6, 6, 5]
+    write(folder, c=contents["c"])
+    (folder / "empty.pcap").rename(folder / "z.pcap")
+    second = streamed(spark, str(folder), tmp_path / "s", max_packets=4)
+    assert [len(b) for b in second.values()] == [6, 6, 5, 4, 1]
+    assert [r for b in second.values() for r in b] == rows
+
+
+def test_stream_starts_where_it_is_told(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    content = HEADER + b"".join(some_packets(9))
+    write(folder, a=content, b=content)
+    place = sequential(content)[6]
+    start = {"file": f"file:{folder}/a.pcap", "byte": place[1], "record": 6}
+    found = streamed(spark, str(folder), tmp_path / "s", start=start)
+    assert [r for b in found.values() for r in b] == [("a.pcap", *r) for r in sequential(content)[6:]] + [
+        ("b.pcap", *r) for r in sequential(content)
+    ]
+
+
+def test_hops_mark_where_tasks_begin(tmp_path, monkeypatch):
+    monkeypatch.setattr(capture, "SPLIT", 1000)
+    monkeypatch.setattr(capture, "BLOCK", 400)
+    content = HEADER + b"".join(some_packets(40, largest=300))
+    (tmp_path / "x.pcap").write_bytes(content)
+    places = {at: n for n, at, _ in sequential(content)}
+    marks = list(capture.hop(str(tmp_path / "x.pcap"), 24, 30, True))
+    assert len(marks) > 3 and all(places[at] == n for n, at in marks) and marks[-1][0] == 30
+    assert list(capture.hop(str(tmp_path / "x.pcap"), 24, 99, True))[-1] == (40, len(content))
