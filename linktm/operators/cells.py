@@ -66,14 +66,44 @@ def content_columns(rows: DataFrame) -> list[str]:
 
 
 def number_rows(
-    decoded: DataFrame, order: list[str], *, rows_per_slice: int = ROWS_PER_SLICE
+    decoded: DataFrame,
+    order: list[str],
+    *,
+    rows_per_slice: int = ROWS_PER_SLICE,
+    stored: bool = False,
 ) -> DataFrame:
     """Give packets their place (`_row`) and count (`_rows`) in the order of `order`."""
     return dense_row_id(
-        decoded, order, name="_row", total="_rows", rows_per_slice=rows_per_slice
+        decoded, order, name="_row", total="_rows", rows_per_slice=rows_per_slice, stored=stored
     )
 
 
+def profile_inputs(profile: str) -> set[str]:
+    """Decoded columns that the cells of a profile are made from."""
+    measured = {column for _, column, _ in S.MEASUREMENTS}
+    if profile == "v2":
+        return measured | set(S.CELL_COLUMNS_V2)
+    details = {"local_timestamp", "ccsds_apid", "spw_port_name", "ccsds_service_type", "ccsds_service_subtype", "type"}
+    return measured | {"spw_ts_usec", "raw_packet_data"} | (details if profile == "v1_optional" else set())
+
+
+def numbered_cell_rows(
+    decoded: DataFrame,
+    order: list[str],
+    profile: str = "v1",
+    *,
+    compat: bool = False,
+    rows_per_slice: int = ROWS_PER_SLICE,
+    stored: bool = False,
+) -> DataFrame:
+    """Wide rows of a profile with the packets' places. Only columns that the profile uses are put in order; `stored` as
+    in `slices.slice_by`."""
+    wanted = profile_inputs(profile) | set(order)
+    narrow = decoded.select(*(c for c in decoded.columns if c in wanted))
+    numbered = number_rows(narrow, order, rows_per_slice=rows_per_slice, stored=stored)
+    return cell_rows(numbered, profile, compat=compat)
+
+
 def sequential_keys(rows: DataFrame, *, start: int | Column = 0, width: int = 0) -> DataFrame:
     """Row keys `<key>.Row<n>` with one counter that runs through the measurements:
     all packets of the first measurement, then all of the second, and so on."""
@@ -124,10 +154,12 @@ def packet_cells(
     width: int = 0,
     compat: bool = False,
     rows_per_slice: int = ROWS_PER_SLICE,
+    stored: bool = False,
 ) -> DataFrame:
     """Decoded packets -> numbered cells of a profile."""
-    numbered = number_rows(decoded, order, rows_per_slice=rows_per_slice)
-    rows = cell_rows(numbered, profile, compat=compat)
+    rows = numbered_cell_rows(
+        decoded, order, profile, compat=compat, rows_per_slice=rows_per_slice, stored=stored
+    )
     return melt(sequential_keys(rows, start=start, width=width), python_booleans=compat)
 
 

@@ -32,20 +32,25 @@ def slice_count(rows: int, tasks: int, rows_per_slice: int = ROWS_PER_SLICE) ->
 
 
 def slice_by(
-    frame: DataFrame, order: list[str], *, rows_per_slice: int = ROWS_PER_SLICE
+    frame: DataFrame,
+    order: list[str],
+    *,
+    rows_per_slice: int = ROWS_PER_SLICE,
+    stored: bool = False,
 ) -> DataFrame:
     """`frame` with its slice (`_slice`) and its place there (`_inside`, from 0) in the order of the columns
     `order`, nulls first, NaN last.
 
     The input is evaluated once, into the shared folder; the count, the borders and the rows come from what is
-    stored, and the result is stored as well, so every later pass, retry or replay agrees. `order` must
-    identify a row up to ties whose mutual order does not matter.
+    stored, and the result is stored as well, so every later pass, retry or replay agrees. `stored` says that the
+    rows already follow from stored or persisted data alone: they are then evaluated again instead of written twice.
+    `order` must identify a row up to ties whose mutual order does not matter.
     """
     spark = frame.sparkSession
-    stored = materialize(frame, "unordered")
+    rows = frame if stored else materialize(frame, "unordered")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    count = slice_count(stored.count(), tasks, rows_per_slice)
-    ranged = stored.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    count = slice_count(rows.select(*order).count(), tasks, rows_per_slice)
+    ranged = rows.repartitionByRange(count, *order).sortWithinPartitions(*order)
     placed = ranged.withColumn("_at", F.monotonically_increasing_id())
     inside = F.col("_at").bitwiseAND((1 << _PLACE_BITS) - 1)
     numbered = placed.withColumns({SLICE: F.shiftright("_at", _PLACE_BITS), INSIDE: inside})
@@ -60,10 +65,11 @@ def dense_row_id(
     total: str | None = None,
     start: int = 0,
     rows_per_slice: int = ROWS_PER_SLICE,
+    stored: bool = False,
 ) -> DataFrame:
     """Add consecutive integers from `start` in the order of `order`; `total`, when
     given, names a column for the number of rows."""
-    sliced = slice_by(frame, order, rows_per_slice=rows_per_slice)
+    sliced = slice_by(frame, order, rows_per_slice=rows_per_slice, stored=stored)
     counted = sliced.groupBy(SLICE).agg(F.count(F.lit(1)).alias("_rows"))
     # These windows run over the slice table: one row per slice.
     everything = Window.orderBy(SLICE).rowsBetween(

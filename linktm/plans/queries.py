@@ -295,22 +295,22 @@ def conform_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cells_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.packet_cells(decoded(spark, sf_dir), ORDER, "v1")
+    return C.packet_cells(decoded(spark, sf_dir), ORDER, "v1", stored=True)
 
 
 @query
 def cells_v1_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.packet_cells(decoded(spark, sf_dir), ORDER, "v1_optional")
+    return C.packet_cells(decoded(spark, sf_dir), ORDER, "v1_optional", stored=True)
 
 
 @query
 def cells_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.packet_cells(decoded(spark, sf_dir, variant="v2"), ORDER, "v2")
+    return C.packet_cells(decoded(spark, sf_dir, variant="v2"), ORDER, "v2", stored=True)
 
 
 @query
 def cells_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.packet_cells(decoded(spark, sf_dir, compat=True), ORDER, "v1_optional", compat=True)
+    return C.packet_cells(decoded(spark, sf_dir, compat=True), ORDER, "v1_optional", compat=True, stored=True)
 
 
 @query
@@ -321,16 +321,15 @@ def cells_index_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cells_row_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = C.number_rows(decoded(spark, sf_dir), ORDER)
-    return C.sequential_keys(C.cell_rows(numbered), width=12).select(
+    rows = C.numbered_cell_rows(decoded(spark, sf_dir), ORDER, stored=True)
+    return C.sequential_keys(rows, width=12).select(
         "row_key", F.col(C.FAMILY).alias("family"), "timestamp"
     )
 
 
 def stored_cells(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     cells_path, catalog_path = new_path(spark, "cells"), new_path(spark, "catalog")
-    numbered = C.number_rows(decoded(spark, sf_dir), ORDER)
-    rows = C.cell_rows(numbered, "v1_optional")
+    rows = C.numbered_cell_rows(decoded(spark, sf_dir), ORDER, "v1_optional", stored=True)
     K.write_catalog(C.profile_catalog(rows, "v1_optional"), catalog_path)
     K.write_cells(C.melt(C.sequential_keys(rows, width=12)), cells_path)
     return cells_path, catalog_path
@@ -388,7 +387,7 @@ def cells_catalog_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cells_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells written twice: the later write holds."""
     path = new_path(spark, "cells")
-    rows = C.sequential_keys(C.cell_rows(C.number_rows(decoded(spark, sf_dir), ORDER)))
+    rows = C.sequential_keys(C.numbered_cell_rows(decoded(spark, sf_dir), ORDER, stored=True))
     K.write_cells(C.melt(rows.withColumn("eng", F.col("eng") + 1), ["eng"]), path)
     K.write_cells(C.melt(rows, ["eng"]), path)
     return C.restore(Q.read_cells(spark, path), [("eng", "int64")], "duration", "duration")

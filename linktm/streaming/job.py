@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from linktm import scratch
-from linktm.operators.cells import cell_rows, melt, number_rows, profile_catalog, sequential_keys
+from linktm.operators.cells import melt, numbered_cell_rows, profile_catalog, sequential_keys
 from linktm.operators.decode import decode_packets, non_empty, quarantine, raw_bytes, readable
 from linktm.operators.points import points
 from linktm.schema import ARRIVAL_ORDER, MEASUREMENTS, PROJECTED_V1, PROJECTED_V2
@@ -98,8 +98,10 @@ class TelemetryJob:
                 lambda f, seen: write_points(seen(f), self.points_path, batch_id=batch_id),
             )
             start = ledger.next_row(spark, self.ledger_path, batch_id)
-            numbered = number_rows(good, list(self.order))
-            rows = cell_rows(numbered, self.profile, compat=self.compat)
+            # The persisted packets are put in order; nothing but the order's result is written.
+            rows = numbered_cell_rows(
+                good, list(self.order), self.profile, compat=self.compat, stored=True
+            )
             keyed = sequential_keys(rows, start=start)
             timed(
                 "cells",

@@ -6,7 +6,8 @@ from linktm import schema as S
 from linktm.functions import values as V
 from linktm.operators import cells as C
 from linktm.operators import points as P
-from linktm.operators.decode import decode_packets
+from linktm.operators.decode import decode_packets, non_empty
+from linktm.plans.data import messages
 from linktm.sinks import stores as K
 from linktm.sources import stores as R
 
@@ -168,3 +169,18 @@ def test_value_functions(spark):
     assert one(spark, V.cell_text(F.lit(True), "boolean", python_booleans=True)) == "True"
     assert one(spark, V.typed_cell(F.lit("True"), "bool")) is True
     assert one(spark, V.typed_cell(F.lit("x"), "int64")) is None
+
+
+@pytest.mark.parametrize("profile, variant", [("v1", "v1"), ("v1_optional", "v1"), ("v2", "v2")])
+def test_numbering_stores_the_columns_of_the_profile_once(spark, tables, monkeypatch, profile, variant):
+    from linktm.operators import slices
+    from linktm.scratch import materialize
+
+    packets = decode_packets(non_empty(messages(spark, tables)), variant=variant)
+    order = ["offset", "partition", "topic"]
+    stored = []
+    monkeypatch.setattr(slices, "materialize", lambda f, n: (stored.append((n, set(f.columns))), materialize(f, n))[1])
+    C.packet_cells(packets, order, profile, stored=True)
+    wanted = C.profile_inputs(profile) | set(order) | {slices.SLICE, slices.INSIDE}
+    assert [n for n, _ in stored] == ["slices"] and stored[0][1] == wanted
+    assert len(wanted) < 16 < len(packets.columns)
