@@ -10,7 +10,8 @@ hold the ids in ascending order of documents. The index (a Parquet table) says w
 lies. A repeated attempt writes a file of another name; only files that the index names are part of the set.
 
 Nulls: a null text is empty, a null id comes first. Repeated rows are documents of their own, one
-after the other. Empty table: no files, an empty index. Strings of special tokens in a text are ordinary text.
+after the other. Empty table: no files, an empty index. Strings of special tokens in a text become their ids, as the library
+does by itself.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.plain = _Known(self._encode, "")
         self.spaced = _Known(self._encode, " ")
@@ -99,6 +100,9 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
+        if any(token in text for token in self.special):
+            # Their strings become their ids and part the text around them.
+            return self._encode(text)
         if _WIDE.search(text):
             # Runs of white space belong to the word behind them as a whole.
             return b"".join(map(plain, _UNIT.findall(text)))

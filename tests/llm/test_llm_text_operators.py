@@ -183,7 +183,6 @@ def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     encoder = Encoder(tokenizer_path())
     draw = np.random.default_rng(3)
     parts = [" ", "\n", "\t", "\x1c", " ", "  ", "a", "the", "'s", ".", "..", "1", "é", "日", "😀", "<|endoftext|>", "x" * 90]
