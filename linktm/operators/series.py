@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linktm.operators.selection import select_first
 from linktm.operators.slices import INSIDE, ROWS_PER_SLICE, SLICE, slice_by
 
 
@@ -78,5 +79,5 @@ def packets_per_window(
 
 
 def first_packets(packets: DataFrame, order: list[str], n: int = 10) -> DataFrame:
-    """The first `n` packets in the given order: a bounded top-n, not a full sort."""
-    return packets.orderBy(*order).limit(n)
+    """The first `n` packets in the given order: a bounded top-n while n is small, else by selection."""
+    return select_first(packets, order, n)

@@ -21,7 +21,7 @@ SMALL_SLICE = 1_000
 SLICE = "_slice"
 INSIDE = "_inside"
 # monotonically_increasing_id holds the partition above this bit and the row's place below it.
-_PLACE_BITS = 33
+PLACE_BITS = 33
 
 
 def slice_count(rows: int, tasks: int, rows_per_slice: int = ROWS_PER_SLICE) -> int:
@@ -52,8 +52,8 @@ def slice_by(
     count = slice_count(rows.select(*order).count(), tasks, rows_per_slice)
     ranged = rows.repartitionByRange(count, *order).sortWithinPartitions(*order)
     placed = ranged.withColumn("_at", F.monotonically_increasing_id())
-    inside = F.col("_at").bitwiseAND((1 << _PLACE_BITS) - 1)
-    numbered = placed.withColumns({SLICE: F.shiftright("_at", _PLACE_BITS), INSIDE: inside})
+    inside = F.col("_at").bitwiseAND((1 << PLACE_BITS) - 1)
+    numbered = placed.withColumns({SLICE: F.shiftright("_at", PLACE_BITS), INSIDE: inside})
     return materialize(numbered.drop("_at"), "slices")
 
 

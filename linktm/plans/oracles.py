@@ -280,6 +280,11 @@ ORACLES: dict[str, str] = {
     + 'SELECT event_id AS "offset", raw AS value_hex FROM p ORDER BY event_id LIMIT 10',
     "first_packet": BASE
     + 'SELECT event_id AS "offset", raw AS value_hex FROM p ORDER BY event_id LIMIT 1',
+    "first_packets_selected": BASE
+    + """SELECT event_id AS "offset", port AS spw_port_name, us AS spw_ts_usec FROM p
+      ORDER BY spw_port_name, spw_ts_usec, "offset" LIMIT 4567""",
+    "first_packets_workload": BASE
+    + 'SELECT event_id AS "offset", raw AS value_hex FROM p ORDER BY event_id LIMIT 863928',
     "points_v1_optional": BASE + MEASURED + POINTS_V1,
     "points_v1_mandatory": BASE
     + MEASURED
@@ -421,6 +426,25 @@ ORACLES: dict[str, str] = {
       CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS schemaless_type
       FROM events""",
     "log_text_sink": "SELECT props AS document FROM events",
+    "log_documents_variant": """SELECT
+      CASE WHEN NOT bad AND f <> 1 THEN event_id END AS event_id,
+      CASE WHEN NOT bad THEN (CASE WHEN f = 1 THEN 'e' ELSE '' END) || event_id END AS id_text,
+      CASE WHEN NOT bad AND f = 0 THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k,
+      CASE WHEN NOT bad AND f = 1 THEN 1::BIGINT END AS n,
+      CASE WHEN NOT bad AND f = 1 THEN 2.5::DOUBLE END AS a_key,
+      CASE WHEN NOT bad AND f = 0 THEN true END AS ok, bad AS unreadable
+      FROM (SELECT *, event_id % 3 AS f, event_id % 50 = 0 AS bad FROM events)""",
+    "log_document_paths": """SELECT path, kind, count(*) AS n
+      FROM (SELECT event_id % 3 AS f FROM events WHERE event_id % 50 <> 0) JOIN (VALUES
+        (0, '$', 'object'), (0, '$.event_id', 'integer'), (0, '$.props', 'object'), (0, '$.props.k', 'integer'),
+        (0, '$.ok', 'boolean'),
+        (1, '$', 'object'), (1, '$.event_id', 'string'), (1, '$.tags', 'array'), (1, '$.tags[*]', 'string'),
+        (1, '$.tags[*]', 'null'), (1, '$.tags[*]', 'object'), (1, '$.tags[*].n', 'integer'),
+        (1, '$[''a key'']', 'number'),
+        (2, '$', 'object'), (2, '$.event_id', 'integer'), (2, '$.props', 'null'), (2, '$.tags', 'array')
+      ) AS v(form, path, kind) ON f = form GROUP BY path, kind""",
+    "log_documents_schema": """SELECT DISTINCT 'OBJECT<`a key`: DECIMAL(2,1), event_id: VARIANT, ok: BOOLEAN, '
+      || 'props: OBJECT<k: BIGINT>, tags: ARRAY<VARIANT>>' AS merged FROM events""",
     "stream_points": BASE + MEASURED + POINTS_V1,
     "stream_cells": BASE + MEASURED + IN_PARTS + _melt(CELLS_V1, ROW_KEY),
     "stream_replay": BASE + MEASURED + IN_PARTS + _melt(CELLS_V1, ROW_KEY),

@@ -38,7 +38,14 @@ from linktm.sinks import stores as K
 from linktm.sources import stores as Q
 from linktm.sources.capture import capture_stream, read_whole_files
 from linktm.sources.capture_index import read_captures
-from linktm.sources.logs import document_field, log_documents
+from linktm.sources.logs import (
+    document_field,
+    document_paths,
+    log_documents,
+    merged_schema,
+    typed_documents,
+    typed_field,
+)
 from linktm.sources.messages import packet_batch, packet_stream
 from linktm.streaming import ledger
 from linktm.streaming.compaction import compact_points, newest_generation, read_points
@@ -191,6 +198,20 @@ def first_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("offset", hex_text(F.col("value")).alias("value_hex"))
 
 
+@query
+def first_packets_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More packets than one task should merge, by port and time."""
+    packets = decoded(spark, sf_dir).select("offset", "spw_port_name", "spw_ts_usec")
+    return R.first_packets(packets, ["spw_port_name", "spw_ts_usec", "offset"], 4_567)
+
+
+@query
+def first_packets_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many packets as the full workload has, all where there are fewer."""
+    first = R.first_packets(messages(spark, sf_dir), ORDER, WORKLOAD)
+    return first.select("offset", hex_text(F.col("value")).alias("value_hex"))
+
+
 # Points
 
 
@@ -618,6 +639,45 @@ def log_text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_documents(spark, path)
 
 
+def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed documents of three forms, and every 50th line no JSON: a number or text as `event_id`, with or without a
+    nested object, an array of mixed values, a missing value."""
+    form = F.col("event_id") % 3
+    a = F.format_string('{"event_id": %d, "props": %s, "ok": true}', "event_id", "props")
+    b = F.format_string('{"event_id": "e%d", "tags": ["x", null, {"n": 1}], "a key": 2.5}', "event_id")
+    c = F.format_string('{"event_id": %d, "props": null, "tags": []}', "event_id")
+    text = F.when(F.col("event_id") % 50 == 0, "no json").when(form == 0, a).when(form == 1, b).otherwise(c)
+    path = new_path(spark, "mixed-logs")
+    K.write_text_lines(events(spark, sf_dir).select(text.alias("document")), path)
+    return typed_documents(spark, path)
+
+
+@query
+def log_documents_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed fields of documents that differ in form."""
+    documents = mixed_documents(spark, sf_dir)
+    return documents.select(
+        typed_field("doc", "$.event_id", "bigint").alias("event_id"),
+        typed_field("doc", "$.event_id", "string").alias("id_text"),
+        typed_field("doc", "$.props.k", "int").alias("k"),
+        typed_field("doc", "$.tags[2].n", "bigint").alias("n"),
+        typed_field("doc", "$['a key']", "double").alias("a_key"),
+        typed_field("doc", "$.ok", "boolean").alias("ok"),
+        F.col("doc").isNull().alias("unreadable"),
+    )
+
+
+@query
+def log_document_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_paths(mixed_documents(spark, sf_dir))
+
+
+@query
+def log_documents_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type that holds all documents."""
+    return merged_schema(mixed_documents(spark, sf_dir))
+
+
 # Streams
 
 

@@ -12,6 +12,7 @@ from linktm.operators.series import (
     packets_per_window,
 )
 from linktm.operators.slices import SLICE, dense_row_id, slice_by, slice_count
+from linktm.scratch import materialize
 
 N = 6_000
 
@@ -150,6 +151,29 @@ def test_windows_and_first(spark):
     assert [r.offset for r in first_packets(frame, ["offset"], 3).collect()] == [0, 1, 2]
 
 
+@pytest.mark.parametrize("n", [1_001, 2_857, 2_858, 5_000, 19_999, 20_000, 20_001])
+def test_first_by_selection(spark, n):
+    """Nulls come first, a whole key decides, and rows that share the last key fill the number up."""
+    number = F.col("id")
+    frame = materialize(
+        spark.range(20_000).select(
+            F.when(number % 7 != 0, number % 50).alias("a"), (number * 7_919 % 20_011).alias("b"), "id"
+        ),
+        "rows",
+    )
+
+    def key(row):
+        return row.a is not None, row.a or 0, row.b
+
+    rows = sorted(frame.collect(), key=key)
+    whole = first_packets(frame, ["a", "b"], n)
+    assert sorted(whole.collect(), key=key) == rows[:n]
+    assert "TakeOrdered" not in whole._jdf.queryExecution().toString()
+    tied = first_packets(frame, ["a"], n).collect()
+    assert len({r.id for r in tied}) == len(tied) == min(n, 20_000)
+    assert sorted(key(r)[:2] for r in tied) == [key(r)[:2] for r in rows[:n]]
+
+
 def test_slices_follow_the_rows_without_a_limit():
     assert slice_count(0, 8) == slice_count(1, 8) == 1
     assert slice_count(10**6, 8) == 32

@@ -7,7 +7,14 @@ from linktm.operators import cells as C
 from linktm.operators.decode import packet_values
 from linktm.sinks import stores as K
 from linktm.sources import stores as R
-from linktm.sources.logs import document_field, log_documents
+from linktm.sources.logs import (
+    document_field,
+    document_paths,
+    log_documents,
+    merged_schema,
+    typed_documents,
+    typed_field,
+)
 
 
 def test_topic_sink_skips_missing_packets(spark, tmp_path):
@@ -47,6 +54,24 @@ def test_log_documents(spark, tmp_path):
     assert {r.c for r in fields.collect()} == {"t", None}
 
 
+def test_typed_documents(spark, tmp_path):
+    lines = ['{"a": {"b": [[1], []]}, "c.d": 1}', '{"a": 2, "a": 3}', "", "7", "null", '{"it\'s": 1.5}']
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "x.log").write_text("\n".join(lines))
+    documents = typed_documents(spark, str(tmp_path / "logs"))
+    got = {(r.path, r.kind): r.n for r in document_paths(documents).collect()}
+    assert got == {
+        ("$", "object"): 2, ("$", "integer"): 1, ("$", "null"): 1,
+        ("$.a", "object"): 1, ("$.a.b", "array"): 1, ("$.a.b[*]", "array"): 2, ("$.a.b[*][*]", "integer"): 1,
+        ("$['c.d']", "integer"): 1, ("$['it\\'s']", "number"): 1,
+    }
+    fields = documents.select("document", typed_field("doc", "$.a.b[0][0]", "int").alias("v")).collect()
+    assert {r.document: r.v for r in fields} == {line: 1 if line == lines[0] else None for line in lines}
+    assert merged_schema(documents).first().merged == "VARIANT"
+    none = typed_documents(spark, str(tmp_path / "none"))
+    assert document_paths(none).count() == 0 and none.columns == ["document", "doc"]
+
+
 def test_missing_log_path_is_empty(spark, tmp_path):
     frame = log_documents(spark, str(tmp_path / "none"), "a int")
     assert frame.count() == 0 and frame.columns == ["document", "doc"]
