@@ -15,6 +15,7 @@ from linktm.fixtures import (
 )
 from linktm.scratch import new_path
 from linktm.sources.messages import packet_batch, packet_stream
+from linktm.streaming.compaction import STORES, merge_store, retire
 from linktm.streaming.intervals import IntervalJob
 from linktm.streaming.job import TelemetryJob
 
@@ -74,6 +75,24 @@ def job_in_parts(spark: SparkSession, sf_dir: str) -> tuple[TelemetryJob, str]:
     return _jobs[key]
 
 
+_merged: dict[tuple[str, str, str, tuple[int, ...]], TelemetryJob] = {}
+
+
+def merged_job(spark: SparkSession, sf_dir: str, kind: str = "packets", *, merges: tuple[int, ...]) -> TelemetryJob:
+    """A job of PARTS micro-batches, batch k as in `job_in_parts`. After each batch of `merges` all stores are merged by
+    twos, and what is covered is removed."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind, merges)
+    if key not in _merged:
+        job = TelemetryJob(new_path(spark, "merged"), clock=fixed_clock())
+        for part in range(PARTS):
+            job.write_batch(messages(spark, sf_dir, kind).where(F.col("offset") % PARTS == part), part)
+            for store in STORES if part in merges else ():
+                merge_store(spark, job, store, fanout=2)
+                retire(spark, job, store, grace=0)
+        _merged[key] = job
+    return _merged[key]
+
+
 _intervals: dict[tuple[str, str], IntervalJob] = {}
 
 

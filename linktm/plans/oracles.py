@@ -449,6 +449,16 @@ ORACLES: dict[str, str] = {
     "stream_cells": BASE + MEASURED + IN_PARTS + _melt(CELLS_V1, ROW_KEY),
     "stream_replay": BASE + MEASURED + IN_PARTS + _melt(CELLS_V1, ROW_KEY),
     "stream_compacted_points": BASE + MEASURED + POINTS_V1,
+    "merged_cells": BASE + MEASURED + IN_PARTS + _melt(CELLS_V1, ROW_KEY),
+    "merged_quarantine": BASE
+    + DAMAGED
+    + f"""SELECT event_id AS "offset", event_id % 4 AS batch_id, decode_status FROM s WHERE {UNREADABLE}""",
+    "merged_ledger": BASE
+    + DAMAGED
+    + f"""SELECT 'points' AS sink, 2 * count(*) AS rows, 4 AS batches FROM s WHERE NOT ({UNREADABLE})
+      UNION ALL SELECT 'received', count(*), 4 FROM s
+      UNION ALL SELECT 'cells', 12 * count(*), 4 FROM s WHERE NOT ({UNREADABLE})
+      UNION ALL SELECT 'quarantine', count(*), 4 FROM s WHERE {UNREADABLE}""",
     "stream_batch_counts": """SELECT event_id % 4 AS batch_id, count(*) AS packets FROM events
       GROUP BY event_id % 4""",
     "stream_extra_sink": BASE

@@ -30,6 +30,7 @@ from linktm.plans.data import (
     fixed_clock,
     intervals_in_parts,
     job_in_parts,
+    merged_job,
     message_path,
     messages,
 )
@@ -48,7 +49,7 @@ from linktm.sources.logs import (
 )
 from linktm.sources.messages import packet_batch, packet_stream
 from linktm.streaming import ledger
-from linktm.streaming.compaction import compact_points, newest_generation, read_points
+from linktm.streaming.compaction import read_points, read_store
 from linktm.streaming.intervals import read_gaps, records
 from linktm.streaming.job import TelemetryJob, archive_stream, packet_counts
 
@@ -720,11 +721,29 @@ def stream_batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_compacted_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All points of a stream of which the first two batches are compacted."""
-    job, _ = job_in_parts(spark, sf_dir)
-    if newest_generation(spark, job) is None:
-        compact_points(spark, job, 1)
-    return flat_points(read_points(spark, job))
+    """All points of a stream of which the first two batches are merged and their folders gone."""
+    return flat_points(read_points(spark, merged_job(spark, sf_dir, merges=(1,))))
+
+
+@query
+def merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells where two batches are merged and two are not."""
+    cells = read_store(spark, merged_job(spark, sf_dir, merges=(1,)), "cells")
+    return cells.select("row_key", "family", "qualifier", "value")
+
+
+@query
+def merged_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unreadable packets of a run of runs."""
+    job = merged_job(spark, sf_dir, "malformed", merges=(1, 3))
+    return read_store(spark, job, "quarantine").select("offset", "batch_id", "decode_status")
+
+
+@query
+def merged_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a ledger whose batches are merged."""
+    job = merged_job(spark, sf_dir, "malformed", merges=(1, 3))
+    return ledger.totals(read_store(spark, job, "ledger")).select("sink", "rows", "batches")
 
 
 @query

@@ -17,10 +17,9 @@ from linktm.operators.points import points
 from linktm.schema import ARRIVAL_ORDER, MEASUREMENTS, PROJECTED_V1, PROJECTED_V2
 from linktm.sinks.stores import write_catalog, write_cells, write_points
 from linktm.streaming import ledger
+from linktm.streaming.compaction import read_ledger
 
 INTERVAL = "10 seconds"
-# The ledger entry that holds a micro-batch's number of received packets.
-RECEIVED = "received"
 
 
 @dataclass(frozen=True)
@@ -79,7 +78,7 @@ class TelemetryJob:
         started = ledger.now()
         received = packets.count()
         decoded = self.decode(packets).persist(StorageLevel.MEMORY_AND_DISK)
-        entries = [ledger.Entry(RECEIVED, received, started, ledger.now())]
+        entries = [ledger.Entry(ledger.RECEIVED, received, started, ledger.now())]
 
         def timed(sink: str, frame: DataFrame, write, next_row: int | None = None) -> int:
             # Rows are counted while they are written, not by another pass.
@@ -157,5 +156,5 @@ def archive_stream(
 
 def packet_counts(spark: SparkSession, job: TelemetryJob) -> DataFrame:
     """`batch_id`, `packets` received in every micro-batch of a job since it first ran, empty packets included."""
-    entries = ledger.read(spark, job.ledger_path).where(F.col("sink") == RECEIVED)
+    entries = read_ledger(spark, job).where(F.col("sink") == ledger.RECEIVED)
     return entries.select("batch_id", F.col("rows").alias("packets"))

@@ -13,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The entry that holds a micro-batch's number of received packets.
+RECEIVED = "received"
 SCHEMA = "sink string, rows bigint, started timestamp, finished timestamp, next_row bigint"
 
 

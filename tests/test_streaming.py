@@ -3,16 +3,17 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from linktm import scratch
 from linktm.fixtures import malformed_packets_from_events, packets_from_events, read_events
 from linktm.operators import cells as C
 from linktm.operators.decode import decode_packets, non_empty, quarantine, readable
 from linktm.operators.points import points
 from linktm.operators.series import packets_per_window
+from linktm.sinks.stores import write_points
 from linktm.sources import stores as R
 from linktm.sources.messages import packet_batch, packet_stream
 from linktm.streaming import ledger
-from linktm.sinks.stores import write_points
-from linktm.streaming.compaction import compact_points, read_points
+from linktm.streaming.compaction import STORES, Run, merge_store, read_store, retire
 from linktm.streaming.job import TelemetryJob, archive_stream, packet_counts
 
 CLOCK_US = 1522920989746678
@@ -194,8 +195,6 @@ def test_broker_options(spark):
 def test_counts_outlive_the_progress_buffer(spark, tmp_path):
     """Every batch keeps its count, also when more ran than the query remembers, and no
     intermediate of a batch stays behind."""
-    from linktm import scratch
-
     frame = spark.createDataFrame(
         [("t", 0, i, bytearray(b"\x01")) for i in range(3)],
         "topic string, partition int, offset bigint, value binary",
@@ -214,19 +213,58 @@ def test_counts_outlive_the_progress_buffer(spark, tmp_path):
     assert set(os.listdir(f"{scratch.shared_folder(spark)}/linktm")) == before
 
 
-def test_compaction_and_unfinished_batches(spark, tmp_path):
-    """Compacted twice, points are the same; a batch without its ledger entry is not seen."""
-    packets = packets_from_events(read_events(spark, "/root/testdata/sf0.001"))
+def test_merged_stores_and_unfinished_batches(spark, tmp_path):
+    """However far batches are merged, every store shows its committed batches; a batch that broke off after any
+    of its sinks shows nowhere, and its repetition shows once. A row is written once a level."""
+    packets = scratch.materialize(malformed_packets_from_events(read_events(spark, "/root/testdata/sf0.001")), "in")
+    job = TelemetryJob(str(tmp_path / "out"), clock=clock())
+    whole = TelemetryJob(str(tmp_path / "whole"), clock=clock())
+    made: list[Run] = []
+    for part in range(5):
+        mine = packets.where(F.col("offset") % 16 == part)
+        good = readable(job.decode(mine))
+        # The first sink of the batch was written, the ledger was not.
+        write_points(points(good), job.points_path, batch_id=part)
+        if part:
+            assert {r.batch_id for r in read_store(spark, job, "points").select("batch_id").collect()} == set(range(part))
+        job.write_batch(mine, part)
+        whole.write_batch(mine, part)
+        for store in STORES:
+            new = merge_store(spark, job, store, fanout=2)
+            assert merge_store(spark, job, store, fanout=2) == []
+            made += new if store == "cells" else []
+            if part != 2:
+                retire(spark, job, store, grace=0)
+    assert [(r.level, r.first, r.last) for r in made] == [(1, 0, 1), (1, 2, 3), (2, 0, 3)]
+    for store in STORES:
+        want = R.read_cells(spark, getattr(whole, f"{store}_path"))
+        columns = [c for c in want.columns if c not in ("started", "finished")]
+        got = read_store(spark, job, store)
+        assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+        folders = [f for f in os.listdir(getattr(job, f"{store}_path")) if f.startswith("batch_id=")]
+        assert sorted(folders) == (["batch_id=3", "batch_id=4"] if store == "ledger" else ["batch_id=4"])
+        assert os.listdir(f"{job.root}/merged/{store}-records") == ["level-2-batches-0-3"]
+    rows = read_store(spark, job, "cells").where("batch_id < 4").count()
+    assert sum(r.rows for r in made) == 2 * rows
+    assert sorted(tuple(r) for r in packet_counts(spark, job).collect()) == sorted(tuple(r) for r in packet_counts(spark, whole).collect())
+
+
+def test_a_merge_waits_for_the_ledger_and_for_readers(spark, tmp_path):
+    packets = scratch.materialize(packets_from_events(read_events(spark, "/root/testdata/sf0.001")), "in")
     job = TelemetryJob(str(tmp_path / "out"), clock=clock())
-    for part in range(3):
-        job.write_batch(packets.where(F.col("offset") % 4 == part), part)
-    want = R.read_points(spark, job.points_path).drop("batch_id")
-    whole = sorted(map(str, want.collect()))
-    # The sinks of batch 3 were written, the ledger was not.
-    half = points(readable(job.decode(packets.where(F.col("offset") % 4 == 3))))
-    write_points(half, job.points_path, batch_id=3)
-    for last in (None, 0, 2):
-        if last is not None:
-            compact_points(spark, job, last)
-        got = read_points(spark, job).select(*want.columns)
-        assert sorted(map(str, got.collect())) == whole
+    with pytest.raises(ValueError):
+        read_store(spark, job, "points")
+    for part in (0, 1, 3):
+        (job if part < 3 else TelemetryJob(str(tmp_path / "other"))).write_batch(
+            packets.where(F.col("offset") % 32 == part), part if part < 3 else 0
+        )
+    before = read_store(spark, job, "points")
+    rows = before.count()
+    assert [(r.first, r.last) for r in merge_store(spark, job, "points", fanout=2)] == [(0, 1)]
+    retire(spark, job, "points")
+    assert before.count() == rows == read_store(spark, job, "points").count()
+    # No readable packet, hence no row in this store.
+    assert merge_store(spark, job, "quarantine", fanout=2)[0].rows == 0
+    retire(spark, job, "quarantine", grace=0)
+    assert merge_store(spark, job, "points", fanout=2) == merge_store(spark, job, "cells", fanout=3) == []
+    assert merge_store(spark, job, "cells", fanout=2, last_batch=0) == []
