@@ -36,7 +36,6 @@ WITH d AS (
 ), limits AS (
   SELECT source, k FROM line GROUP BY source, k
   HAVING count(DISTINCT text) > 20
-     AND 100.0 * count(DISTINCT text) > 1.0 * (SELECT count(DISTINCT b.text) FROM line b WHERE b.source IS NOT DISTINCT FROM line.source)
 ), lost AS (
   SELECT doc_id, sum(len(string_split(line.k, ' ')))::BIGINT AS n
   FROM line JOIN limits ON line.k = limits.k AND line.source IS NOT DISTINCT FROM limits.source GROUP BY 1

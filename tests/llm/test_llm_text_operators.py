@@ -72,6 +72,22 @@ def test_rules_reject_documents_of_host_boilerplate_only(spark):
     assert [i for i, k in kept.items() if not k] == [100, 102] or {i for i, k in kept.items() if not k} == {100, 102}
 
 
+def test_a_limit_of_a_line_does_not_weaken_with_its_host(spark):
+    """21 of 3,000 texts of a host, and of a null host, are boilerplate; 20 are not."""
+    def text(i, line):
+        return " ".join(f"own{i}x{k}" for k in range(6)) + "\n" + line
+
+    rows = []
+    for host, start in (("big", 0), (None, 10_000)):
+        often, seldom = (" ".join(f"{w}{k}" for k in range(20)) for w in ("often", "seldom"))
+        lines = [often] * 21 + [seldom] * 20
+        rows += [(start + i, text(start + i, line), host) for i, line in enumerate(lines)]
+        rows += [(start + i, text(start + i, f"other{i} " * 3 + f"z{i} " * 14), host) for i in range(41, 3_000)]
+    got = quality_rules(documents(spark, rows)).where("not base_failed").collect()
+    assert {r.doc_id for r in got if not r.kept} == {*range(21), *range(10_000, 10_021)}
+    assert {r.n_boilerplate_words for r in got if r.kept} == {0}
+
+
 def test_rules_on_edge_rows_and_nothing(spark):
     assert quality_rules(documents(spark, ROWS)).count() == len(ROWS)
     assert quality_rules(documents(spark, EMPTY)).count() == 0
