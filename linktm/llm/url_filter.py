@@ -44,6 +44,8 @@ SEEDS = (
     "spam track tracker viagra win xxx"
 ).split()
 CACHE = 200_000
+# Words up to this length are met as substrings of names.
+SHORT = 32
 # A seed is as likely as this share of all words at least, so that names are split at seeds.
 SEED_SHARE = 1e-4
 UNKNOWN = "?"
@@ -138,11 +140,11 @@ def segment(name: str, logs: dict[str, float], least: float | None = None) -> li
     if not name:
         return []
     rare = (min(logs.values(), default=0.0) if least is None else least) - 5.0
-    longest = max(map(len, logs), default=1)
+    lengths = sorted({1, *map(len, logs)}, reverse=True)
     best, back = [0.0], [0]
     for end in range(1, len(name) + 1):
         score, start = -math.inf, end - 1
-        for begin in range(max(0, end - longest), end):
+        for begin in (end - n for n in lengths if n <= end):
             piece = logs.get(name[begin:end], 2 * rare if end - begin == 1 else None)
             if piece is not None and best[begin] + piece > score:
                 score, start = best[begin] + piece, begin
@@ -171,18 +173,30 @@ def url_names(urls: DataFrame) -> DataFrame:
 
 def split_names(names: DataFrame, known: Lexicon) -> DataFrame:
     """`names` (different names, rows_here) with their `words` and `seed`, whether one of these is a seed."""
+    keyed = names.withColumns({"k1": F.xxhash64("name"), "k2": F.xxhash64(F.lit(1), "name")})
     letters = F.length("name")
-    begins = names.where(letters >= 2).select("name", F.explode(F.sequence(F.lit(1), letters - 1)).alias("begin"))
-    lengths = F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(known.longest), letters - F.col("begin") + 1)))
-    parts = begins.select("name", "begin", F.explode(lengths).alias("length")).select(
-        "name", F.substring("name", F.col("begin"), F.col("length")).alias("word")
+    begins = keyed.where(letters >= 2).select("*", F.explode(F.sequence(F.lit(1), letters - 1)).alias("begin"))
+    longest = F.least(F.lit(SHORT), F.lit(known.longest), letters - F.col("begin") + 1)
+    short = begins.select(
+        "k1", "k2", F.explode(F.transform(
+            F.sequence(F.lit(2), F.greatest(F.lit(2), longest)),
+            lambda n: F.substring("name", F.col("begin"), n))).alias("word")
     )
+    # Longer words are met by their beginning and then compared, so a name gives SHORT substrings a letter at most.
+    long_words = known.words.where(F.length("word") > SHORT).select(
+        "word", F.substring("word", 1, SHORT).alias("beginning")
+    )
+    met = begins.where(letters - F.col("begin") >= SHORT).withColumn(
+        "beginning", F.substring("name", F.col("begin"), F.lit(SHORT))
+    ).join(long_words, "beginning")
+    long = met.where(F.substring("name", F.col("begin"), F.length("word")) == F.col("word")).select("k1", "k2", "word")
+    parts = short.unionByName(materialize(long, "long-words"))
     here = parts.groupBy("word").agg(F.count("*").alias("rows_here"))
     needed = materialize(known.words.join(here, "word"), "words-in-names")
     n_rows = needed.agg(F.sum("rows_here")).first()[0] or 0
     own = (
         join_counted(parts, needed, ["word"], n_rows)
-        .groupBy("name")
+        .groupBy("k1", "k2")
         .agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("counts"))
     )
     seeds = frozenset(SEEDS)
@@ -204,7 +218,7 @@ def split_names(names: DataFrame, known: Lexicon) -> DataFrame:
                 ["name", "rows_here", "words", "seed"],
             )
 
-    return names.join(own, "name", "left").mapInArrow(
+    return keyed.join(own, ["k1", "k2"], "left").mapInArrow(
         split, "name string, rows_here long, words array<string>, seed boolean"
     )
 

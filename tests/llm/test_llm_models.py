@@ -428,3 +428,15 @@ def test_model_blocks_seeded_hosts(spark, tables):
     for r in got:
         named = not seeds.isdisjoint(r.host.replace("-", ".").split("."))
         assert (r.verdict == "block") == named, r
+
+
+def test_very_long_names_and_words(spark):
+    """Words above the length met as substrings, one the beginning of another, in a name of thousands of letters."""
+    letters = np.random.default_rng(3).choice(list("bcdfghjklm"), 900)
+    first = "".join(letters[:300])
+    second = first[: url_filter.SHORT] + "".join(letters[300:])
+    name = (first + second + "zq") * 3
+    frame = urls(spark, [(0, f"http://{name}.com/", f"{first} {second} zq zq zq com", "h", "w")])
+    names = spark.createDataFrame([(name, 1)], "name string, rows_here long")
+    got = url_filter.split_names(names, url_filter.lexicon(frame)).first()
+    assert got.words == [first, second, "zq"] * 3 and got.rows_here == 1
