@@ -8,7 +8,7 @@ from llm_cases import components, documents, edge_rows, kept_lines, lower, shing
 from pyspark.sql import functions as F
 
 from linktm.llm import oracles, queries
-from linktm.llm.components import connected_components
+from linktm.llm.components import connected_components, contracted, relabelled, thinned
 from linktm.llm.line_dedup import bitmap_positions, dedup_lines
 from linktm.llm.minhash_hamming import (
     CHUNKS,
@@ -188,6 +188,32 @@ def test_components_of_long_chains(spark):
     assert {(r.node, r.label) for r in got.collect()} == {(i, 0) for i in range(201)} | {(i, 500) for i in (500, 501, 502)}
 
 
+def test_thinned_and_late_links_keep_the_components(spark):
+    draw = np.random.default_rng(8)
+    links = [tuple(map(int, sorted(draw.choice(60, 2, replace=False)))) for _ in range(40)]
+    links += [(100 + h, 110 + c) for h in range(5) for c in range(30)]
+    late = [(0, 100), (105, 200), (139, 200), (3, 3)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+
+    def labels(pairs):
+        label = {n: n for pair in pairs for n in pair}
+        for _ in label:
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    thin = thinned(frame(links))
+    assert thin.where("a >= 100").count() == 34
+    first = connected_components(thin)
+    assert {r.node: r.label for r in first.collect()} == labels(links)
+    further = connected_components(contracted(frame(late), first))
+    got = relabelled(first, further)
+    want = labels(links + late)
+    assert {r.node: r.label for r in got.collect() if r.node != 3} == {n: c for n, c in want.items() if n != 3}
+    assert connected_components(frame([(4, 4), (7, 6)])).count() == 3
+    assert connected_components(frame([])).count() == 0
+
+
 # Token files
 
 
