@@ -363,6 +363,12 @@ ORACLES: dict[str, str] = {
     + NUMBERED
     + f"""SELECT row_key, qualifier AS "column", value FROM ({_melt(FULL, PADDED_KEY)})
       WHERE row_key = 'duration.Row' || lpad(CAST((SELECT count(*) FROM events) AS VARCHAR), 12, '0')""",
+    "cells_point_gets": BASE
+    + MEASURED
+    + NUMBERED
+    + f"""SELECT row_key, family, qualifier, value FROM ({_melt(FULL, PADDED_KEY)})
+      WHERE row_key IN (SELECT 'duration.Row' || lpad(CAST((2 * (SELECT count(*) FROM events) - 1) * k // 49 AS VARCHAR), 12, '0')
+        FROM range(50) t(k))""",
     "cells_catalog_compat": f"""SELECT family, qualifier, CASE dtype WHEN 'int32' THEN 'int64' ELSE dtype END AS dtype, (SELECT count(*) FROM events) AS rows
       FROM (VALUES {PLACES}) c(qualifier, place, dtype), (VALUES ('payloadlength'), ('duration')) f(family)
       WHERE qualifier <> 'timestamp'""",

@@ -39,6 +39,7 @@ from linktm.sinks import stores as K
 from linktm.sources import stores as Q
 from linktm.sources.capture import capture_stream, read_whole_files
 from linktm.sources.capture_index import read_captures
+from linktm.sources.cell_index import get_rows, index_cells
 from linktm.sources.logs import (
     document_field,
     document_paths,
@@ -392,6 +393,16 @@ def cells_row_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("row_key", V.column_of(named).alias("column"), "value")
 
 
+@query
+def cells_point_gets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells of 100 rows by key, every second of them absent, from the files that an index names."""
+    path, index = stored_cells(spark, sf_dir)[0], new_path(spark, "cell-index")
+    index_cells(spark, path, index)
+    last = 2 * events(spark, sf_dir).count() - 1
+    keys = [f"{name}.Row{last * k // 49:012d}" for k in range(50) for name in ("duration", "absent")]
+    return get_rows(spark, path, index, keys).select("row_key", "family", "qualifier", "value")
+
+
 @query
 def cells_catalog_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Historical type names of the columns, beside the number of packets."""
