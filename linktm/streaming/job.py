@@ -76,9 +76,12 @@ class TelemetryJob:
     def _write_batch(self, packets: DataFrame, batch_id: int) -> None:
         spark = packets.sparkSession
         started = ledger.now()
-        received = packets.count()
-        decoded = self.decode(packets).persist(StorageLevel.MEMORY_AND_DISK)
-        entries = [ledger.Entry(ledger.RECEIVED, received, started, ledger.now())]
+        # Received packets are counted on their way into the decoder, empty ones included: the source is read once.
+        received = Observation()
+        decoded = self.decode(packets.observe(received, F.count(F.lit(1)).alias("rows"))).persist(
+            StorageLevel.MEMORY_AND_DISK
+        )
+        entries: list[ledger.Entry] = []
 
         def timed(sink: str, frame: DataFrame, write, next_row: int | None = None) -> int:
             # Rows are counted while they are written, not by another pass.
@@ -121,6 +124,7 @@ class TelemetryJob:
                     f"{self.quarantine_path}/batch_id={batch_id}"
                 ),
             )
+            entries.append(ledger.Entry(ledger.RECEIVED, received.get["rows"], started, ledger.now()))
             for name, sink in self.extra_sinks.items():
                 timed(name, good, lambda f, seen, sink=sink: sink(seen(f), batch_id))
             ledger.record(spark, self.ledger_path, batch_id, entries)
