@@ -268,3 +268,57 @@ def test_a_merge_waits_for_the_ledger_and_for_readers(spark, tmp_path):
     retire(spark, job, "quarantine", grace=0)
     assert merge_store(spark, job, "points", fanout=2) == merge_store(spark, job, "cells", fanout=3) == []
     assert merge_store(spark, job, "cells", fanout=2, last_batch=0) == []
+
+
+def test_a_batch_reads_its_source_once(spark, tmp_path):
+    packets = scratch.materialize(malformed_packets_from_events(read_events(spark, "/root/testdata/sf0.001")), "in")
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    job = TelemetryJob(str(tmp_path / "out"), clock=clock())
+    job.write_batch(packets.mapInArrow(passed, packets.schema), 0)
+    assert seen.value == packets.count() == packet_counts(spark, job).first().packets
+
+
+class Broken(Exception):
+    pass
+
+
+@pytest.mark.parametrize("sink", ["points", "cells", "quarantine", "extra"])
+def test_a_batch_that_breaks_off_behind_a_sink_shows_nowhere(spark, tmp_path, monkeypatch, sink):
+    """Stopped once `sink` is written: readers of all stores see the batch before only, the repetition shows once."""
+    packets = scratch.materialize(malformed_packets_from_events(read_events(spark, "/root/testdata/sf0.001")), "in")
+    first, second = (packets.where(F.col("offset") % 20 == part) for part in (0, 1))
+    job = TelemetryJob(str(tmp_path / "out"), clock=clock(), extra_sinks={"extra": lambda rows, _: rows.count()})
+
+    def broken(*_, **__):
+        raise Broken
+
+    job.write_batch(first, 0)
+    with monkeypatch.context() as patch:
+        if sink == "points":
+            patch.setattr("linktm.streaming.job.write_cells", broken)
+        elif sink == "cells":
+            patch.setattr("linktm.streaming.job.quarantine", broken)
+        elif sink == "quarantine":
+            patch.setitem(job.extra_sinks, "extra", broken)
+        else:
+            patch.setattr(ledger, "record", broken)
+        with pytest.raises(Broken):
+            job.write_batch(second, 1)
+    written = {"points": 1, "cells": 2, "quarantine": 3, "extra": 3}[sink]
+    stores = ("points", "cells", "quarantine")
+    assert [os.path.exists(f"{job.root}/{s}/batch_id=1") for s in stores] == [n < written for n in range(3)]
+    for store in STORES:
+        assert {r.batch_id for r in read_store(spark, job, store).select("batch_id").collect()} == {0}
+    job.write_batch(second, 1)
+    decoded = job.decode(packets.where(F.col("offset") % 20 < 2))
+    assert read_store(spark, job, "points").count() == points(readable(decoded)).count()
+    assert read_store(spark, job, "quarantine").count() == quarantine(decoded).count()
+    cells = read_store(spark, job, "cells")
+    assert cells.count() == cells.select("row_key", "family", "qualifier").distinct().count()
+    assert {r.batch_id for r in cells.select("batch_id").distinct().collect()} == {0, 1}
