@@ -264,11 +264,21 @@ def restore(
     default the write version that the store keeps; of equal ones the largest value."""
     names = [name for name, _ in columns]
     version = version or next((c for c in (VERSION, "batch_id") if c in cells.columns), None)
-    newest = F.struct("value") if version is None else F.struct(version, "value")
-    value = F.max(newest)["value"]
-    wide = (
-        data_rows(cells, key, family).groupBy("row_key").pivot("qualifier", names).agg(value)
+    kept = data_rows(cells, key, family)
+    cell = F.struct("qualifier", *([] if version is None else [F.col(version).alias("version")]), "value")
+    # Cells of a row lie together in a store, so a row is put together before it moves, and moves as one.
+    rows = kept.groupBy("row_key").agg(F.collect_list(cell).alias("cells"))
+    all_cells = F.col("cells")
+    once = F.size(F.array_distinct(F.array_compact(all_cells["qualifier"]))) == F.size(all_cells)
+    # In order of column, version and value the last cell of a column is its newest.
+    last = F.filter(
+        F.col("sorted"),
+        lambda c, i: c["qualifier"].isNotNull() & ~F.get(F.col("sorted"), i + 1)["qualifier"].eqNullSafe(c["qualifier"]),
     )
+    rows = rows.select("row_key", "cells", F.when(~once, F.sort_array(all_cells)).alias("sorted"))
+    rows = rows.select("row_key", F.coalesce(last, all_cells).alias("cells"))
+    newest = F.map_from_arrays(all_cells["qualifier"], all_cells["value"])
+    wide = rows.select("row_key", newest.alias("cells"))
     return wide.select(
-        "row_key", *(typed_cell(F.col(name), dtype).alias(name) for name, dtype in columns)
+        "row_key", *(typed_cell(F.col("cells")[name], dtype).alias(name) for name, dtype in columns)
     )

@@ -354,7 +354,7 @@ def stored_cells(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     cells_path, catalog_path = new_path(spark, "cells"), new_path(spark, "catalog")
     rows = C.numbered_cell_rows(decoded(spark, sf_dir), ORDER, "v1_optional", stored=True)
     K.write_catalog(C.profile_catalog(rows, "v1_optional"), catalog_path)
-    K.write_cells(C.melt(C.sequential_keys(rows, width=12)), cells_path)
+    K.write_cells(C.sequential_keys(rows, width=12), cells_path, melted=C.melt)
     return cells_path, catalog_path
 
 

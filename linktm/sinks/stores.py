@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linktm.functions.values import json_line
-from linktm.operators.cells import VERSION
+from linktm.operators.cells import FAMILY, VERSION
 from linktm.operators.points import with_tags
 from linktm.sources.messages import TOPIC
 
@@ -52,15 +52,21 @@ def write_cells(
     batch_id: int | None = None,
     version: int | None = None,
     observed: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    melted: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Cells in one folder per family. A file holds one range of row keys, in order, and the ranges of a
     family's files do not overlap, so a range of keys opens only the files it needs. Every cell bears the `version` of its write, by default
     the batch's number or else the time in microseconds: where a cell was written twice, the larger one holds. `observed` is
-    applied to the rows as they are written; what comes before is also run to place the ranges."""
+    applied to the rows as they are written; what comes before is also run to place the ranges. With `melted`, `cells` are wide
+    rows with their `row_key`, which are ranged and moved as such; `melted` makes cells of them in the task that writes them."""
     if version is None:
         version = time.time_ns() // 1000 if batch_id is None else batch_id
-    cells = cells.withColumn(VERSION, F.lit(version).cast("bigint"))
-    ordered = cells.repartitionByRange("family", "row_key").sortWithinPartitions("family", "row_key")
+    if melted is not None:
+        # Wide rows in order leave next to nothing to do for the sort of the cells below.
+        cells = melted(cells.repartitionByRange(FAMILY, "row_key").sortWithinPartitions(FAMILY, "row_key"))
+    else:
+        cells = cells.repartitionByRange("family", "row_key")
+    ordered = cells.withColumn(VERSION, F.lit(version).cast("bigint")).sortWithinPartitions("family", "row_key")
     _save(observed(ordered), path, ["family"], batch_id)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -105,11 +106,12 @@ class TelemetryJob:
                 good, list(self.order), self.profile, compat=self.compat, stored=True
             )
             keyed = sequential_keys(rows, start=start)
+            cells_of = partial(melt, python_booleans=self.compat)
             timed(
                 "cells",
-                melt(keyed, python_booleans=self.compat),
+                keyed,
                 lambda f, seen: write_cells(
-                    f, self.cells_path, batch_id=batch_id, observed=seen
+                    f, self.cells_path, batch_id=batch_id, observed=seen, melted=cells_of
                 ),
                 start + good.count() * len(MEASUREMENTS),
             )

@@ -137,3 +137,55 @@ def test_newest_cell_holds_and_tags_are_marked(spark, tmp_path):
     K.write_points(points, str(tmp_path / "p"), tags={"site": 4}, tag_columns=("port",))
     stored = R.read_points(spark, str(tmp_path / "p"))
     assert sorted(R.tag_columns(stored)) == ["port", "site"] and stored.first().port == "5"
+
+
+def test_wide_rows_are_ranged_before_they_are_melted(spark, tmp_path):
+    """A row moves once, not once a cell, and the files are those of cells that were ranged themselves."""
+    rows = spark.range(6_000).select(
+        F.format_string("k.Row%012d", "id").alias("row_key"),
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias(C.FAMILY),
+        *(F.when(F.col("id") % 7 != n, F.col("id") + n).alias(f"c{n}") for n in range(9)),
+    )
+    moved = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        K.write_cells(
+            rows.repartition(6),
+            str(tmp_path / "wide"),
+            version=1,
+            melted=lambda ranged: C.melt(moved.append(ranged) or ranged),
+        )
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    K.write_cells(C.melt(rows), str(tmp_path / "cells"), version=1)
+    assert moved[0].columns == rows.columns
+    stored = R.read_cells(spark, str(tmp_path / "wide"))
+    want = R.read_cells(spark, str(tmp_path / "cells"))
+    assert stored.columns == want.columns and sorted(stored.collect()) == sorted(want.collect())
+    file = F.input_file_name().alias("file")
+    for family in ("a", "b"):
+        mine = stored.where(F.col("family") == family)
+        ranges = mine.groupBy(file).agg(F.min("row_key").alias("lo"), F.max("row_key").alias("hi")).orderBy("lo").collect()
+        assert len(ranges) > 2 and all(x.hi < y.lo for x, y in zip(ranges, ranges[1:]))
+    for name in {r.file for r in stored.select(file).distinct().collect()}:
+        keys = [r.row_key for r in spark.read.parquet(name).coalesce(1).collect()]
+        assert keys == sorted(keys)
+
+
+def test_restore_moves_a_row_once(spark, tmp_path):
+    """Repeated cells, missing ones, columns that the catalogue lacks and nulls among the qualifiers."""
+    cells = spark.createDataFrame(
+        [
+            ("k.Row1", "k", "a", "1", 5), ("k.Row1", "k", "a", "9", 4), ("k.Row1", "k", "b", "x", 4),
+            ("k.Row2", "k", "a", "2", 1), ("k.Row2", "k", "a", "3", 1), ("k.Row3", "k", "z", "7", 1),
+            ("k.Row4", "k", None, "7", 1), ("k.Row4", "k", "b", "y", 1), ("k.Row4", "k", None, "8", 1),
+            ("k.Row5", "k", "a", "4", 2), ("k.Row5", "k", "a", "0", None), ("k.Row6", "k", "a", "6", 3), ("k.Row6", "k", "a", None, 4),
+        ],
+        f"row_key string, family string, qualifier string, value string, {C.VERSION} bigint",
+    )
+    wide = C.restore(cells, [("a", "int64"), ("b", "object")], "k", "k")
+    assert sorted(map(tuple, wide.collect())) == [
+        ("k.Row1", 1, "x"), ("k.Row2", 3, None), ("k.Row3", None, None), ("k.Row4", None, "y"), ("k.Row5", 4, None), ("k.Row6", None, None),
+    ]
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "qualifier" not in next(line for line in plan.splitlines() if "hashpartitioning" in line)
