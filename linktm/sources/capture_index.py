@@ -20,6 +20,7 @@ from linktm.sources.capture import (
     GLOBAL_HEADER,
     RANGE_SCHEMA,
     SCHEMA,
+    SPLIT,
     bridge_ranges,
     follow_file,
     frame_ranges,
@@ -44,12 +45,14 @@ def chunk_size(spark: SparkSession, sizes: list[int]) -> int:
     return min(MAX_CHUNK, max(MIN_CHUNK, share))
 
 
-def _spread(frame: DataFrame, rows: int) -> DataFrame:
-    """One task per row: a row stands for a whole chunk of a file."""
-    return frame.repartition(max(1, rows))
+def _spread(frame: DataFrame, rows: int, total: int) -> DataFrame:
+    """Rows that stand for chunks of files dealt out to tasks: one a task, or several where chunks are finer than SPLIT
+    bytes, so the driver keeps track of a number of tasks that follows the `total` bytes and not the chunks."""
+    least = 4 * frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(max(1, min(rows, max(least, -(-total // SPLIT)))))
 
 
-def _bridged(entries: DataFrame, guessed: DataFrame, chunks: int, masked: Column) -> DataFrame:
+def _bridged(entries: DataFrame, guessed: DataFrame, chunks: int, masked: Column, total: int) -> DataFrame:
     """Chunks framed from `entries` (path, from_chunk, entry), each on through `chunks` chunks at most, stored."""
     here = F.col("chunk").between(F.col("from_chunk"), F.col("from_chunk") + chunks - 1)
     guesses = guessed.withColumnRenamed("entry", "guess")
@@ -58,7 +61,7 @@ def _bridged(entries: DataFrame, guessed: DataFrame, chunks: int, masked: Column
     if chunks == 1:
         near = guesses.join(entries.withColumn("chunk", F.col("from_chunk")), ["path", "chunk"])
     wanted = near.groupBy("path", "from_chunk", "entry").agg(given.alias("chunks"))
-    wanted = _spread(wanted.withColumn("masked", masked), entries.count())
+    wanted = _spread(wanted.withColumn("masked", masked), entries.count(), total)
     return materialize(wanted.mapInArrow(bridge_ranges, RANGE_SCHEMA), "capture-bridges")
 
 
@@ -84,20 +87,20 @@ def capture_index(
         masked,
     )
     guessed = materialize(
-        _spread(planned, planned.count()).mapInArrow(probe_ranges, RANGE_SCHEMA), "capture-index"
+        _spread(planned, planned.count(), total).mapInArrow(probe_ranges, RANGE_SCHEMA), "capture-index"
     )
     # One row per chunk: a file's chunks are few, whatever its size.
     in_file = Window.partitionBy("path").orderBy("chunk")
     entries = guessed.select("path", "chunk", F.lag("following").over(in_file).alias("entry"), "stop", F.col("entry").alias("guess"))
     unmet = entries.where(F.col("entry").isNotNull() & ~F.col("entry").eqNullSafe(F.col("guess")) & (F.col("entry") < F.col("stop")))
     unmet = unmet.select("path", F.col("chunk").alias("from_chunk"), "entry")
-    framed = guessed.unionByName(_bridged(unmet, guessed, 1, masked))
+    framed = guessed.unionByName(_bridged(unmet, guessed, 1, masked, total))
     while True:
         chains = materialize(framed.groupBy("path").applyInArrow(follow_file, RANGE_SCHEMA), "capture-chains")
         missing = chains.where(F.col("records").isNull()).select("path", F.col("chunk").alias("from_chunk"), "entry")
         if not missing.limit(1).count():
             break
-        framed = framed.unionByName(_bridged(missing, guessed, STRIDE, masked))
+        framed = framed.unionByName(_bridged(missing, guessed, STRIDE, masked, total))
     ranges = chains
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
     return ranges.select(
@@ -121,7 +124,8 @@ def read_captures(
 ) -> DataFrame:
     """Packets of a capture file or folder: (path, record_no, byte_offset, value). The
     rows of `read_whole_files`, with large files read by many tasks. `first` reads that many packets of each
-    file and no chunk behind them."""
+    file and no chunk behind them. A join with the packets is a merge join unless the other side bears a hint of its own:
+    Spark would take the packets for as small as the table of ranges that they are read from, and send all to the driver."""
     index = materialize(
         capture_index(spark, path, chunk_bytes=chunk_bytes, compat=compat), "capture-ranges"
     )
@@ -129,4 +133,7 @@ def read_captures(
     if first is not None:
         ranges = ranges.where(F.col("first") < first)
     bounded = ranges.withColumn("before", F.lit(first).cast("bigint"))
-    return _spread(bounded, bounded.count()).mapInArrow(frame_ranges, SCHEMA)
+    # No range reaches further than its chunk, but for its last packet.
+    sizes = bounded.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.greatest(F.col("stop") - F.col("entry"), F.lit(0))).alias("total")).first()
+    packets = _spread(bounded, sizes.rows, sizes.total or 0).mapInArrow(frame_ranges, SCHEMA)
+    return packets.hint("merge")

@@ -286,3 +286,28 @@ def test_hops_mark_where_tasks_begin(tmp_path, monkeypatch):
     marks = list(capture.hop(str(tmp_path / "x.pcap"), 24, 30, True))
     assert len(marks) > 3 and all(places[at] == n for n, at in marks) and marks[-1][0] == 30
     assert list(capture.hop(str(tmp_path / "x.pcap"), 24, 99, True))[-1] == (40, len(content))
+
+
+def test_packets_are_not_sent_to_the_driver_by_a_join(spark, tmp_path):
+    """The ranges are small, what is read from them is not: neither side of a join is broadcast by Spark's own choice."""
+    content = HEADER + b"".join(some_packets(300))
+    path = write(tmp_path, one=content)
+    place = ["path", "record_no", "byte_offset"]
+    whole = capture.read_whole_files(spark, path).select(*place)
+    packets = read_captures(spark, path, chunk_bytes=1_000)
+    for joined in (packets.join(whole, place), packets.select("*").where("record_no >= 0").join(packets.select(*place), place)):
+        assert as_rows(joined) == sequential(content)
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    few = spark.createDataFrame([(7,)], "record_no long")
+    assert "BroadcastHashJoin" in packets.join(few.hint("broadcast"), "record_no")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fine_chunks_do_not_make_tasks(spark, tmp_path):
+    """The driver keeps track of tasks by the bytes, not by the chunks."""
+    content = HEADER + b"".join(some_packets(400))
+    path = write(tmp_path, one=content)
+    index = capture_index(spark, path, chunk_bytes=200)
+    assert index.count() > 100
+    packets = read_captures(spark, path, chunk_bytes=200)
+    assert packets.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert as_rows(packets) == sequential(content)
