@@ -24,11 +24,13 @@ def consecutive_difference(
     tie: list[str] | None = None,
     name: str = "delta",
     rows_per_slice: int = ROWS_PER_SLICE,
+    stored: bool = False,
 ) -> DataFrame:
     """n rows -> n-1 rows with `time` minus the previous row's `time`.
 
     by   columns that separate series (default: one global series).
     tie  columns that order rows of equal time.
+    stored  as in `slices.slice_by`: the frame follows from stored rows and is not written once more.
 
     The frame is sliced in (time, tie) order and each series is ordered inside each
     slice, so a series or a time that holds most of the rows spreads over many slices.
@@ -37,7 +39,7 @@ def consecutive_difference(
     """
     by, tie = by or [], tie or []
     timed = frame.where(F.col(time).isNotNull())
-    sliced = slice_by(timed, [time, *tie], rows_per_slice=rows_per_slice).drop(INSIDE)
+    sliced = slice_by(timed, [time, *tie], rows_per_slice=rows_per_slice, stored=stored).drop(INSIDE)
     last = sliced.groupBy(SLICE, *by).agg(F.max(time).alias("_last"))
     # One row per slice and series; without `by`, one row per slice.
     earlier = last.select(

@@ -91,7 +91,10 @@ class IntervalJob:
             rest = timely.where(time >= watermark) if watermark is not None else timely
             # Every released packet of a series is younger than its last arrival, which therefore comes first.
             run = ready.unionByName(last, allowMissingColumns=True)
-            gaps = consecutive_difference(run, self.time, by=list(self.by), tie=list(self.tie), name=self.name)
+            # All of it is read from the stored arrivals and the folders of the batch before.
+            gaps = consecutive_difference(
+                run, self.time, by=list(self.by), tie=list(self.tie), name=self.name, stored=True
+            )
             newest = run.groupBy(*self.by).agg(F.max(time).alias(self.time))
             counts = {}
             for table, frame in (("gaps", gaps), ("late", late), ("held", rest), ("last", newest)):

@@ -103,3 +103,22 @@ def test_import_without_the_training_data_package(tmp_path):
             shutil.copy(f"{ROOT}/{name}", copy / name)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'capture_scan' in q and not any(n.startswith('op') or n == 'pipeline' for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
+
+
+def test_arrivals_are_stored_once_a_batch(spark, job, monkeypatch):
+    """The stored arrivals are put in order; they are not written a second time for it."""
+    from linktm import scratch
+    from linktm.operators import slices
+
+    written = []
+
+    def kept(frame, name):
+        written.append(name)
+        return scratch.materialize(frame, name)
+
+    monkeypatch.setattr(slices, "materialize", kept)
+    for number, batch in enumerate(BATCHES):
+        job.write_batch(frame(spark, batch), number)
+    job.flush(spark)
+    assert set(written) == {"slices"} and len(written) == len(BATCHES) + 1
+    assert gaps(spark, job) == plain(sum(BATCHES, []))
