@@ -7,7 +7,7 @@ from check_oracles import compare, connect
 from llm_cases import components, documents, edge_rows, kept_lines, lower, shingles, words
 from pyspark.sql import functions as F
 
-from linktm.llm import oracles, queries
+from linktm.llm import minhash_hamming, oracles, queries
 from linktm.llm.components import connected_components, contracted, relabelled, thinned
 from linktm.llm.line_dedup import bitmap_positions, dedup_lines
 from linktm.llm.minhash_hamming import (
@@ -160,6 +160,17 @@ def test_no_documents(spark):
     assert near_duplicates(documents(spark, [(1, None, None)])).count() == 1
 
 
+def test_a_large_group_is_joined_without_all_its_pairs(spark, monkeypatch):
+    """The prefix filter alone has to join 40 near copies, all pairs of which are links."""
+    base = [f"w{i}" for i in range(100)]
+    rows = [(k, " ".join([*base[: 2 * k + 5], f"own{k}", *base[2 * k + 6 :]]), "a") for k in range(40)]
+    near, measured, pairs = minhash_hamming._near, minhash_hamming.measured, []
+    monkeypatch.setattr(minhash_hamming, "_near", lambda *a: near(*a).where("false"))
+    monkeypatch.setattr(minhash_hamming, "measured", lambda p, s: pairs.append(p.count()) or measured(p, s))
+    assert {r.component_id for r in near_duplicates(documents(spark, rows)).collect()} == {0}
+    assert sum(pairs) <= 40 * minhash_hamming.NEAREST
+
+
 def test_signatures_within_the_limit_meet(spark):
     draw = np.random.default_rng(2)
     base = draw.integers(0, 1 << 16, CHUNKS * PER_CHUNK).astype("<u2")
