@@ -4,16 +4,20 @@ A word belongs to one of CLASSES classes by its first bytes: the most frequent b
 classes of their own, the others share some by hash. The model is P(class | history) P(word | class). The first
 factor is a softmax over hashed features of the history: the word before, the two words before
 together (n-grams), the second and the third word before (skips). The second is the maximum-entropy
-distribution with the word itself as its only feature, which has a closed form: add-one counts within the class, one
-more share standing for all unknown words of the class. Both sum to one.
+distribution whose features are the word, and the word together with the word before it, which is hashed to one of
+HISTORIES. It has a closed form: q, add-one counts within the class with one more share standing for all unknown words of
+the class, times a weight of each pair met in training, times what makes it sum to one for that history and class. With
+n of the pair, N of the history's words in the class and D different ones among them, that is
+(n - DISCOUNT + DISCOUNT * D * q) / N, without the first two terms where the pair was not met. Both factors sum to one.
 
 Counts cover all training texts. The softmax starts at the class frequencies and is trained in ROUNDS
 rounds that together read every training text once: in a round each task takes gradient steps on its
 texts from the weights it was sent, and the weights' changes are averaged by the number of tokens, with partial
-sums before the shuffle. The weights (2^FEATURE_BITS rows of CLASSES numbers) have a fixed size.
+sums before the shuffle. These weights (2^FEATURE_BITS rows of CLASSES numbers) have a fixed size; the table of pairs
+grows with the corpus.
 
-Counts of words are looked up in two ways: the HOT most frequent words are sent to the tasks, all
-others are joined by word. Either way each token has its exact count.
+Counts of words and weights of pairs are looked up in two ways: the HOT most frequent words and of their pairs the HOT_PAIRS
+most frequent are sent to the tasks, all others are joined by word. Either way each token has its exact count and weight.
 
 Nulls: a null text is empty and has only its end; a null id is never held out. Repeated rows count
 and are scored as often as they occur. Without training texts every token has probability 1 of an empty
@@ -24,16 +28,17 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linktm.llm.frequent import most_frequent
+from linktm.llm.frequent import least_step, most_frequent, step_of
 from linktm.scratch import materialize
 
 FOLDS, HELD_OUT = 7, 2
@@ -45,9 +50,17 @@ FEATURE_BITS = 13
 ROUNDS = 3
 STEP = 2048
 RATE = 0.3
+# Scores up to this size need no shift before their exponential is taken.
+FITS = 60
+# Histories of a word within its class: at most 64, the bits of one long. No word before is history 0.
+HISTORIES = 64
+DISCOUNT = 0.75
 HOT = 250_000
+HOT_PAIRS = 2_000_000
 # Entries of a worker's tables of words.
 CACHE = 300_000
+# Tokens whose pairs a worker holds before it sums and sends them.
+HELD = 2_000_000
 # Texts' tokens that are scored or trained on at once.
 CHUNK = 32_768
 END_CLASS = 0
@@ -62,24 +75,44 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """`word` (bytes), `n` over the column `text`. Each task sums in a table of bounded size."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-
-    def flush(counts: Counter) -> pa.RecordBatch:
-        columns = [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())]
-        counts.clear()
-        return pa.record_batch(columns, schema=schema)
+    """`word` (bytes), `n`, `pairs` (before, n: its histories) over the column `text`. Each task sums in tables of
+    bounded size; a word's rows move once."""
+    schema = pa.schema([("word", pa.binary()), ("before", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(tokens(text.as_py()))
-                if len(counts) > CACHE:
-                    yield flush(counts)
-        yield flush(counts)
-
-    return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        table = _Words(lambda word: zlib.crc32(word) << 8)
+        held: list[np.ndarray] = []
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            pairs, n = np.unique(np.concatenate(held), return_counts=True)
+            words = pa.array(list(table), pa.binary())
+            for at in range(0, len(pairs), 2 * CHUNK):
+                some = pairs[at : at + 2 * CHUNK]
+                columns = [
+                    words.take(pa.array(some // HISTORIES)),
+                    pa.array(some % HISTORIES, pa.int32()),
+                    pa.array(n[at : at + 2 * CHUNK], pa.int64()),
+                ]
+                yield pa.record_batch(columns, schema=schema)
+
+        for _, _, run in chunks(batches, "text"):
+            numbers, codes, place, _ = laid_out(run, table)
+            word = numbers >= 0
+            held.append(numbers[word] * HISTORIES + history(codes, place)[word])
+            if len(table) > CACHE or sum(map(len, held)) > HELD:
+                yield from summed()
+                held.clear()
+                table.refill()
+        if held:
+            yield from summed()
+
+    pairs = texts.select("text").mapInArrow(count, "word binary, before int, n long").repartition("word")
+    return (
+        pairs.groupBy("word", "before")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("word")
+        .agg(F.sum("n").alias("n"), F.collect_list(F.struct("before", "n")).alias("pairs"))
+    )
 
 
 @dataclass
@@ -88,7 +121,6 @@ class Vocabulary:
 
     beginnings: dict[bytes, int]
     log_rest: np.ndarray
-    hot: dict[bytes, int]
     n_texts: int
     n_tokens: int
     n_words: int
@@ -98,6 +130,26 @@ class Vocabulary:
         own = self.beginnings.get(begin)
         return own if own is not None else CLASSES - SHARED_CLASSES + zlib.crc32(begin) % SHARED_CLASSES
 
+    def code(self, word: bytes) -> int:
+        return zlib.crc32(word) << 8 | self.class_of(word)
+
+
+@dataclass
+class Within:
+    """The factor within the class, of bounded size. By cell (history * CLASSES + class): `log_norm`, log10 of what an
+    unmet pair's word takes of its q, and `factor`, size of the class / (DISCOUNT * D), 0 for cells not met. The hot words with their
+    codes and log10(n + 1), and of their pairs (number * HISTORIES + history, in order) those that are sent, with log10 of
+    their weights; `unsent` has a bit for each history of a word's other pairs."""
+
+    log_norm: np.ndarray
+    factor: np.ndarray
+    hot: list[bytes]
+    codes: np.ndarray
+    logs: np.ndarray
+    pairs: np.ndarray
+    weights: np.ndarray
+    unsent: np.ndarray
+
 
 def vocabulary(counts: DataFrame, n_texts: int) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary and the number of training tokens in each class."""
@@ -116,34 +168,89 @@ def vocabulary(counts: DataFrame, n_texts: int) -> tuple[Vocabulary, np.ndarray]
         mass[beginnings[bytes(r.begin)]], words[beginnings[bytes(r.begin)]] = r.n, r.words
     for r in shared.collect():
         mass[own + 1 + r.h], words[own + 1 + r.h] = r.n, r.words
-    hot = most_frequent(counts, HOT).toArrow()
-    table = dict(zip(hot.column("word").to_pylist(), hot.column("n").to_pylist()))
     log_rest = -np.log10(mass + words + 1)
-    return (
-        Vocabulary(beginnings, log_rest, table, n_texts, int(mass.sum()), int(words.sum())),
-        mass,
+    return Vocabulary(beginnings, log_rest, n_texts, int(mass.sum()), int(words.sum())), mass
+
+
+def within(counts: DataFrame, words: Vocabulary) -> Within:
+    spark = counts.sparkSession
+    listed = [(bytearray(b), c) for b, c in words.beginnings.items()]
+    own = F.broadcast(spark.createDataFrame(listed, "begin binary, own int"))
+    classed = counts.withColumn("begin", F.substring("word", 1, BEGINNING)).join(own, "begin", "left")
+    shared = CLASSES - SHARED_CLASSES + F.crc32("begin") % SHARED_CLASSES
+    cell = F.col("before") * CLASSES + F.coalesce("own", shared)
+    per_cell = (
+        classed.select("begin", "own", F.inline("pairs"))
+        .groupBy(cell.cast("int").alias("cell"))
+        .agg(F.sum("n").alias("n"), F.count("*").alias("words"))
+    )
+    log_norm, factor = np.zeros(HISTORIES * CLASSES), np.zeros(HISTORIES * CLASSES)
+    for r in per_cell.collect():
+        log_norm[r.cell] = math.log10(DISCOUNT * r.words / r.n)
+        factor[r.cell] = 10 ** -words.log_rest[r.cell % CLASSES] / (DISCOUNT * r.words)
+    hot = most_frequent(counts, HOT)
+    least = least_step(hot.select(F.inline("pairs")), HOT_PAIRS)
+    sent = F.filter("pairs", lambda p: step_of(p["n"]) >= F.lit(least))
+    left = F.filter("pairs", lambda p: step_of(p["n"]) < F.lit(least))
+    one = F.lit(1).cast("long")
+    unsent = F.aggregate(left, F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(F.call_function("shiftleft", one, p["before"])))
+    table = hot.select("word", "n", sent.alias("sent"), unsent.alias("unsent")).toArrow()
+    names, n = table.column("word").to_pylist(), table.column("n").to_numpy()
+    lists = table.column("sent").combine_chunks()
+    number = np.repeat(np.arange(len(names)), np.diff(lists.offsets.to_numpy()))
+    before, n_pair = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+    codes = np.fromiter(map(words.code, names), np.int64, len(names))
+    pairs = number * HISTORIES + before
+    weights = np.log10(1 + (n_pair - DISCOUNT) * factor[before * CLASSES + (codes[number] & 255)] / (n[number] + 1))
+    order = np.argsort(pairs)
+    return Within(
+        log_norm,
+        factor,
+        names,
+        codes,
+        np.log10(n + 1.0),
+        pairs[order].astype(np.int32),
+        weights[order].astype(np.float32),
+        table.column("unsent").to_numpy(),
     )
 
 
-class _Coded(dict):
-    """Words as (hash << 8 | class), in a table of bounded size."""
+class _Words(dict):
+    """Numbers of words, hot ones first, and the words' codes (hash << 8 | class) by number."""
 
-    def __init__(self, words: Vocabulary):
+    def __init__(self, code: Callable[[bytes], int], hot: Iterable[bytes] = (), hot_codes: np.ndarray | None = None):
         super().__init__()
-        self.words = words
+        self.code, self.hot = code, {word: i for i, word in enumerate(hot)}
+        self.hot_codes = b"" if hot_codes is None else hot_codes.tobytes()
+        self.refill()
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        code = zlib.crc32(word) << 8 | self.words.class_of(word)
-        if len(word) <= 64:
-            self[word] = code
-        return code
+        number = self[word] = len(self.codes)
+        self.codes.append(self.code(word))
+        return number
+
+    def refill(self) -> None:
+        self.clear()
+        self.update(self.hot)
+        self.codes = array("q", self.hot_codes)
+
+    def trim(self) -> None:
+        """Keeps the table's size bounded; numbers given before no longer hold."""
+        if len(self) > CACHE + len(self.hot):
+            self.refill()
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def history(codes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The history of each token within its class: the word before, hashed; 0 where there is none."""
+    earlier = np.zeros(len(codes), np.uint64)
+    earlier[1:] = (codes[:-1] >> 8).astype(np.uint64) + np.uint64(1)
+    earlier[place == 0] = 0
+    return ((earlier * _MIX >> np.uint64(32)) * np.uint64(HISTORIES) >> np.uint64(32)).astype(np.int64)
+
+
 def features(codes: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
     """Rows of the weight table for each token: `codes` of texts laid end to end, `place` of each token in its text."""
     words = (codes >> 8).astype(np.uint64) + np.uint64(1)
@@ -164,50 +271,60 @@ def features(codes: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
 
 
 def _scores(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Scores of the classes for each token, the largest at 0."""
+    """Scores of the classes for each token, with an exponential that fits."""
     scores = np.take(weights, rows[0], axis=0)
     for r in rows[1:]:
         scores += np.take(weights, r, axis=0)
     scores += bias
-    scores -= scores.max(axis=1, keepdims=True)
+    if scores.size and max(scores.max(), -scores.min()) > FITS:
+        scores -= scores.max(axis=1, keepdims=True)
     return scores
 
 
+_ONES = np.ones(CLASSES, np.float32)
+
+
 def log_probabilities(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     """Natural logarithm of each token's class probability."""
     scores = _scores(weights, bias, rows)
     own = scores[np.arange(len(scores)), label]
-    return own - np.log(np.exp(scores, out=scores).sum(axis=1))
+    return own - np.log(np.exp(scores, out=scores) @ _ONES)
 
 
 def probabilities(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     scores = _scores(weights, bias, rows)
     np.exp(scores, out=scores)
-    scores /= scores.sum(axis=1, keepdims=True)
+    scores /= (scores @ _ONES)[:, None]
     return scores
 
 
-def laid_out(texts: Iterable[list[bytes]], coded: _Coded) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, place, sizes) of texts, each closed by its end."""
-    parts, sizes = [], []
-    for words in texts:
-        codes = np.empty(len(words) + 1, np.int64)
-        codes[:-1] = np.fromiter(map(coded.__getitem__, words), np.int64, len(words))
-        codes[-1] = END_CLASS
-        parts.append(codes)
-        sizes.append(len(codes))
-    size = np.array(sizes, np.int64)
+def laid_out(texts: list[list[bytes]], table: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, codes, place, sizes) of texts, each closed by its end, whose number is -1."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     ends = np.cumsum(size)
+    word = np.ones(ends[-1], bool)
+    word[ends - 1] = False
+    found = np.fromiter(map(table.__getitem__, chain.from_iterable(texts)), np.int64, ends[-1] - len(texts))
+    numbers, codes = np.full(ends[-1], -1), np.full(ends[-1], END_CLASS)
+    numbers[word] = found
+    if len(found):
+        codes[word] = np.frombuffer(table.codes, np.int64)[found]
     place = np.arange(ends[-1]) - np.repeat(ends - size, size)
-    return np.concatenate(parts), place, size
+    return numbers, codes, place, size
 
 
 def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different rows and the sum of the values of each."""
     order = np.argsort(rows, kind="stable")
     some = rows[order]
-    begins = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
-    return some[begins], np.add.reduceat(np.take(values, order, axis=0), begins, axis=0)
+    new = np.r_[True, some[1:] != some[:-1]]
+    begins, more = np.flatnonzero(new), np.flatnonzero(~new)
+    # Most rows come once and are their own sum.
+    sums = np.take(values, order[begins], axis=0)
+    width = values.shape[1]
+    to = ((np.cumsum(new)[more] - 1)[:, None] * width + np.arange(width)).ravel()
+    np.add.at(sums.reshape(-1), to, np.take(values, order[more], axis=0).ravel())
+    return some[begins], sums
 
 
 def train_on(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, codes: np.ndarray, place: np.ndarray) -> None:
@@ -227,7 +344,9 @@ def train_on(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, codes:
             np.sqrt(size, out=size)
             gradient *= -RATE
             gradient /= size
-            weights[touched] += gradient
+            moved = np.take(weights, touched, axis=0)
+            moved += gradient
+            weights[touched] = moved
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, int, list[list[bytes]]]]:
@@ -255,10 +374,11 @@ def train(texts: DataFrame, words: Vocabulary, mass: np.ndarray) -> tuple[np.nda
 
         def learn(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             new, squares = sent.value.copy(), np.zeros_like(sent.value)
-            coded = _Coded(sent_words.value)
+            table = _Words(sent_words.value.code)
             seen = 0
             for _, _, run in chunks(batches, "text"):
-                codes, place, _ = laid_out(run, coded)
+                table.trim()
+                _, codes, place, _ = laid_out(run, table)
                 train_on(new, squares, bias, codes, place)
                 seen += len(codes)
             if seen:
@@ -284,45 +404,59 @@ def train(texts: DataFrame, words: Vocabulary, mass: np.ndarray) -> tuple[np.nda
     return weights, bias
 
 
-def _partial_scores(texts: DataFrame, words: Vocabulary, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
-    """Per row of `texts` (id, text): `id`, `n_tokens`; `model` (log10 of the class factors and of the class
-    sizes), `log_counts` (sum of log10(count + 1) of hot words and end), `known` (hot words and end); and `rest`, the other
-    words with their number of times."""
+def _partial_scores(texts: DataFrame, words: Vocabulary, inside: Within, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
+    """Per row of `texts` (id, text): `id`, `n_tokens`; `model` (log10 of the class factors, the class sizes, the
+    norms of the histories and the weights of pairs looked up here), `log_counts` (sum of log10(count + 1) of words looked up here and
+    end), `known` (their number); and `rest`, the other words with their cells and number of times."""
     spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast((words, weights, bias))
+    sent = spark.sparkContext.broadcast((words, inside, weights, bias))
     end_log, end_known = math.log10(words.n_texts + 1), int(words.n_texts > 0)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights, bias = sent.value
-        coded = _Coded(words)
-        logs = {w: math.log10(n + 1) for w, n in words.hot.items()}
+        words, inside, weights, bias = sent.value
+        table = _Words(words.code, inside.hot, inside.codes)
+        # A pair beyond all others, so that each search ends at one.
+        pairs = np.append(inside.pairs, np.int32(-1))
         for batch, begin, run in chunks(batches, "text"):
-            codes, place, size = laid_out(run, coded)
-            label = codes & 255
+            table.trim()
+            numbers, codes, place, size = laid_out(run, table)
+            label, before = codes & 255, history(codes, place)
+            cell = before * CLASSES + label
             rows = features(codes, place)
             logp = np.empty(len(codes))
             for at in range(0, len(codes), STEP):
                 step = slice(at, at + STEP)
                 logp[step] = log_probabilities(weights, bias, [r[step] for r in rows], label[step])
+            model = logp / math.log(10) + words.log_rest[label] + inside.log_norm[cell]
+            hot = np.flatnonzero((numbers >= 0) & (numbers < len(inside.hot)))
+            number, past = numbers[hot], before[hot]
+            pair = (number * HISTORIES + past).astype(np.int32)
+            at = np.searchsorted(inside.pairs, pair)
+            met = pairs[at] == pair
+            here = met | (inside.unsent[number] >> past & 1 == 0)
+            model[hot[met]] += inside.weights[at[met]]
+            counted, known, rest = np.zeros(len(codes)), np.zeros(len(codes), np.int64), numbers >= 0
+            counted[numbers < 0], known[numbers < 0] = end_log, end_known
+            counted[hot[here]], known[hot[here]], rest[hot[here]] = inside.logs[number[here]], 1, False
             begins = np.cumsum(size) - size
-            model = np.add.reduceat(logp / math.log(10) + words.log_rest[label], begins)
-            counted, known, rest = [], [], []
-            for text in run:
-                found = list(map(logs.get, text))
-                hot = [x for x in found if x is not None]
-                counted.append(math.fsum(hot) + end_log)
-                known.append(len(hot) + end_known)
-                rest.append(
-                    list(Counter(w for w, x in zip(text, found) if x is None).items()) if len(hot) < len(text) else []
-                )
+            others = np.flatnonzero(rest)
+            text_no = np.repeat(np.arange(len(run)), size)[others]
+            each = (text_no * len(table) + numbers[others]) * HISTORIES + before[others]
+            _, first, times = np.unique(each, return_index=True, return_counts=True)
+            flat = list(chain.from_iterable(run))
+            found = [flat[i] for i in (others[first] - text_no[first]).tolist()]
+            columns = [pa.array(found, pa.binary()), pa.array(cell[others[first]], pa.int32()), pa.array(times, pa.int64())]
+            offsets = np.searchsorted(text_no[first], np.arange(len(run) + 1))
             yield pa.record_batch(
                 [
                     batch.column("id").slice(begin, len(run)),
                     pa.array(size),
-                    pa.array(model),
-                    pa.array(counted, pa.float64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(rest, pa.map_(pa.binary(), pa.int64())),
+                    pa.array(np.add.reduceat(model, begins)),
+                    pa.array(np.add.reduceat(counted, begins)),
+                    pa.array(np.add.reduceat(known, begins)),
+                    pa.ListArray.from_arrays(
+                        pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["word", "cell", "times"])
+                    ),
                 ],
                 ["id", "n_tokens", "model", "log_counts", "known", "rest"],
             )
@@ -330,25 +464,39 @@ def _partial_scores(texts: DataFrame, words: Vocabulary, weights: np.ndarray, bi
     kind = texts.schema["id"].dataType.simpleString()
     return texts.mapInArrow(
         score,
-        f"id {kind}, n_tokens long, model double, log_counts double, known long, rest map<binary,bigint>",
+        f"id {kind}, n_tokens long, model double, log_counts double, known long, "
+        "rest array<struct<word:binary,cell:int,times:bigint>>",
     )
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """A row per row of `docs`: `doc_id`, `held_out`, `n_tokens`, `n_known`, `train_tokens`, `base_score`
     and `score`, log10 probabilities of the whole text and its end."""
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     learnt = texts.where(~in_fold(F.col("id")))
     counts = materialize(word_counts(learnt), "word-counts")
     words, mass = vocabulary(counts, learnt.select("id").count())
+    inside = within(counts, words)
     weights, bias = train(learnt, words, mass)
     partial = materialize(
-        _partial_scores(texts, words, weights, bias).withColumn("row", F.monotonically_increasing_id()),
+        _partial_scores(texts, words, inside, weights, bias).withColumn("row", F.monotonically_increasing_id()),
         "partial-scores",
     )
-    rare = partial.select("row", F.explode("rest").alias("word", "times"))
-    met = rare.join(counts, "word").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_logs"), F.sum("times").alias("rare_known")
+    cells = spark.createDataFrame([(i, float(f)) for i, f in enumerate(inside.factor)], "cell int, factor double")
+    pair = F.get(F.filter("pairs", lambda p: p["before"] == F.floor(F.col("cell") / CLASSES)), 0)["n"]
+    weight = F.log10(1 + (pair - DISCOUNT) * F.col("factor") / (F.col("n") + 1))
+    met = (
+        partial.select("row", F.inline("rest"))
+        .join(counts, "word")
+        .join(F.broadcast(cells), "cell")
+        .select("row", "times", F.log10(F.col("n") + 1).alias("log"), F.coalesce(weight, F.lit(0.0)).alias("weight"))
+        .groupBy("row")
+        .agg(
+            F.sum(F.col("times") * F.col("log")).alias("rare_logs"),
+            F.sum(F.col("times") * F.col("weight")).alias("rare_weights"),
+            F.sum("times").alias("rare_known"),
+        )
     )
     joined = partial.drop("rest").join(met, "row", "left")
     logs = F.col("log_counts") + F.coalesce("rare_logs", F.lit(0.0))
@@ -360,5 +508,5 @@ def score_texts(docs: DataFrame) -> DataFrame:
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(words.n_tokens).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * base).alias("base_score"),
-        (F.col("model") + logs).alias("score"),
+        (F.col("model") + logs + F.coalesce("rare_weights", F.lit(0.0))).alias("score"),
     )

@@ -317,6 +317,71 @@ def test_language_model_of_nothing(spark):
     assert alone.n_tokens == 1
 
 
+def plain_scores(rows):
+    """Scores of a model whose class factor is the class frequencies: the plain sum over all words of the class."""
+    learnt = [maxent_lm.tokens(t) for i, t, _ in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for t in learnt for w in t)
+    begins = Counter()
+    for w, n in count.items():
+        begins[w[:3]] += n
+    own = sorted(begins, key=lambda b: (-begins[b], b))[: maxent_lm.CLASSES - maxent_lm.SHARED_CLASSES - 1]
+    words = maxent_lm.Vocabulary({b: i + 1 for i, b in enumerate(own)}, np.zeros(0), 0, 0, 0)
+
+    def before(text):
+        codes = np.array([words.code(w) for w in text], np.int64)
+        return maxent_lm.history(codes, np.arange(len(text))).tolist() if text else []
+
+    pairs = Counter(p for t in learnt for p in zip(before(t), t))
+    mass, size = Counter(words.class_of(w) for t in learnt for w in t), Counter(map(words.class_of, count))
+    mass[0], size[0] = len(learnt), 1
+    total = sum(mass.values()) + maxent_lm.CLASSES
+
+    def unigram(word, c):
+        return (count[word] + 1) / (mass[c] + size[c] + 1)
+
+    def within(past, word, c):
+        met = {w: n for (b, w), n in pairs.items() if b == past and words.class_of(w) == c}
+        if not met:
+            return unigram(word, c)
+        d = maxent_lm.DISCOUNT
+        return (max(met.get(word, 0) - d, 0) + d * len(met) * unigram(word, c)) / sum(met.values())
+
+    for past in range(maxent_lm.HISTORIES):
+        for c in set(map(words.class_of, count)):
+            # None stands for all unknown words of the class.
+            share = [within(past, w, c) for w in [None, *count] if w is None or words.class_of(w) == c]
+            assert math.isclose(sum(share), 1)
+    scores = []
+    for i, t, _ in rows:
+        text = maxent_lm.tokens(t)
+        each = [(mass[c] + 1) / total * within(b, w, c) for b, w in zip(before(text), text) for c in [words.class_of(w)]]
+        end = (mass[0] + 1) / total * (len(learnt) + 1) / (mass[0] + size[0] + 1)
+        scores.append((repr(i), sum(map(math.log10, each)) + math.log10(end)))
+    return sorted(scores)
+
+
+@pytest.mark.parametrize("hot, hot_pairs", [(250_000, 2_000_000), (250_000, 3), (4, 2), (0, 0)])
+def test_a_words_factor_within_its_class_depends_on_the_word_before(spark, monkeypatch, hot, hot_pairs):
+    draw = np.random.default_rng(12)
+    parts = ["a", "the", "then", "them", "cat", "cats", "catch", "on", "of", "mat", "é", "x1", "x2", "qqa", "qqb"]
+    rows = ROWS + [(100 + i, " ".join(draw.choice(parts, draw.integers(0, 30))), "a") for i in range(60)]
+    monkeypatch.setattr(maxent_lm, "HOT", hot)
+    monkeypatch.setattr(maxent_lm, "HOT_PAIRS", hot_pairs)
+    # The class factor without its features.
+    monkeypatch.setattr(
+        maxent_lm,
+        "train",
+        lambda texts, words, mass: (
+            np.zeros((1 << maxent_lm.FEATURE_BITS, maxent_lm.CLASSES), np.float32),
+            np.log((mass + 1) / (mass.sum() + maxent_lm.CLASSES)).astype(np.float32),
+        ),
+    )
+    got = maxent_lm.score_texts(documents(spark, rows)).collect()
+    scores = sorted((repr(r.doc_id), r.score) for r in got)
+    for (i, score), (j, want) in zip(scores, plain_scores(rows), strict=True):
+        assert i == j and score == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
 # Quality classifier
 
 
