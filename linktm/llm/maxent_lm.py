@@ -75,7 +75,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """`word` (bytes), `n`, `pairs` (before, n: its histories) over the column `text`. Each task sums in tables of
+    """`word` (bytes), `n`, `pairs` (n by history) over the column `text`. Each task sums in tables of
     bounded size; a word's rows move once."""
     schema = pa.schema([("word", pa.binary()), ("before", pa.int32()), ("n", pa.int64())])
 
@@ -111,7 +111,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         pairs.groupBy("word", "before")
         .agg(F.sum("n").alias("n"))
         .groupBy("word")
-        .agg(F.sum("n").alias("n"), F.collect_list(F.struct("before", "n")).alias("pairs"))
+        .agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("before", "n"))).alias("pairs"))
     )
 
 
@@ -180,7 +180,7 @@ def within(counts: DataFrame, words: Vocabulary) -> Within:
     shared = CLASSES - SHARED_CLASSES + F.crc32("begin") % SHARED_CLASSES
     cell = F.col("before") * CLASSES + F.coalesce("own", shared)
     per_cell = (
-        classed.select("begin", "own", F.inline("pairs"))
+        classed.select("begin", "own", F.explode("pairs").alias("before", "n"))
         .groupBy(cell.cast("int").alias("cell"))
         .agg(F.sum("n").alias("n"), F.count("*").alias("words"))
     )
@@ -189,9 +189,10 @@ def within(counts: DataFrame, words: Vocabulary) -> Within:
         log_norm[r.cell] = math.log10(DISCOUNT * r.words / r.n)
         factor[r.cell] = 10 ** -words.log_rest[r.cell % CLASSES] / (DISCOUNT * r.words)
     hot = most_frequent(counts, HOT)
-    least = least_step(hot.select(F.inline("pairs")), HOT_PAIRS)
-    sent = F.filter("pairs", lambda p: step_of(p["n"]) >= F.lit(least))
-    left = F.filter("pairs", lambda p: step_of(p["n"]) < F.lit(least))
+    least = least_step(hot.select(F.explode("pairs").alias("before", "n")), HOT_PAIRS)
+    pairs = F.map_entries("pairs").cast("array<struct<before:int,n:bigint>>")
+    sent = F.filter(pairs, lambda p: step_of(p["n"]) >= F.lit(least))
+    left = F.filter(pairs, lambda p: step_of(p["n"]) < F.lit(least))
     one = F.lit(1).cast("long")
     unsent = F.aggregate(left, F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(F.call_function("shiftleft", one, p["before"])))
     table = hot.select("word", "n", sent.alias("sent"), unsent.alias("unsent")).toArrow()
@@ -484,7 +485,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         "partial-scores",
     )
     cells = spark.createDataFrame([(i, float(f)) for i, f in enumerate(inside.factor)], "cell int, factor double")
-    pair = F.get(F.filter("pairs", lambda p: p["before"] == F.floor(F.col("cell") / CLASSES)), 0)["n"]
+    pair = F.try_element_at("pairs", F.expr(f"int(cell div {CLASSES})"))
     weight = F.log10(1 + (pair - DISCOUNT) * F.col("factor") / (F.col("n") + 1))
     met = (
         partial.select("row", F.inline("rest"))
