@@ -23,6 +23,7 @@ from linktm.llm.minhash_hamming import _families as families
 from linktm.llm.quality_rules import base_counts, quality_rules
 from linktm.llm.shingles import shingle_set
 from linktm.llm.token_files import BATCH, SEQUENCE, Encoder, TokenFile, read_digests, starts, token_folder, write_tokens
+from linktm.scratch import recorded
 
 ROWS = edge_rows()
 EMPTY = []
@@ -193,6 +194,25 @@ def test_signatures_estimate_similarity():
     assert 0.65 < (x == y).mean() <= 1.0
 
 
+def test_no_prefix_filter_where_no_key_is_open(spark):
+    with recorded() as paths:
+        got = near_duplicates(documents(spark, [(i, f"a b c d e {i} f g h i", "s") for i in range(3)]))
+        assert got.count() == 3
+    stored = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in paths}
+    assert "open-classes" in stored and not stored & {"prefixes", "late-links"}
+
+
+def test_slots_that_differ_are_counted_by_a_short_expression(spark):
+    draw = np.random.default_rng(1)
+    a = draw.integers(-(2**63), 2**63, (300, CHUNKS))
+    lanes = draw.choice(np.array([0, 0, 1, 0x7FFF, 0x8000, 0xFFFF], "<u2"), (300, CHUNKS, PER_CHUNK))
+    b = a ^ lanes.view("<i8")[:, :, 0]
+    rows = spark.createDataFrame([(x, y) for x, y in zip(a.tolist(), b.tolist())], "a array<long>, b array<long>")
+    far = distance(F.col("a"), F.col("b"))
+    assert [r.far for r in rows.select(far.alias("far")).collect()] == (lanes != 0).sum(axis=(1, 2)).tolist()
+    assert str(far).count("^") <= 2 * CHUNKS
+
+
 def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(0, 200)] + [(500, 501), (501, 502), (500, 502)]
     got = connected_components(spark.createDataFrame(links, "a long, b long"))
