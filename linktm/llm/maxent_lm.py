@@ -31,10 +31,10 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +63,9 @@ CACHE = 300_000
 HELD = 2_000_000
 # Texts' tokens that are scored or trained on at once.
 CHUNK = 32_768
+# Words whose different ones are looked up at once, and bytes of the texts that are split at once.
+BLOCK = 1_000_000
+SPLIT_BYTES = 1 << 22
 END_CLASS = 0
 
 
@@ -95,10 +98,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 ]
                 yield pa.record_batch(columns, schema=schema)
 
-        for _, _, run in chunks(batches, "text"):
-            numbers, codes, place, _ = laid_out(run, table)
-            word = numbers >= 0
-            held.append(numbers[word] * HISTORIES + history(codes, place)[word])
+        for _, _, words, sizes in blocks(batches, "text"):
+            found = looked_up(words, table)
+            for begin, end, word in runs(sizes):
+                numbers, codes, place, _ = laid_out(found[word : word + sizes[begin:end].sum()], sizes[begin:end], table)
+                known = numbers >= 0
+                held.append(numbers[known] * HISTORIES + history(codes, place)[known])
             if len(table) > CACHE or sum(map(len, held)) > HELD:
                 yield from summed()
                 held.clear()
@@ -299,13 +304,12 @@ def probabilities(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray])
     return scores
 
 
-def laid_out(texts: list[list[bytes]], table: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers, codes, place, sizes) of texts, each closed by its end, whose number is -1."""
-    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+def laid_out(found: np.ndarray, sizes: np.ndarray, table: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, codes, place, sizes) of texts with the words `found`, each closed by its end, whose number is -1."""
+    size = sizes + 1
     ends = np.cumsum(size)
     word = np.ones(ends[-1], bool)
     word[ends - 1] = False
-    found = np.fromiter(map(table.__getitem__, chain.from_iterable(texts)), np.int64, ends[-1] - len(texts))
     numbers, codes = np.full(ends[-1], -1), np.full(ends[-1], END_CLASS)
     numbers[word] = found
     if len(found):
@@ -350,18 +354,69 @@ def train_on(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, codes:
             weights[touched] = moved
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, int, list[list[bytes]]]]:
-    """Runs of rows of about CHUNK tokens: the batch, the first row and the rows' words."""
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, as `tokens` has them, and their number in each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten()
+    # White space at the ends of a text splits off an empty word.
+    some = pc.greater(pc.binary_length(flat), 0)
+    upto = np.r_[0, np.cumsum(some.to_numpy(zero_copy_only=False))]
+    offsets = lists.offsets.to_numpy()
+    return flat.filter(some), np.diff(upto[offsets - offsets[0]])
+
+
+def runs(sizes: np.ndarray, whole: bool = True) -> Iterator[tuple[int, int, int]]:
+    """Runs of texts of about CHUNK tokens: the first text, the one behind the last, and the words before; with `whole` also
+    what is left at the end."""
+    begin = words = total = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        size += n + 1
+        total += n
+        if size >= CHUNK:
+            yield begin, i + 1, words
+            begin, words, size = i + 1, total, 0
+    if whole and size:
+        yield begin, len(sizes), words
+
+
+def blocks(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, int, pa.Array, np.ndarray]]:
+    """The batch, the first row, the words and their number in each row, for rows of about BLOCK words; a batch's runs lie
+    in one block each."""
     for batch in batches:
-        begin, size, run = 0, 0, []
-        for i, text in enumerate(batch.column(column)):
-            run.append(tokens(text.as_py()))
-            size += len(run[-1]) + 1
-            if size >= CHUNK:
-                yield batch, begin, run
-                begin, size, run = i + 1, 0, []
-        if run:
-            yield batch, begin, run
+        texts = batch.column(column)
+        at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // SPLIT_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
+        first, words, sizes = 0, pa.array([], pa.string()), np.empty(0, np.int64)
+        for low, high in zip(cuts, cuts[1:]):
+            more, numbers = split(texts.slice(low, high - low))
+            words, sizes = pa.concat_arrays([words, more]), np.r_[sizes, numbers]
+            closed = [end for _, end, _ in runs(sizes, whole=False)] if len(words) >= BLOCK and high < len(texts) else []
+            if closed:
+                n = int(sizes[: closed[-1]].sum())
+                yield batch, first, words.slice(0, n), sizes[: closed[-1]]
+                first, words, sizes = first + closed[-1], words.slice(n), sizes[closed[-1] :]
+        if len(sizes):
+            yield batch, first, words, sizes
+
+
+def looked_up(words: pa.Array, table: _Words) -> np.ndarray:
+    """The numbers of words; each different one is looked up once."""
+    coded = words.dictionary_encode()
+    different = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    each = np.fromiter(map(table.__getitem__, different), np.int64, len(different))
+    return each[coded.indices.to_numpy()]
+
+
+def chunks(
+    batches: Iterable[pa.RecordBatch], column: str, table: _Words
+) -> Iterator[tuple[pa.RecordBatch, int, pa.Array, np.ndarray, np.ndarray]]:
+    """Runs of rows of about CHUNK tokens: the batch, the first row, the rows' words, their numbers, and how many each row has."""
+    for batch, first, words, sizes in blocks(batches, column):
+        table.trim()
+        found = looked_up(words, table)
+        for begin, end, word in runs(sizes):
+            n = int(sizes[begin:end].sum())
+            yield batch, first + begin, words.slice(word, n), found[word : word + n], sizes[begin:end]
 
 
 def train(texts: DataFrame, words: Vocabulary, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -377,9 +432,8 @@ def train(texts: DataFrame, words: Vocabulary, mass: np.ndarray) -> tuple[np.nda
             new, squares = sent.value.copy(), np.zeros_like(sent.value)
             table = _Words(sent_words.value.code)
             seen = 0
-            for _, _, run in chunks(batches, "text"):
-                table.trim()
-                _, codes, place, _ = laid_out(run, table)
+            for _, _, _, found, sizes in chunks(batches, "text", table):
+                _, codes, place, _ = laid_out(found, sizes, table)
                 train_on(new, squares, bias, codes, place)
                 seen += len(codes)
             if seen:
@@ -416,11 +470,13 @@ def _partial_scores(texts: DataFrame, words: Vocabulary, inside: Within, weights
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, inside, weights, bias = sent.value
         table = _Words(words.code, inside.hot, inside.codes)
-        # A pair beyond all others, so that each search ends at one.
-        pairs = np.append(inside.pairs, np.int32(-1))
-        for batch, begin, run in chunks(batches, "text"):
-            table.trim()
-            numbers, codes, place, size = laid_out(run, table)
+        # The sent pairs of a word lie together in the order of its histories, which are the bits of one number.
+        one = np.uint64(1)
+        sent_bits = np.zeros(len(inside.hot), np.uint64)
+        np.bitwise_or.at(sent_bits, inside.pairs // HISTORIES, one << (inside.pairs % HISTORIES).astype(np.uint64))
+        sent_from = np.searchsorted(inside.pairs, np.arange(len(inside.hot)) * HISTORIES)
+        for batch, begin, run, found, sizes in chunks(batches, "text", table):
+            numbers, codes, place, size = laid_out(found, sizes, table)
             label, before = codes & 255, history(codes, place)
             cell = before * CLASSES + label
             rows = features(codes, place)
@@ -431,9 +487,9 @@ def _partial_scores(texts: DataFrame, words: Vocabulary, inside: Within, weights
             model = logp / math.log(10) + words.log_rest[label] + inside.log_norm[cell]
             hot = np.flatnonzero((numbers >= 0) & (numbers < len(inside.hot)))
             number, past = numbers[hot], before[hot]
-            pair = (number * HISTORIES + past).astype(np.int32)
-            at = np.searchsorted(inside.pairs, pair)
-            met = pairs[at] == pair
+            bits, bit = sent_bits[number], one << past.astype(np.uint64)
+            met = bits & bit != 0
+            at = sent_from[number] + np.bitwise_count(bits & (bit - one))
             here = met | (inside.unsent[number] >> past & 1 == 0)
             model[hot[met]] += inside.weights[at[met]]
             counted, known, rest = np.zeros(len(codes)), np.zeros(len(codes), np.int64), numbers >= 0
@@ -441,16 +497,15 @@ def _partial_scores(texts: DataFrame, words: Vocabulary, inside: Within, weights
             counted[hot[here]], known[hot[here]], rest[hot[here]] = inside.logs[number[here]], 1, False
             begins = np.cumsum(size) - size
             others = np.flatnonzero(rest)
-            text_no = np.repeat(np.arange(len(run)), size)[others]
+            text_no = np.repeat(np.arange(len(size)), size)[others]
             each = (text_no * len(table) + numbers[others]) * HISTORIES + before[others]
             _, first, times = np.unique(each, return_index=True, return_counts=True)
-            flat = list(chain.from_iterable(run))
-            found = [flat[i] for i in (others[first] - text_no[first]).tolist()]
-            columns = [pa.array(found, pa.binary()), pa.array(cell[others[first]], pa.int32()), pa.array(times, pa.int64())]
-            offsets = np.searchsorted(text_no[first], np.arange(len(run) + 1))
+            rare = run.take(pa.array(others[first] - text_no[first])).cast(pa.binary())
+            columns = [rare, pa.array(cell[others[first]], pa.int32()), pa.array(times, pa.int64())]
+            offsets = np.searchsorted(text_no[first], np.arange(len(size) + 1))
             yield pa.record_batch(
                 [
-                    batch.column("id").slice(begin, len(run)),
+                    batch.column("id").slice(begin, len(size)),
                     pa.array(size),
                     pa.array(np.add.reduceat(model, begins)),
                     pa.array(np.add.reduceat(counted, begins)),

@@ -317,6 +317,38 @@ def test_language_model_of_nothing(spark):
     assert alone.n_tokens == 1
 
 
+def test_runs_of_words_follow_texts_whatever_the_blocks(monkeypatch):
+    monkeypatch.setattr(maxent_lm, "CHUNK", 9)
+    texts = [None, "", " \t\n", "  a\x0bB\x0cc\r d ", "\x1c\x85 \u00a0x É a", "a b c d e f g h i j", "k"] + [f"a {i} A" for i in range(40)]
+    words = [maxent_lm.tokens(t) for t in texts]
+    looked = []
+
+    class Table(maxent_lm._Words):
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+    found = []
+    for block, size in ((1 << 30, 1 << 30), (20, 16), (1, 1)):
+        monkeypatch.setattr(maxent_lm, "BLOCK", block)
+        monkeypatch.setattr(maxent_lm, "SPLIT_BYTES", size)
+        looked.clear()
+        table, rows = Table(len), []
+        batches = [pa.record_batch([pa.array(part, pa.string())], ["text"]) for part in (texts[:30], [], texts[30:])]
+        runs = list(maxent_lm.chunks(batches, "text", table))
+        for batch, begin, run, numbers, sizes in runs:
+            assert [table[w] for w in run.cast(pa.binary()).to_pylist()] == numbers.tolist()
+            ends = np.cumsum(sizes)
+            flat = run.cast(pa.binary()).to_pylist()
+            rows += [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+        assert rows == words
+        found.append([(begin, sizes.tolist()) for _, begin, _, _, sizes in runs])
+        if block == 1 << 30:
+            first = looked[: len(looked) - sum(map(len, words))]
+            assert len(first) == sum(len({w for t in part for w in t}) for part in (words[:30], words[30:]))
+    assert found[0] == found[1] == found[2]
+
+
 def plain_scores(rows):
     """Scores of a model whose class factor is the class frequencies: the plain sum over all words of the class."""
     learnt = [maxent_lm.tokens(t) for i, t, _ in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
